@@ -52,13 +52,14 @@ def query(name: str, sql: str | None = None):
 def expand_sql(sql: str, definitions: dict[str, str]) -> str:
     """Prefix `sql` with the definitions of the views it names, in dependency order."""
     order: list[str] = []
+    seen: set[str] = set()
 
     def visit(text: str) -> None:
         for name in definitions:
-            if name not in order and re.search(rf"\b{name}\b", text):
+            if name not in seen and re.search(rf"\b{name}\b", text):
+                seen.add(name)
                 visit(definitions[name])
-                if name not in order:
-                    order.append(name)
+                order.append(name)
 
     visit(sql)
     if not order:

@@ -180,11 +180,39 @@ TABLE_OF = {
 EXTRA_SQL = {
     "fx_pixels": """
         SELECT CAST(floor(vec_id / 2) AS BIGINT) AS pair_num, vec_id % 2 AS epoch, CAST(floor(pos / 16) AS INT) AS band,
-          CAST(floor((pos % 16) / 4) AS INT) AS r, CAST(pos % 4 AS INT) AS c, CAST(v AS DOUBLE) AS value
+          CAST(floor((pos % 16) / 4) AS INT) AS r, CAST(pos % 4 AS INT) AS c,
+          CASE WHEN (vec_id + pos) % 29 = 0 THEN -99e0 ELSE CAST(v AS DOUBLE) END AS value
         FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings)""",
     "fx_grid8": """
         SELECT vec_id, CAST(floor(pos / 8) AS INT) AS r, CAST(pos % 8 AS INT) AS c, CAST(v AS DOUBLE) AS value
         FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings)""",
+    "fx_px": """
+        SELECT e.pair_num AS pair_id, e.r, e.c, e.band, e.value AS e, l.value AS l
+        FROM fx_pixels e JOIN fx_pixels l ON e.pair_num = l.pair_num AND e.r = l.r AND e.c = l.c AND e.band = l.band AND e.epoch = 0 AND l.epoch = 1""",
+    "fx_valid": "SELECT pair_id, r, c, bool_and(e <> -99 AND l <> -99) AS valid FROM fx_px GROUP BY ALL",
+    "fx_range": """
+        SELECT pair_id, band, quantile_cont(e, 0.02) AS el, quantile_cont(e, 0.98) AS eh, quantile_cont(l, 0.02) AS ll, quantile_cont(l, 0.98) AS lh
+        FROM fx_px JOIN fx_valid USING (pair_id, r, c) WHERE valid GROUP BY ALL""",
+    "fx_score": """
+        SELECT pair_id, r, c, valid, CASE WHEN valid THEN avg(abs(
+            CASE WHEN lh > ll THEN least(1e0, greatest(0e0, (l - ll) / (lh - ll))) ELSE 0e0 END
+          - CASE WHEN eh > el THEN least(1e0, greatest(0e0, (e - el) / (eh - el))) ELSE 0e0 END)) ELSE 0e0 END AS score
+        FROM fx_px JOIN fx_valid USING (pair_id, r, c) JOIN fx_range USING (pair_id, band) GROUP BY pair_id, r, c, valid""",
+    "fx_threshold": """
+        SELECT pair_id, CASE WHEN max(score) > 0 THEN least(1e0, greatest(0e0, avg(score) + 0.5e0 * stddev_pop(score))) END AS threshold
+        FROM fx_score WHERE valid GROUP BY pair_id""",
+    "fx_changed": """
+        SELECT pair_id, r, c, score FROM fx_score JOIN fx_threshold USING (pair_id) WHERE valid AND score > 0 AND score >= threshold""",
+    "fx_reach": """
+        SELECT pair_id, r, c, r * 4294967296 + c AS seed FROM fx_changed
+        UNION
+        SELECT p.pair_id, p.r, p.c, q.seed FROM fx_reach q JOIN fx_changed p ON p.pair_id = q.pair_id AND abs(p.r - q.r) <= 1 AND abs(p.c - q.c) <= 1""",
+    "fx_label": """
+        SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY pair_id, label) AS area FROM (SELECT pair_id, r, c, min(seed) AS label FROM fx_reach GROUP BY ALL)) WHERE area >= 2""",
+    "fx_region_name": """
+        SELECT pair_id, label, printf('reg_%04d', row_number() OVER (PARTITION BY pair_id ORDER BY count(*) DESC, min(r), min(c), label)) AS region_id FROM fx_label GROUP BY pair_id, label""",
+    "fx_member": """
+        SELECT pair_id, region_id, r, c, score FROM fx_label JOIN fx_region_name USING (pair_id, label) JOIN fx_score USING (pair_id, r, c)""",
     "fx_vectors": """
         SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings""",
 }
@@ -221,12 +249,22 @@ def spark_view(tables, name: str) -> DataFrame:
         )
     if name == "fx_rasters":
         # Raster store: one row per observation and block, bands x (height*width) values.
-        v = F.col("embedding").cast("array<double>")
+        raw = F.col("embedding").cast("array<double>")
+        v = F.transform(raw, lambda x, i: F.when((F.col("vec_id") + i) % 29 == 0, -99.0).otherwise(x))
         return tables.table("embeddings").select(
             F.col("vec_id").alias("obs_id"),
-            F.floor(F.col("vec_id") / 2).alias("pair_id"),
-            (F.col("vec_id") % 2).alias("epoch"),
             F.lit(0).alias("row0"), F.lit(0).alias("col0"), F.lit(4).alias("height"), F.lit(4).alias("width"),
             F.array(*[F.slice(v, 1 + 16 * b, 16) for b in range(4)]).alias("bands"),
         )
+    if name == "fx_raster_pairs":
+        ids = tables.table("embeddings").select("vec_id", F.floor(F.col("vec_id") / 2).alias("pair_id"))
+        return ids.groupBy("pair_id").agg(F.min("vec_id").alias("earlier_id"), F.max("vec_id").alias("later_id"))
+    if name == "fx_frames":
+        pair = F.col("pair_id")
+        return tables.fx_raster_pairs.select(
+            "pair_id", F.lit(4).alias("frame_height"), F.lit(4).alias("frame_width"),
+            (F.lit(70.0) + (pair % 50) * F.lit(0.1)).alias("min_lon"), (F.lit(10.0) + (pair % 30) * F.lit(0.1)).alias("min_lat"),
+            (F.lit(70.04) + (pair % 50) * F.lit(0.1)).alias("max_lon"), (F.lit(10.04) + (pair % 30) * F.lit(0.1)).alias("max_lat"),
+            F.lit(10.0).alias("resolution_m"),
+        )
     raise AttributeError(name)

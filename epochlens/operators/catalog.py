@@ -145,7 +145,8 @@ def catalog_metrics(scenes: DataFrame, tiles: DataFrame) -> DataFrame:
         F.count_distinct(F.when(F.size("errors") == 0, F.col("observation_id"))).alias("valid_observations"),
         F.count_distinct(F.when(F.size("errors") == 0, F.col("series_id"))).alias("series"),
     )
-    return scenes.agg(F.count(F.lit(1)).alias("scenes")).join(observed)
+    parts = scenes.agg(F.count(F.lit(1)).alias("scenes")).unionByName(observed, allowMissingColumns=True)
+    return parts.agg(*[F.sum(c).alias(c) for c in parts.columns])
 
 
 def count_tiles(tiles: DataFrame) -> DataFrame:

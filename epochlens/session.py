@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +15,8 @@ _RUNTIME_CONF = {
     # A hot series or pair must be split even when that costs one more exchange above the join.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Rows handed to Python may hold a whole raster block; keep a batch of them well inside a worker.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
 }
 
 _STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -58,6 +61,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the checkpoint folder once, so several consumers read it and a lost executor only re-reads."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write `df` once as a table in the checkpoint folder and go on from there.
+
+    Lineage ends at the files, so several consumers share one computation and a lost executor only re-reads;
+    the table is columnar, so consumers prune it and joins see its real size.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/epochlens-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
