@@ -24,10 +24,12 @@ def scored(t):
     return pixels.score_map(masked(t), CONFIG)
 
 
-def members(t, scores=None):
-    scores = scored(t) if scores is None else scores
-    changed = pixels.change_pixels(scores, pixels.threshold(scores, CONFIG))
-    return pixels.with_region_ids(pixels.label_regions(changed, CONFIG))
+def detection(t):
+    return pixels.detect(t.fx_raster_pairs, t.fx_rasters, CONFIG, 4)
+
+
+def members(t):
+    return detection(t).members
 
 
 @query("a04_read_raster_table", "SELECT vec_id, band, r AS row, c AS col, value FROM (SELECT pair_num * 2 + epoch AS vec_id, * FROM fx_pixels)")
@@ -186,9 +188,7 @@ def label_across(t):
 
 @query("f06_region_ids", "SELECT pair_id, label, region_id FROM fx_region_name")
 def region_ids(t):
-    scores = scored(t)
-    changed = pixels.change_pixels(scores, pixels.threshold(scores, CONFIG))
-    return pixels.region_ids(pixels.label_regions(changed, CONFIG))
+    return members(t).select("pair_id", "label", "region_id").distinct()
 
 
 FRAME = "70e0 + (pair_id % 50) * 0.1e0 AS x0, 10e0 + (pair_id % 30) * 0.1e0 AS y0, 70.04e0 + (pair_id % 50) * 0.1e0 AS x1, 10.04e0 + (pair_id % 30) * 0.1e0 AS y1"
@@ -210,8 +210,8 @@ def region_stats(t):
       round(coalesce(mean, 0e0), 4) AS mean_score, round(coalesce(mx, 0e0), 4) AS max_score, round(coalesce(threshold, 0e0), 4) AS threshold_used, round(coalesce(n, 0) * 100e0, 2) AS changed_area_m2
     FROM s LEFT JOIN m USING (pair_id) LEFT JOIN fx_threshold USING (pair_id)""")
 def change_metrics(t):
-    scores = scored(t)
-    return pixels.change_metrics(scores, members(t, scores), pixels.threshold(scores, CONFIG), t.fx_frames)
+    run = detection(t)
+    return pixels.change_metrics(run.scored, run.members, run.thresholds, t.fx_frames)
 
 
 @query("i13_filtered_mask", """

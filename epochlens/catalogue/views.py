@@ -44,7 +44,7 @@ REGIONS = [
     ("CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE ((o_orderkey * 47) % 101) / 100e0 END", "ndvi_mean"),
     ("CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE ((o_orderkey * 61) % 81 - 40) / 100e0 END", "ndwi_mean"),
     ("CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE ((o_orderkey * 43) % 101) / 100e0 END", "water_fraction"),
-    ("((o_orderkey * 67) % 61) / 100e0", "surrounding_change"),
+    ("((o_orderkey * 67) % 61) / 103e0", "surrounding_change"),
     ("((o_orderkey * 73) % 101) / 100e0", "mean_score"),
     ("((o_orderkey * 79) % 51) / 100e0", "score_std"),
     ("o_orderkey % 3 <> 0", "has_wavelength"),

@@ -7,6 +7,8 @@ and a pixel becomes a row only for statistics and for changed pixels.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from epochlens.config import DetectionConfig
@@ -14,6 +16,7 @@ from epochlens.functions import geo, text
 from epochlens.plans.components import label_pixels
 from epochlens.plans.ordered import ordered
 from epochlens.plans.quantiles import exact_quantiles
+from epochlens.session import cut
 
 BLOCK = ("row0", "col0")
 
@@ -106,8 +109,11 @@ def valid_mask(aligned: DataFrame, config: DetectionConfig = DetectionConfig())
             "later", lambda b: usable(either[0])(F.get(b, i)) & usable(either[1])(F.get(b, i))
         )
 
-    valid = F.transform(F.sequence(F.lit(0), F.col("height") * F.col("width") - 1), pixel)
-    return aligned.where(F.col("error").isNull()).withColumn("valid", valid)
+    def finite(i):
+        return F.forall("later", lambda b: ~F.isnan(F.get(b, i)) & (F.abs(F.get(b, i)) != float("inf")))
+
+    every = F.sequence(F.lit(0), F.col("height") * F.col("width") - 1)
+    return aligned.where(F.col("error").isNull()).withColumns({"valid": F.transform(every, pixel), "seen": F.transform(every, finite)})
 
 
 def band_ranges(masked: DataFrame, config: DetectionConfig = DetectionConfig()) -> DataFrame:
@@ -168,7 +174,7 @@ def score_map(masked: DataFrame, config: DetectionConfig = DetectionConfig()) ->
         return F.when(F.get(F.col("valid"), i), _unit(mean)).otherwise(0.0)
 
     scores = F.transform(F.sequence(F.lit(0), F.col("height") * F.col("width") - 1), pixel)
-    return ranged.select("pair_id", *BLOCK, "height", "width", "valid", scores.alias("scores"))
+    return ranged.select("pair_id", *BLOCK, "height", "width", "valid", "seen", scores.alias("scores"))
 
 
 def score_pixels(scored: DataFrame, *extra: str) -> DataFrame:
@@ -178,6 +184,12 @@ def score_pixels(scored: DataFrame, *extra: str) -> DataFrame:
     return rows.select("pair_id", *_position(), F.col("_px.valid").alias("valid"), F.col("_px.scores").alias("score"), *extra)
 
 
+def context_pixels(scored: DataFrame) -> DataFrame:
+    """Pixel rows (pair_id, row, col, score, usable); usable pixels are finite at the later date."""
+    rows = scored.select("pair_id", "row0", "col0", "width", F.posexplode(F.arrays_zip("seen", "scores")).alias("_pos", "_px"))
+    return rows.select("pair_id", *_position(), F.col("_px.scores").alias("score"), F.col("_px.seen").alias("usable"))
+
+
 def threshold(scored: DataFrame, config: DetectionConfig = DetectionConfig()) -> DataFrame:
     """Per pair the score from which a pixel counts as changed; NULL when nothing changed at all."""
     pixels = score_pixels(scored).where("valid")
@@ -223,6 +235,28 @@ def with_region_ids(labelled: DataFrame) -> DataFrame:
     return labelled.join(region_ids(labelled), ["pair_id", "label"])
 
 
+@dataclass(frozen=True)
+class Detection:
+    """The stage tables of one detection run over all pairs."""
+
+    aligned: DataFrame
+    scored: DataFrame
+    thresholds: DataFrame
+    members: DataFrame
+
+
+def detect(pairs: DataFrame, rasters: DataFrame, config: DetectionConfig = DetectionConfig(), block: int = 512) -> Detection:
+    """Pixel differences to numbered regions, for every pair at once.
+
+    Scores are written once, because thresholds, changed pixels, metrics and context all read them.
+    """
+    aligned = select_bands(align(pairs, rasters), config.bands)
+    scored = cut(score_map(valid_mask(aligned, config), config))
+    thresholds = threshold(scored, config)
+    members = with_region_ids(label_regions(change_pixels(scored, thresholds), config, block))
+    return Detection(aligned, scored, thresholds, members)
+
+
 def region_stats(members: DataFrame, frames: DataFrame) -> DataFrame:
     """One row per region. `frames` has pair_id, frame_height, frame_width, box columns and resolution_m."""
     px = members.groupBy("pair_id", "region_id").agg(
@@ -253,6 +287,11 @@ def with_geometry(regions: DataFrame) -> DataFrame:
     return regions.withColumn("geometry", geo.bbox_polygon(b))
 
 
+def valid_counts(scored: DataFrame) -> DataFrame:
+    ok = F.size(F.filter("valid", lambda v: v))
+    return scored.groupBy("pair_id").agg(F.sum(ok).alias("valid_pixels"))
+
+
 def change_metrics(scored: DataFrame, members: DataFrame, thresholds: DataFrame, frames: DataFrame) -> DataFrame:
     """Per pair: pixel counts, changed share of valid pixels, scores over retained regions, area."""
     counts = scored.select(
