@@ -43,7 +43,7 @@ def shape(t):
 @query("j03_moments", """
     WITH m AS (SELECT pair_id, region_id, count(*) AS n, var_pop(c) AS xx, var_pop(r) AS yy, 0e0 - covar_pop(c, r) AS xy FROM fx_member GROUP BY pair_id, region_id),
     e AS (SELECT *, greatest(0e0, (xx + yy + sqrt((xx - yy) ** 2 + 4e0 * xy * xy)) / 2e0) AS big, greatest(0e0, (xx + yy - sqrt((xx - yy) ** 2 + 4e0 * xy * xy)) / 2e0) AS small FROM m)
-    SELECT pair_id, region_id, round(4e0 * sqrt(big), 2) AS major_axis, round(4e0 * sqrt(small), 2) AS minor_axis, round((big - small) / (big + small), 4) AS linearity_score, round(degrees(0.5e0 * atan2(2e0 * xy, xx - yy)), 2) AS orientation_deg FROM e""")
+    SELECT pair_id, region_id, round(4e0 * sqrt(big), 2) AS major_axis, round(4e0 * sqrt(small), 2) AS minor_axis, round((big - small) / (big + small), 4) AS linearity_score, round(degrees(0.5e0 * atan2(if(abs(xy) < 1e-9, 0e0, 2e0 * xy), if(abs(xx - yy) < 1e-9, 0e0, xx - yy))), 2) AS orientation_deg FROM e""")
 def moments(t):
     return evidence.moments(chain.members(t)).drop("axis_ratio")
 

@@ -154,7 +154,7 @@ NODES = [
     ("CASE event_id % 8 WHEN 0 THEN 'suppressed' WHEN 1 THEN 'flagged' WHEN 2 THEN 'insufficient_evidence' WHEN 3 THEN NULL ELSE 'retained' END", "decision"),
     ("CASE WHEN event_id % 6 = 0 THEN 0.1e0 ELSE ((event_id * 37) % 101) / 100e0 END", "iou"),
     ("CASE WHEN event_id % 10 = 0 THEN NULL ELSE ((event_id * 29) % 150) / 1e0 END", "distance_m"),
-    ("((event_id * 41) % 101) / 100e0", "change_score"),
+    ("((event_id * 41) % 101) / 103e0", "change_score"),
     ("CASE WHEN event_id % 12 = 0 THEN NULL ELSE ((event_id * 43) % 101) / 100e0 END", "class_score"),
     ("CASE event_id % 5 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' ELSE 'uncertain' END", "class_tier"),
     ("CASE WHEN user_id % 2 = 0 AND event_id % 7 < 2 THEN 'clearance' WHEN event_id % 7 < 3 THEN 'unknown' WHEN user_id % 10 = 0 AND event_id % 7 = 5 THEN 'water_extent_change' ELSE 'construction' END", "category"),

@@ -62,7 +62,11 @@ def moments(members: DataFrame) -> DataFrame:
     several = F.col("n") > 1
     major, minor = F.when(several, 4.0 * F.sqrt(big)).otherwise(1.0), F.when(several, 4.0 * F.sqrt(small)).otherwise(1.0)
     linear = F.when(several & (big + small > 1e-6), _clamp((big - small) / (big + small))).otherwise(0.0)
-    angle = F.when(several, F.degrees(0.5 * F.atan2(2.0 * F.col("xy"), gap))).otherwise(0.0)
+
+    def settled(x):  # a direction that is only rounding noise is no direction
+        return F.when(F.abs(x) < 1e-9, 0.0).otherwise(x)
+
+    angle = F.when(several, F.degrees(0.5 * F.atan2(2.0 * settled(F.col("xy")), settled(gap)))).otherwise(0.0)
     return m.select(
         *REGION, F.round(major, 2).alias("major_axis"), F.round(minor, 2).alias("minor_axis"),
         F.round(F.when(several, major / F.greatest(F.lit(1e-6), minor)).otherwise(1.0), 4).alias("axis_ratio"),
