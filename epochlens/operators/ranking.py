@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from epochlens.functions import vectors
+from epochlens.plans.ordered import ordered
 from epochlens.plans.quantiles import exact_quantiles
+from epochlens.plans.scoring import SMALL_QUERIES, _type, score_blocks, unit_rows
+from epochlens.session import cut
 
 
 def latency_stats(latencies: DataFrame) -> DataFrame:
@@ -18,3 +24,111 @@ def latency_stats(latencies: DataFrame) -> DataFrame:
         value["mean"].alias("mean_ms"), value["median"].alias("median_ms"), value["p95"].alias("p95_ms"),
         value["low"].alias("min_ms"), value["high"].alias("max_ms"), rate.alias("per_second"),
     )
+
+
+def _relevant(queries: DataFrame, gallery: DataFrame, exclude_self: bool, small: int) -> DataFrame:
+    """Similarity of every query to the gallery rows of its own class."""
+    schema = f"query_id {_type(queries, 'query_id')}, gallery_id {_type(gallery, 'gallery_id')}, sim double"
+
+    def same_class(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or g.empty:
+            return pd.DataFrame({"query_id": q["query_id"].head(0), "gallery_id": g["gallery_id"].head(0), "sim": pd.Series(dtype="float64")})
+        hit = q["label"].to_numpy()[:, None] == g["label"].to_numpy()[None, :]
+        if exclude_self:
+            hit &= q["query_id"].to_numpy()[:, None] != g["gallery_id"].to_numpy()[None, :]
+        i, j = np.nonzero(hit)
+        return pd.DataFrame({"query_id": q["query_id"].to_numpy()[i], "gallery_id": g["gallery_id"].to_numpy()[j], "sim": similarities(q, g)[i, j]})
+
+    return score_blocks(queries.select("query_id", "label", "v"), gallery.select("gallery_id", "label", "v"), same_class, schema, small)
+
+
+def similarities(q: pd.DataFrame, g: pd.DataFrame) -> np.ndarray:
+    """Cosine matrix at 9 dp, so that both passes over the same pair agree whatever block it fell into."""
+    return np.round(np.clip(unit_rows(q["v"]) @ unit_rows(g["v"]).T, -1.0, 1.0), 9)
+
+
+def relevant_ranks(queries: DataFrame, gallery: DataFrame, exclude_self: bool = False, small: int = SMALL_QUERIES, chunk: int = 5000) -> DataFrame:
+    """For each relevant gallery row its place among all rows (`rank`) and among relevant ones (`relevant_rank`).
+
+    Order: similarity descending, then gallery id. Only relevant rows are ever written out; the others are
+    counted inside the blocks. The relevant rows of a query are handled in chunks of bounded size.
+    """
+    relevant = cut(_relevant(queries, gallery, exclude_self, small).withColumn("_order", -F.col("sim")))
+    placed = ordered(relevant, ["query_id"], "_order", "gallery_id", rank="relevant_rank", chunk=F.floor(F.col("_order") * 100))
+    placed = cut(placed.withColumn("_chunk_no", F.floor((F.col("relevant_rank") - 1) / chunk).cast("int")))
+    packed = placed.groupBy("query_id", "_chunk_no").agg(F.array_sort(F.collect_list(F.struct("relevant_rank", "sim", "gallery_id"))).alias("_r"))
+    loaded = queries.select("query_id", "v").join(packed, "query_id").select(
+        "query_id", "_chunk_no", "v", F.col("_r.relevant_rank").alias("places"), F.col("_r.sim").alias("sims"), F.col("_r.gallery_id").alias("ids")
+    )
+    schema = f"query_id {_type(queries, 'query_id')}, relevant_rank long, better long"
+
+    def count_better(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if not q.empty and not g.empty:
+            g = g.sort_values("gallery_id", kind="stable", ignore_index=True)
+            ids, matrix = g["gallery_id"].to_numpy(), similarities(q, g)
+            for i, (qid, places, sims, own) in enumerate(zip(q["query_id"], q["places"], q["sims"], q["ids"])):
+                row = matrix[i] if not exclude_self else matrix[i][ids != qid]
+                names = ids if not exclude_self else ids[ids != qid]
+                order = np.argsort(-row, kind="stable")
+                down, by = -row[order], names[order]
+                first, last = np.searchsorted(down, -np.asarray(sims), "left"), np.searchsorted(down, -np.asarray(sims), "right")
+                ties = [int(np.searchsorted(by[a:b], o)) if b > a else 0 for a, b, o in zip(first, last, own)]
+                out.append(pd.DataFrame({"query_id": qid, "relevant_rank": places, "better": first + np.asarray(ties, dtype=np.int64)}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": q["query_id"].head(0), "relevant_rank": pd.Series(dtype="int64"), "better": pd.Series(dtype="int64")})
+
+    counted = score_blocks(loaded, gallery.select("gallery_id", "v"), count_better, schema, small)
+    return counted.groupBy("query_id", "relevant_rank").agg((F.sum("better") + 1).alias("rank"))
+
+
+def retrieval_metrics(queries: DataFrame, gallery: DataFrame, ks: tuple[int, ...] = (1, 3, 5), exclude_self: bool = False, small: int = SMALL_QUERIES) -> DataFrame:
+    """One row: hit rates, mean reciprocal rank and mean average precision (4 dp). queries: query_id, label, v."""
+    ranks = relevant_ranks(queries, gallery, exclude_self, small)
+    per_query = ranks.groupBy("query_id").agg(F.min("rank").alias("first"), F.avg(F.col("relevant_rank") / F.col("rank")).alias("precision"))
+    rows = queries.select("query_id").join(per_query, "query_id", "left")
+
+    def rate(k):
+        return F.round(F.avg(F.when(F.col("first") <= k, 1.0).otherwise(0.0)), 4)
+
+    return rows.agg(
+        F.count(F.lit(1)).alias("queries"), *[rate(k).alias(f"top_{k}") for k in dict.fromkeys((1, *ks))],
+        F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 4).alias("mrr"),
+        F.round(F.avg(F.coalesce("precision", F.lit(0.0))), 4).alias("map"),
+    )
+
+
+def class_separation(queries: DataFrame, gallery: DataFrame, exclude_self: bool = False) -> DataFrame:
+    """Mean similarity within and across classes and their ratio (4 dp).
+
+    The sum of cosines over two sets is the product of their summed unit vectors, so no pair is formed: one
+    pass per table, linear in its rows.
+    """
+    def sums(df, side):
+        unit = df.select("label", F.posexplode(vectors.l2_normalize(vectors.as_double(F.col("v")))).alias("pos", "x"))
+        return unit.groupBy("label", "pos").agg(F.sum("x").alias(side), F.count(F.lit(1)).alias(f"n_{side}"))
+
+    both = sums(queries, "q").join(sums(gallery, "g"), ["label", "pos"], "full").fillna(0)
+    by_pos = both.groupBy("pos").agg(
+        F.sum(F.col("q") * F.col("g")).alias("within"), (F.sum("q") * F.sum("g")).alias("all"),
+        F.sum(F.col("n_q") * F.col("n_g")).alias("n_within"), (F.sum("n_q") * F.sum("n_g")).alias("n_all"),
+    )
+    total = by_pos.agg(F.sum("within").alias("within"), F.sum("all").alias("all"), F.max("n_within").alias("n_within"), F.max("n_all").alias("n_all"))
+    if exclude_self:
+        shared = queries.select(F.col("query_id").alias("id"), F.col("v").alias("a")).join(gallery.select(F.col("gallery_id").alias("id"), F.col("v").alias("b")), "id")
+        own = shared.agg(F.sum(vectors.cosine(vectors.as_double(F.col("a")), vectors.as_double(F.col("b")))).alias("self"), F.count(F.lit(1)).alias("n_self"))
+        total = total.unionByName(own, allowMissingColumns=True).agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("within", "all", "n_within", "n_all", "self", "n_self")])
+    else:
+        total = total.withColumns({"self": F.lit(0.0), "n_self": F.lit(0)})
+    intra = F.round((F.col("within") - F.col("self")) / F.nullif(F.col("n_within") - F.col("n_self"), F.lit(0)), 4)
+    inter = F.round((F.col("all") - F.col("within")) / F.nullif(F.col("n_all") - F.col("n_within"), F.lit(0)), 4)
+    out = total.select(F.coalesce(intra, F.lit(0.0)).alias("intra"), F.coalesce(inter, F.lit(0.0)).alias("inter"))
+    ratio = F.when(F.col("inter") > 0, F.round(F.col("intra") / F.greatest("inter", F.lit(1e-6)), 4)).otherwise(1.0)
+    return out.withColumn("separation_ratio", ratio)
+
+
+def compare_models(models: DataFrame, results: DataFrame) -> DataFrame:
+    """One row per known model; one that was not run keeps NULL figures."""
+    means = results.groupBy("model_id").agg(
+        F.count(F.lit(1)).alias("runs"), F.round(F.avg("top_1"), 4).alias("top_1"), F.round(F.avg("mrr"), 4).alias("mrr"), F.round(F.avg("latency_ms"), 2).alias("latency_ms")
+    )
+    return models.join(means, "model_id", "left").withColumn("executed", F.col("runs").isNotNull())
