@@ -163,7 +163,37 @@ NODES = [
     ("user_id", "user_id"),
 ]
 
+# One row per investigation (customer) and pair (order), with the ids derived from the pair.
+STAGES = [
+    ("concat('inv_', CAST(o_custkey AS STRING))", "investigation_id"),
+    ("concat('series_', CAST(o_custkey % 50 AS STRING))", "series_id"),
+    ("concat('pair_obs_', CAST(o_orderkey AS STRING), '__obs_', CAST(o_orderkey + 1 AS STRING))", "pair_id"),
+    ("concat('pair_obs_', CAST(o_custkey AS STRING), '__obs_', CAST(o_custkey + 1 AS STRING))", "discovery_pair_id"),
+    ("concat('reg_', CAST(o_custkey % 5 AS STRING))", "region_id"),
+    ("concat('scene_', CAST(o_orderkey AS STRING))", "scene_id"),
+    ("concat('tile_', CAST(o_orderkey % 1000 AS STRING))", "tile_id"),
+    ("concat('obs_', CAST(o_orderkey + 1 AS STRING))", "observation_id"),
+    ("CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE concat('res_', CAST(o_orderkey AS STRING)) END", "result_id"),
+    ("CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE concat('evi_', CAST(o_orderkey AS STRING)) END", "evidence_id"),
+    ("concat('cls_', CAST(o_orderkey AS STRING))", "classification_id"),
+    ("CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE concat('sup_', CAST(o_orderkey AS STRING)) END", "suppression_id"),
+    ("concat('tem_', CAST(o_custkey AS STRING))", "timeline_id"),
+    ("concat('dossier_', CAST(o_custkey AS STRING))", "dossier_id"),
+    ("CAST(o_orderdate AS TIMESTAMP)", "acquisition_time"),
+    ("o_orderkey", "o_orderkey"),
+    ("o_custkey", "o_custkey"),
+]
+
+HASHES = [
+    ("concat('inv_', CAST(o_custkey AS STRING))", "investigation_id"),
+    ("CASE WHEN o_orderkey % 2 = 0 THEN 'earlier' ELSE 'later' END", "key"),
+    ("o_orderkey", "position"),
+    ("SHA(concat('src:', CAST(o_orderkey AS STRING)))", "hash"),
+]
+
 TABLE_OF = {
+    "fx_stages": ("orders", STAGES),
+    "fx_hashes": ("orders", HASHES),
     "fx_observations": ("events", OBSERVATIONS),
     "fx_regions": ("orders", REGIONS),
     "fx_signals": ("orders", SIGNALS),

@@ -27,6 +27,12 @@ def _tag(tags: Column, name: str) -> Column:
     return F.try_element_at(tags, F.lit(name))
 
 
+def _tag_any_case(tags: Column, name: str) -> Column:
+    """Value of a key whatever its case; of several spellings the last one counts."""
+    same = F.filter(F.map_entries(tags), lambda e: F.lower(e["key"]) == name.lower())
+    return F.try_element_at(same, F.lit(-1))["value"]
+
+
 def _filled(value: Column) -> Column:
     return F.when(value != "", value)
 
@@ -51,11 +57,8 @@ def parse_name_time(stem: Column) -> Column:
 
 def detect_sensor_platform(tags: Column, stem: Column) -> Column:
     """STRUCT<sensor, platform>; tags win over the name, and nothing is invented."""
-    upper_tags = F.map_from_entries(
-        F.transform(F.map_entries(tags), lambda e: F.struct(F.upper(e["key"]), e["value"]))
-    )
     sensor, platform = (
-        _filled(F.coalesce(*[_tag(upper_tags, t) for t in names])) for names in (SENSOR_TAGS, PLATFORM_TAGS)
+        _filled(F.coalesce(*[_tag_any_case(tags, t) for t in names])) for names in (SENSOR_TAGS, PLATFORM_TAGS)
     )
     name = F.upper(stem)
     by_name = F.struct(F.lit("unknown").alias("sensor"), F.lit("unknown").alias("platform"))
@@ -156,10 +159,7 @@ def set_digest(value: Column) -> Column:
 
 def band_lookup(bands: Column, aliases: Sequence[str]) -> Column:
     """First alias present, ignoring case; a value above one is taken as 0..255."""
-    lowered = F.map_from_entries(
-        F.transform(F.map_entries(bands), lambda e: F.struct(F.lower(e["key"]), e["value"]))
-    )
-    value = F.coalesce(*[_tag(lowered, a.lower()) for a in aliases])
+    value = F.coalesce(*[_tag_any_case(bands, a) for a in aliases])
     return F.when(value > 1.0, value / 255.0).otherwise(value)
 
 

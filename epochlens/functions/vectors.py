@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 TINY = 1e-12  # fixed value: shorter vectors have no direction
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with the value computed once, also where the body uses it inside another lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def as_double(v: Column) -> Column:
     return v.cast("array<double>")
 
@@ -21,9 +28,11 @@ def norm(v: Column) -> Column:
 
 def l2_normalize(v: Column, when_short: str = "keep") -> Column:
     """Unit vector; one without direction stays as it is (`keep`) or becomes zeros (`zero`)."""
-    length = norm(v)
-    short = v if when_short == "keep" else F.transform(v, lambda x: F.lit(0.0))
-    return F.when(length < TINY, short).otherwise(F.transform(v, lambda x: x / length))
+    def scaled(x):
+        short = x if when_short == "keep" else F.transform(x, lambda e: F.lit(0.0))
+        return let(norm(x), lambda n: F.when(n < TINY, short).otherwise(F.transform(x, lambda e: e / n)))
+
+    return let(v, scaled)
 
 
 def cosine(u: Column, v: Column, clip: bool = False) -> Column:

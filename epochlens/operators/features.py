@@ -96,7 +96,7 @@ def text_concepts(text: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(F.substr(sha, 2 * i + 1, F.lit(2)), 16, 10).cast("double") / 255.0)
 
     # Bound as a lambda variable, the hash of a long text is computed once, not once per byte.
-    hashed = F.get(F.transform(F.array(F.sha2(text, 256)), byte_values), F.lit(0))
+    hashed = vectors.let(F.sha2(text, 256), byte_values)
 
     def padded(v, n):
         return F.concat(v, F.array_repeat(F.lit(0.0), FEATURES - n))

@@ -40,46 +40,46 @@ def ordered(
     """
     keys = list(keys)
     fields = [c for c in dict.fromkeys([ts, tie, *payload])]
-    base = df.withColumn("_chunk", chunk if chunk is not None else chunk_of(F.col(ts), width_us))
+    base = df.withColumn("_o_chunk", chunk if chunk is not None else chunk_of(F.col(ts), width_us))
     row = F.struct(*fields)
 
-    summary_aggs = [F.count(F.lit(1)).alias("_n")]
+    summary_aggs = [F.count(F.lit(1)).alias("_o_n")]
     if next or first:
-        summary_aggs.append(F.min(row).alias("_head"))
+        summary_aggs.append(F.min(row).alias("_o_head"))
     if prev:
-        summary_aggs.append(F.max(row).alias("_tail"))
-    chunks = base.groupBy(*keys, "_chunk").agg(*summary_aggs)
-    over = Window.partitionBy(*keys).orderBy("_chunk") if keys else Window.orderBy("_chunk")
+        summary_aggs.append(F.max(row).alias("_o_tail"))
+    chunks = base.groupBy(*keys, "_o_chunk").agg(*summary_aggs)
+    over = Window.partitionBy(*keys).orderBy("_o_chunk") if keys else Window.orderBy("_o_chunk")
     before = over.rowsBetween(Window.unboundedPreceding, -1)
-    picked = [*keys, "_chunk"]
+    picked = [*keys, "_o_chunk"]
     if rank:
-        picked.append(F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+        picked.append(F.coalesce(F.sum("_o_n").over(before), F.lit(0)).alias("_o_before"))
     if next:
-        picked.append(F.lead("_head").over(over).alias("_next_head"))
+        picked.append(F.lead("_o_head").over(over).alias("_o_next_head"))
     if prev:
-        picked.append(F.lag("_tail").over(over).alias("_prev_tail"))
+        picked.append(F.lag("_o_tail").over(over).alias("_o_prev_tail"))
     if first:
-        picked.append(F.first("_head").over(over.rowsBetween(Window.unboundedPreceding, 0)).alias("_first"))
+        picked.append(F.first("_o_head").over(over.rowsBetween(Window.unboundedPreceding, 0)).alias("_o_first"))
     chunks = chunks.select(*picked)
 
-    inner = Window.partitionBy(*keys, "_chunk").orderBy(ts, tie)
+    inner = Window.partitionBy(*keys, "_o_chunk").orderBy(ts, tie)
     out = base
     if rank:
-        out = out.withColumn("_rn", F.row_number().over(inner))
+        out = out.withColumn("_o_rn", F.row_number().over(inner))
     if next:
-        out = out.withColumn("_next", F.lead(row).over(inner))
+        out = out.withColumn("_o_next", F.lead(row).over(inner))
     if prev:
-        out = out.withColumn("_prev", F.lag(row).over(inner))
-    out = out.join(chunks, [*keys, "_chunk"])
+        out = out.withColumn("_o_prev", F.lag(row).over(inner))
+    out = out.join(chunks, [*keys, "_o_chunk"])
     result = [F.col(c) for c in df.columns]
     if rank:
-        result.append((F.col("_rn") + F.col("_before")).alias(rank))
+        result.append((F.col("_o_rn") + F.col("_o_before")).alias(rank))
     if next:
-        result.append(F.coalesce("_next", "_next_head").alias(next))
+        result.append(F.coalesce("_o_next", "_o_next_head").alias(next))
     if prev:
-        result.append(F.coalesce("_prev", "_prev_tail").alias(prev))
+        result.append(F.coalesce("_o_prev", "_o_prev_tail").alias(prev))
     if first:
-        result.append(F.col("_first").alias(first))
+        result.append(F.col("_o_first").alias(first))
     return out.select(*result)
 
 

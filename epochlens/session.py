@@ -60,12 +60,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/epochlens-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` once as a table in the checkpoint folder and go on from there.
 
     Lineage ends at the files, so several consumers share one computation and a lost executor only re-reads;
     the table is columnar, so consumers prune it and joins see its real size.
     """
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/epochlens-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
