@@ -82,27 +82,42 @@ def project(seed: int = 42):
     return projected
 
 
-def text_concepts(text: Column) -> Column:
-    """Unit vector of FEATURES values: summed signatures of known words, else bytes of the text's hash."""
-    words = F.split(F.trim(F.regexp_replace(F.replace(F.lower(text), F.lit("-"), F.lit(" ")), r"\s+", " ")), " ")
-    table = F.create_map(*[x for word, sig in CONCEPTS.items() for x in (F.lit(word), F.array(*[F.lit(s) for s in sig]))])
-    known = F.filter(words, lambda w: w.isin(*CONCEPTS))
-    width = len(URBAN)
-    summed = F.aggregate(
-        known, F.array(*[F.lit(0.0)] * width), lambda acc, w: F.zip_with(acc, F.try_element_at(table, w), lambda a, b: a + b)
-    )
+def _one_of(names: list[str]) -> Callable[[Column], Column]:
+    return lambda w: w.isin(*names)
 
-    def byte_values(sha):
-        return F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(F.substr(sha, 2 * i + 1, F.lit(2)), 16, 10).cast("double") / 255.0)
 
-    # Bound as a lambda variable, the hash of a long text is computed once, not once per byte.
-    hashed = vectors.let(F.sha2(text, 256), byte_values)
+def concept_vector(text: Column) -> Column:
+    """FEATURES values: summed signatures of the known words, else the bytes of the text's hash as fractions.
 
-    def padded(v, n):
-        return F.concat(v, F.array_repeat(F.lit(0.0), FEATURES - n))
+    Words are counted per signature, so there is one pass per signature and no lambda inside another: a
+    Python function may take the result as its argument.
+    """
+    words = F.split(F.trim(F.regexp_replace(F.replace(F.lower(text), F.lit("-"), F.lit(" ")), r"\s+", " ")), " ")
+    groups: dict[tuple[float, ...], list[str]] = {}
+    for word, signature in CONCEPTS.items():
+        groups.setdefault(signature, []).append(word)
+    counts = [(sig, F.size(F.filter(words, _one_of(names)))) for sig, names in groups.items()]
+    found = F.lit(0)
+    for _, n in counts:
+        found = found + n
+    summed = []
+    for i in range(len(URBAN)):
+        total = F.lit(0.0)
+        for signature, n in counts:
+            total = total + n * F.lit(signature[i])
+        summed.append(total)
+    sha = F.sha2(text, 256)
+    hashed = [F.conv(F.substring(sha, 2 * i + 1, 2), 16, 10).cast("double") / 255.0 for i in range(32)]
+
+    def padded(values):
+        return F.array(*values, *[F.lit(0.0)] * (FEATURES - len(values)))
+
+    return F.when(found > 0, padded(summed)).otherwise(padded(hashed))
 
-    raw = F.when(F.size(known) > 0, padded(summed, width)).otherwise(padded(hashed, 32))
-    return vectors.l2_normalize(raw, "zero")
+
+def text_concepts(text: Column) -> Column:
+    """`concept_vector` at unit length."""
+    return vectors.l2_normalize(concept_vector(text), "zero")
 
 
 # Embedders are plug-in points: a name, whether it can run here, and a function from DataFrame to DataFrame
@@ -139,7 +154,7 @@ def _embed_tiles(tiles: DataFrame) -> DataFrame:
 
 
 def _embed_texts(texts: DataFrame) -> DataFrame:
-    return texts.withColumn("v", project()(text_concepts(F.col("text"))))
+    return texts.withColumn("v", project()(concept_vector(F.col("text"))))
 
 
 register_embedder(Embedder("spectral-spatial", EMBEDDING, _embed_tiles))
