@@ -11,6 +11,7 @@ from epochlens.config import ClassifierConfig, DetectionConfig, EvidenceConfig,
 from epochlens.operators import catalog, lineage, matching, pairing, reviews, timeline
 from epochlens.plans import investigate as plan
 from epochlens.plans.ordered import ordered
+from epochlens.session import cut
 
 
 @query("o01_lineage_edges", """
@@ -148,7 +149,7 @@ EXTRA_SQL["fx_review_log"] = """
 
 def log(t):
     """The log after two batches, split by time."""
-    first = reviews.review_append(None, t.fx_reviews.where("ts < '2024-01-15'"))
+    first = cut(reviews.review_append(None, t.fx_reviews.where("ts < '2024-01-15'")))
     return first.unionByName(reviews.review_append(first, t.fx_reviews.where("ts >= '2024-01-15'")))
 
 

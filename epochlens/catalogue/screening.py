@@ -57,7 +57,7 @@ for at, (name, columns) in enumerate(
 
     @query(name, f"SELECT region_id, '{screening.CHECKS[at]}' AS artifact, s{at + 1} > 0 AS detected, {columns} FROM fx_checks")
     def detector(t, detect=screening.DETECTORS[at]):
-        rows = screening.with_bands(screened_input(t))
+        rows = screening.with_cloud_terms(screening.with_bands(screened_input(t)), screening.ScreeningConfig())
         found = detect(screening.Signals(rows), screening.ScreeningConfig())
         return rows.select("region_id", found.alias("x")).select("region_id", "x.artifact", "x.detected", "x.score", "x.weight", "x.hard")
 

@@ -157,10 +157,15 @@ def set_digest(value: Column) -> Column:
     return F.concat(*lanes)
 
 
+def band_at(keys: Column, values: Column, aliases: Sequence[str]) -> Column:
+    """`band_lookup` on lower-case keys and their values, both in reverse order so that the last spelling counts."""
+    value = F.coalesce(*[F.get(values, F.array_position(keys, a.lower()).cast("int") - 1) for a in aliases])
+    return F.when(value > 1.0, value / 255.0).otherwise(value)
+
+
 def band_lookup(bands: Column, aliases: Sequence[str]) -> Column:
     """First alias present, ignoring case; a value above one is taken as 0..255."""
-    value = F.coalesce(*[_tag_any_case(bands, a) for a in aliases])
-    return F.when(value > 1.0, value / 255.0).otherwise(value)
+    return band_at(F.reverse(F.transform(F.map_keys(bands), F.lower)), F.reverse(F.map_values(bands)), aliases)
 
 
 def quality_meta(metadata: Column) -> Column:

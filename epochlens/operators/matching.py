@@ -83,21 +83,26 @@ def resolve_match(candidates: DataFrame, met: DataFrame, config: TimelineConfig
     """One row per candidate and target pair: the matched region, or why there is none.
 
     The best two by IoU decide, else the nearest two by centre distance; a lead below the margin is ambiguous.
-    Only two rows per candidate and order pass the exchange.
+    The rows of one candidate and pair are the regions within reach of one place.
     """
     key = ["candidate_id", "pair_id"]
 
-    def best_two(rows, order, measure, name):
-        ranked = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*key).orderBy(order, "region_id"))).where("_rn <= 2")
-        one = F.struct("region_id", "iou", "distance_m")
-        return ranked.groupBy(*key).agg(
-            F.max(F.when(F.col("_rn") == 1, one)).alias(name), F.max(F.when(F.col("_rn") == 2, F.col(measure))).alias(f"{name}_second")
-        )
-
-    by_iou = best_two(met.where(F.col("iou") >= config.min_iou), F.desc("iou"), "iou", "o")
-    by_distance = best_two(met.where(F.col("distance_m") <= config.max_distance_m), F.asc("distance_m"), "distance_m", "d")
-    seen = met.groupBy(*key).agg(F.max("iou").alias("_iou"), F.min("distance_m").alias("_distance"))
-    rows = candidates.join(by_iou, key, "left").join(by_distance, key, "left").join(seen, key, "left")
+    one = F.struct("region_id", "iou", "distance_m")
+    overlapping, near = F.col("iou") >= config.min_iou, F.col("distance_m") <= config.max_distance_m
+
+    def order(flag, measure):
+        return Window.partitionBy(*key).orderBy(F.when(flag, 0).otherwise(1), measure, "region_id")
+
+    ranked = met.withColumns({
+        "_o": F.row_number().over(order(overlapping, F.desc("iou"))), "_d": F.row_number().over(order(near, F.asc("distance_m"))),
+    })
+    # Both orders and the sums share one exchange on (candidate, pair).
+    seen = ranked.groupBy(*key).agg(
+        F.max(F.when(overlapping & (F.col("_o") == 1), one)).alias("o"), F.max(F.when(overlapping & (F.col("_o") == 2), F.col("iou"))).alias("o_second"),
+        F.max(F.when(near & (F.col("_d") == 1), one)).alias("d"), F.max(F.when(near & (F.col("_d") == 2), F.col("distance_m"))).alias("d_second"),
+        F.max("iou").alias("_iou"), F.min("distance_m").alias("_distance"),
+    )
+    rows = candidates.join(seen, key, "left")
     blind = F.col("min_lon").isNull() & F.col("lon").isNull()
     has_o, has_d = F.col("o").isNotNull(), F.col("d").isNotNull()
     o_clear = F.col("o_second").isNull() | (F.col("o.iou") - F.col("o_second") >= config.ambiguity_margin)

@@ -116,6 +116,12 @@ def valid_mask(aligned: DataFrame, config: DetectionConfig = DetectionConfig())
     return aligned.where(F.col("error").isNull()).withColumns({"valid": F.transform(every, pixel), "seen": F.transform(every, finite)})
 
 
+def largest_frame(blocks: DataFrame) -> int:
+    """Pixels of the largest pair; reads block sizes only."""
+    sizes = blocks.groupBy("pair_id").agg(F.sum(F.col("height").cast("bigint") * F.col("width")).alias("n"))
+    return sizes.agg(F.max("n")).first()[0] or 0
+
+
 def band_ranges(masked: DataFrame, config: DetectionConfig = DetectionConfig()) -> DataFrame:
     """Lower and upper value per pair, date and band over valid pixels."""
     dates = F.array(
@@ -130,7 +136,8 @@ def band_ranges(masked: DataFrame, config: DetectionConfig = DetectionConfig())
     if config.normalization == "min_max":
         return bands.groupBy(*keys).agg(F.min(F.array_min(usable)).alias("low"), F.max(F.array_max(usable)).alias("high"))
     values = bands.select(*keys, F.explode(usable).alias("value"))
-    return exact_quantiles(values, keys, "value", {"low": config.percentile_lower / 100.0, "high": config.percentile_upper / 100.0})
+    marks = {"low": config.percentile_lower / 100.0, "high": config.percentile_upper / 100.0}
+    return exact_quantiles(values, keys, "value", marks, largest=largest_frame(masked))
 
 
 def _unit(x: Column) -> Column:
@@ -201,7 +208,7 @@ def threshold(scored: DataFrame, config: DetectionConfig = DetectionConfig()) ->
     elif config.threshold_method == "statistical":
         raw = F.when(F.col("std") == 0, F.col("mean")).otherwise(F.col("mean") + config.std_multiplier * F.col("std"))
     else:
-        marks = exact_quantiles(pixels, ["pair_id"], "score", {"mark": config.threshold_percentile / 100.0})
+        marks = exact_quantiles(pixels, ["pair_id"], "score", {"mark": config.threshold_percentile / 100.0}, largest=largest_frame(scored))
         stats = stats.join(marks, "pair_id")
         raw = F.col("mark")
     return stats.select("pair_id", F.when(F.col("top") > 0, _unit(raw)).alias("threshold"))

@@ -63,19 +63,28 @@ def relevant_ranks(queries: DataFrame, gallery: DataFrame, exclude_self: bool =
     schema = f"query_id {_type(queries, 'query_id')}, relevant_rank long, better long"
 
     def count_better(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        owners, places_out, better = [], [], []
         if not q.empty and not g.empty:
             g = g.sort_values("gallery_id", kind="stable", ignore_index=True)
             ids, matrix = g["gallery_id"].to_numpy(), similarities(q, g)
             for i, (qid, places, sims, own) in enumerate(zip(q["query_id"], q["places"], q["sims"], q["ids"])):
-                row = matrix[i] if not exclude_self else matrix[i][ids != qid]
-                names = ids if not exclude_self else ids[ids != qid]
+                keep = ids != qid if exclude_self else slice(None)
+                row, names = matrix[i][keep], ids[keep]
                 order = np.argsort(-row, kind="stable")
                 down, by = -row[order], names[order]
-                first, last = np.searchsorted(down, -np.asarray(sims), "left"), np.searchsorted(down, -np.asarray(sims), "right")
-                ties = [int(np.searchsorted(by[a:b], o)) if b > a else 0 for a, b, o in zip(first, last, own)]
-                out.append(pd.DataFrame({"query_id": qid, "relevant_rank": places, "better": first + np.asarray(ties, dtype=np.int64)}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": q["query_id"].head(0), "relevant_rank": pd.Series(dtype="int64"), "better": pd.Series(dtype="int64")})
+                wanted, own = -np.asarray(sims), np.asarray(own)
+                first, last = np.searchsorted(down, wanted, "left"), np.searchsorted(down, wanted, "right")
+                ahead = first.astype(np.int64)
+                single = np.nonzero(last - first == 1)[0]
+                ahead[single] += by[first[single]] < own[single]
+                for j in np.nonzero(last - first > 1)[0]:
+                    ahead[j] += np.searchsorted(by[first[j]:last[j]], own[j])
+                owners.append(np.repeat(qid, len(ahead)))
+                places_out.append(np.asarray(places))
+                better.append(ahead)
+        if not owners:
+            return pd.DataFrame({"query_id": q["query_id"].head(0), "relevant_rank": pd.Series(dtype="int64"), "better": pd.Series(dtype="int64")})
+        return pd.DataFrame({"query_id": np.concatenate(owners), "relevant_rank": np.concatenate(places_out), "better": np.concatenate(better)})
 
     counted = score_blocks(loaded, gallery.select("gallery_id", "v"), count_better, schema, small)
     return counted.groupBy("query_id", "relevant_rank").agg((F.sum("better") + 1).alias("rank"))

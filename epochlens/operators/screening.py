@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from epochlens.config import ScreeningConfig
-from epochlens.functions.text import band_lookup
+from epochlens.functions.text import band_at
 
 # Band aliases, and the checks in the order in which a hard one is named first.
 ALIASES = {
@@ -61,35 +61,45 @@ class Signals:
 
 def with_bands(df: DataFrame) -> DataFrame:
     """Add the later-date reflectance of each role, looked up once in the `bands` MAP."""
-    return df.withColumns({f"_band_{role}": band_lookup(F.col("bands"), names) for role, names in ALIASES.items()})
+    keyed = df.withColumns({"_keys": F.reverse(F.transform(F.map_keys("bands"), F.lower)), "_values": F.reverse(F.map_values("bands"))})
+    found = keyed.withColumns({f"_band_{role}": band_at(F.col("_keys"), F.col("_values"), names) for role, names in ALIASES.items()})
+    return found.drop("_keys", "_values")
 
 
 def _result(name: str, cases: list[tuple[Column, float, float, bool]], quiet_weight: float, note: Column | None = None) -> Column:
-    """STRUCT of one check: the first case that holds decides (score, weight, hard), else nothing is found."""
-    score, weight, hard, found = F.lit(0.0), F.lit(quiet_weight), F.lit(False), F.lit(False)
-    for condition, s, w, h in reversed(cases):
-        holds = F.coalesce(condition, F.lit(False))
-        score, weight = F.when(holds, s).otherwise(score), F.when(holds, w).otherwise(weight)
-        hard, found = F.when(holds, F.lit(h)).otherwise(hard), F.when(holds, F.lit(True)).otherwise(found)
-    # A case with score 0 only stops the search; it finds nothing.
-    return F.struct(
-        F.lit(name).alias("artifact"), (found & (score > 0)).alias("detected"), score.alias("score"), weight.alias("weight"),
-        hard.alias("hard"), (F.lit(False) if note is None else F.coalesce(note, F.lit(False))).alias("limited"),
-    )
+    """STRUCT of one check: the first case that holds decides (score, weight, hard), else nothing is found.
 
-
-def detect_cloud(s: Signals, c: ScreeningConfig) -> Column:
+    The outcomes are a constant table and only the case number is computed, so a condition is evaluated once.
+    """
+    at = F.lit(len(cases))
+    for i in reversed(range(len(cases))):
+        at = F.when(cases[i][0], i).otherwise(at)
+    outcomes = F.array(*[
+        F.struct(
+            F.lit(name).alias("artifact"), F.lit(score > 0).alias("detected"), F.lit(float(score)).alias("score"),
+            F.lit(float(weight)).alias("weight"), F.lit(hard).alias("hard"), F.lit(False).alias("limited"),
+        )
+        for score, weight, hard in [c[1:] for c in cases] + [(0.0, quiet_weight, False)]
+    ])
+    found = F.get(outcomes, at)
+    return found if note is None else found.withField("limited", F.coalesce(note, F.lit(False)))
+
+
+def with_cloud_terms(df: DataFrame, c: ScreeningConfig) -> DataFrame:
+    """Add visible reflectance and whiteness, which several cases share."""
+    s = Signals(df)
     blue, green, red = s.band("blue"), s.band("green"), s.band("red")
-    visible_known = blue.isNotNull() & green.isNotNull() & red.isNotNull()
-    vis = F.coalesce(
-        s.hint("vis_reflectance"), F.when(visible_known, (blue + green + red) / 3.0),
-        F.greatest(F.lit(0.0), F.col("brightness_delta")), F.lit(0.0),
-    )
-    vis = F.when(F.col("brightness_delta").isNull() & ~visible_known & s.hint("vis_reflectance").isNull(), 0.0).otherwise(vis)
+    known = blue.isNotNull() & green.isNotNull() & red.isNotNull()
+    risen = F.when(F.col("brightness_delta").isNotNull(), F.greatest(F.lit(0.0), F.col("brightness_delta")))
+    df = df.withColumn("_vis", F.coalesce(s.hint("vis_reflectance"), F.when(known, (blue + green + red) / 3.0), risen, F.lit(0.0)))
+    vis = F.col("_vis")
     spread = (F.abs(blue - vis) + F.abs(green - vis) + F.abs(red - vis)) / (3.0 * vis)
-    white = F.coalesce(
-        s.hint("whiteness"), F.when(visible_known & (vis > 0.001), spread), F.when(vis >= c.cloud_reflectance, 0.0).otherwise(1.0)
-    )
+    plain = F.when(vis >= c.cloud_reflectance, 0.0).otherwise(1.0)
+    return df.withColumn("_white", F.coalesce(s.hint("whiteness"), F.when(known & (vis > 0.001), spread), plain))
+
+
+def detect_cloud(s: Signals, c: ScreeningConfig) -> Column:
+    vis, white = F.col("_vis"), F.col("_white")
     cirrus, swir = s.band("cirrus", "cirrus_reflectance"), s.band("swir", "swir_reflectance")
     evidence = s.hint("swir_cloud_evidence")
     drop = F.coalesce(evidence, F.when(vis > 0.001, swir / vis < 0.60), F.lit(False))
@@ -173,7 +183,7 @@ DETECTORS = (
 
 def detect_all(regions: DataFrame, config: ScreeningConfig = ScreeningConfig()) -> DataFrame:
     """Add `checks`, the ARRAY of all artifact checks in order."""
-    banded = with_bands(regions)
+    banded = with_cloud_terms(with_bands(regions), config)
     s = Signals(banded)
     return banded.withColumn("checks", F.array(*[d(s, config) for d in DETECTORS])).select(*regions.columns, "checks")
 
@@ -192,41 +202,44 @@ def screen_regions(regions: DataFrame, config: ScreeningConfig = ScreeningConfig
     checked = detect_all(regions, config)
     s = Signals(checked)
     checks = F.col("checks")
-    speck = (F.col("area_px") <= 2) & s.flag("noise_spike")
-    small = (F.col("area_px") < config.min_area_px) & ~speck
-    blind = ~F.col("spectral_available")
-    out = small | blind
-    hard = F.filter(checks, lambda x: x["hard"])
     found = F.filter(checks, lambda x: x["detected"])
-    risk = F.round(F.least(F.lit(1.0), F.aggregate(checks, F.lit(0.0), lambda a, x: a + x["weight"] * x["score"])), 4)
-    heaviest = F.array_sort(F.transform(found, lambda x, i: F.struct((-(x["weight"] * x["score"])).alias("w"), i.alias("i"), x["artifact"].alias("artifact"))))
+    terms = checked.withColumns({
+        "_out": ((F.col("area_px") < config.min_area_px) & ~((F.col("area_px") <= 2) & s.flag("noise_spike"))) | ~F.col("spectral_available"),
+        "_hard": F.get(F.filter(checks, lambda x: x["hard"]), F.lit(0))["artifact"],
+        "_found": F.transform(found, lambda x: F.struct((-(x["weight"] * x["score"])).alias("w"), x["artifact"].alias("artifact"))),
+        "_risk": F.round(F.least(F.lit(1.0), F.aggregate(checks, F.lit(0.0), lambda a, x: a + x["weight"] * x["score"])), 4),
+    })
 
-    def check(i):
-        return F.get(checks, F.lit(i))
+    def check(i, field):
+        return F.get(checks, F.lit(i))[field]
 
     forced = (
-        check(4)["detected"]
-        | (check(0)["detected"] & check(0)["limited"] & (check(0)["score"] >= 0.40))
-        | (check(1)["detected"] & check(1)["limited"] & (check(1)["score"] >= 0.35))
-    )
-    is_hard = F.size(hard) > 0
-    decision = (
-        F.when(out, "insufficient_evidence").when(is_hard, "suppressed").when(forced, "flagged")
-        .when(risk < config.flag_risk, "retained").otherwise("flagged")
+        check(4, "detected")
+        | (check(0, "detected") & check(0, "limited") & (check(0, "score") >= 0.40))
+        | (check(1, "detected") & check(1, "limited") & (check(1, "score") >= 0.35))
     )
+    out, is_hard, risk = F.col("_out"), F.col("_hard").isNotNull(), F.col("_risk")
     basis = (
         F.when(out, "DATA_LIMITATION").when(is_hard, "CONSERVATIVE_MULTI_EVIDENCE").when(forced, "DATA_LIMITATION_OR_PARALLAX_FLAG")
         .when(risk < config.flag_risk, "LOW_ARTIFACT_RISK").when(risk < config.high_risk, "MODERATE_ARTIFACT_RISK").otherwise("HIGH_ARTIFACT_RISK_UNCONFIRMED")
     )
+    terms = terms.withColumn("basis", basis)
+    decision = (
+        F.when(F.col("basis") == "DATA_LIMITATION", "insufficient_evidence").when(F.col("basis") == "CONSERVATIVE_MULTI_EVIDENCE", "suppressed")
+        .when(F.col("basis") == "LOW_ARTIFACT_RISK", "retained").otherwise("flagged")
+    )
+    terms = terms.withColumn("decision", decision)
+    # The heaviest check is named; of equal ones the first in order.
+    heaviest = F.get(F.filter("_found", lambda x: x["w"] == F.array_min(F.transform("_found", lambda y: y["w"]))), F.lit(0))["artifact"]
     category = F.col("category") if "category" in regions.columns else F.lit("unknown")
     tier = F.col("confidence_tier") if "confidence_tier" in regions.columns else F.lit("uncertain")
     empty = F.array().cast("array<string>")
-    return checked.select(
-        *regions.columns, decision.alias("decision"), F.when(out, 0.0).when(is_hard, 1.0).otherwise(risk).alias("risk"), basis.alias("basis"),
-        F.when(out, None).when(is_hard, F.get(hard, F.lit(0))["artifact"]).otherwise(F.get(heaviest, F.lit(0))["artifact"]).alias("primary_artifact"),
-        F.when(out, empty).otherwise(F.transform(found, lambda x: x["artifact"])).alias("contributing"),
-        F.when(decision == "suppressed", "suppressed").otherwise(category).alias("retained_category"),
-        adjust_tier(tier, decision).alias("adjusted_tier"),
+    return terms.select(
+        *regions.columns, "decision", F.when(out, 0.0).when(is_hard, 1.0).otherwise(risk).alias("risk"), "basis",
+        F.when(out, None).when(is_hard, F.col("_hard")).otherwise(heaviest).alias("primary_artifact"),
+        F.when(out, empty).otherwise(F.transform("_found", lambda x: x["artifact"])).alias("contributing"),
+        F.when(F.col("decision") == "suppressed", "suppressed").otherwise(category).alias("retained_category"),
+        adjust_tier(tier, F.col("decision")).alias("adjusted_tier"),
         F.when(out, F.array().cast(checked.schema["checks"].dataType)).otherwise(checks).alias("checks"),
     )
 

@@ -104,26 +104,34 @@ def filter_timeline(nodes: DataFrame, kind: str = "all") -> DataFrame:
     return nodes.where(kinds[kind])
 
 
-def timeline_metrics(timeline: DataFrame) -> DataFrame:
+def _count_aggs() -> list[Column]:
     def n(*statuses):
         return F.count_if(F.col("node_status").isin(*statuses))
 
-    return timeline.groupBy(*KEY).agg(
+    return [
         F.count(F.lit(1)).alias("nodes"), n(*SUPPORTING).alias("supporting"), n("FLAGGED_SUPPORT").alias("flagged"),
         n("SUPPRESSED_ARTIFACT").alias("suppressed"), n("PRE_CHANGE_ABSENCE").alias("absence"), n("INSUFFICIENT_DATA").alias("insufficient"),
         n("SIMULTANEOUS_CO_TEMPORAL").alias("simultaneous"), F.count_if("cross_sensor").alias("cross_sensor"),
-    )
+    ]
 
 
-def key_moments(timeline: DataFrame) -> DataFrame:
-    """Per candidate: first support, last verified absence before it, first flagged node before it."""
+def _moment_aggs() -> list[Column]:
     before = _moment() < F.col("earliest")
     status = F.col("node_status")
-    return timeline.groupBy(*KEY).agg(
+    return [
         F.max("earliest").alias("earliest"),
         F.max(F.when(before & (status == "PRE_CHANGE_ABSENCE"), _moment())).alias("prior"),
         F.min(F.when(before & (status == "FLAGGED_SUPPORT"), _moment())).alias("flagged_before"),
-    )
+    ]
+
+
+def timeline_metrics(timeline: DataFrame) -> DataFrame:
+    return timeline.groupBy(*KEY).agg(*_count_aggs())
+
+
+def key_moments(timeline: DataFrame) -> DataFrame:
+    """Per candidate: first support, last verified absence before it, first flagged node before it."""
+    return timeline.groupBy(*KEY).agg(*_moment_aggs())
 
 
 def category_evolution(timeline: DataFrame) -> DataFrame:
@@ -150,7 +158,7 @@ def category_evolution(timeline: DataFrame) -> DataFrame:
 
 
 def support_status(metrics: DataFrame, evolution: DataFrame, config: TimelineConfig = TimelineConfig()) -> DataFrame:
-    rows = metrics.join(evolution.select(*KEY, "is_conflicted"), KEY, "left").withColumn("is_conflicted", F.coalesce("is_conflicted", F.lit(False)))
+    rows = metrics.join(evolution, KEY, "left").withColumn("is_conflicted", F.coalesce("is_conflicted", F.lit(False)))
     status = (
         F.when(F.col("is_conflicted"), "TEMPORALLY_AMBIGUOUS")
         .when(F.col("supporting") >= config.min_persistent, "STRONG_TEMPORAL_SUPPORT")
@@ -173,8 +181,9 @@ def onset_interval(moments: DataFrame) -> DataFrame:
     text = F.when(start.isNotNull(), F.concat(F.lit("("), day(start), F.lit(", "), day(end), F.lit("]"))).when(
         end.isNotNull(), F.concat(F.lit("(-infinity, "), day(end), F.lit("]"))
     )
+    carried = [c for c in moments.columns if c not in (*KEY, "earliest", "prior", "flagged_before")]
     return moments.select(
-        *KEY, kind.alias("interval_type"),
+        *KEY, *carried, kind.alias("interval_type"),
         F.col("prior.observation_id").alias("prior_id"), F.col("earliest.observation_id").alias("earliest_id"), F.col("flagged_before.observation_id").alias("flagged_id"),
         F.round(times.seconds_between(start, end) / 86400.0, 2).alias("interval_days"), text.alias("interval"),
     )
@@ -187,9 +196,8 @@ def confidence_tier(status: Column, cross_sensor_nodes: Column, prior: Column, d
 
 def summarize(timeline: DataFrame, config: TimelineConfig = TimelineConfig()) -> DataFrame:
     """One row per candidate with counts, support, onset, categories and confidence."""
-    evolution = category_evolution(timeline)
-    supported = support_status(timeline_metrics(timeline), evolution, config)
-    rows = supported.join(onset_interval(key_moments(timeline)), KEY).join(evolution.drop("is_conflicted"), KEY, "left")
+    figures = timeline.groupBy(*KEY).agg(*_count_aggs(), *_moment_aggs())
+    rows = support_status(onset_interval(figures), category_evolution(timeline), config)
     tier = confidence_tier(F.col("support_status"), F.col("cross_sensor"), F.col("prior_id"), F.col("interval_days"), config)
     return rows.withColumn("confidence_tier", tier)
 
