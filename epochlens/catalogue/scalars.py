@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from epochlens.catalogue.registry import query
 from epochlens.functions import geo, text, times
 
-NO_TAGS = F.create_map().cast("map<string,string>")
+def no_tags():
+    return F.create_map().cast("map<string,string>")
 
 
 def obs_box():
@@ -33,7 +34,7 @@ def parse_time(t):
     tag = F.format_string("%04d:%02d:%02d %02d:00:00", 2000 + key % 20, 1 + key % 12, 1 + key % 28, key % 24)
     return t.fx_scene_names.select(
         "o_orderkey",
-        F.unix_micros(text.parse_acquisition_time(NO_TAGS, F.col("stem"))).alias("name_us"),
+        F.unix_micros(text.parse_acquisition_time(no_tags(), F.col("stem"))).alias("name_us"),
         F.unix_micros(text.parse_acquisition_time(F.create_map(F.lit("DATETIME"), tag), F.col("stem"))).alias("tag_us"),
     )
 
@@ -44,7 +45,7 @@ def parse_time(t):
       CASE WHEN o_orderkey % 7 = 0 THEN 'unknown' WHEN contains(upper(stem), 'S2A') THEN 'Sentinel-2' WHEN contains(upper(stem), 'LC08') THEN 'Landsat-8' ELSE 'unknown' END AS platform
     FROM fx_scene_names""")
 def sensor_platform(t):
-    tags = F.when(F.col("o_orderkey") % 7 == 0, F.create_map(F.lit("instrument"), F.lit("TagSensor"))).otherwise(NO_TAGS)
+    tags = F.when(F.col("o_orderkey") % 7 == 0, F.create_map(F.lit("instrument"), F.lit("TagSensor"))).otherwise(no_tags())
     found = text.detect_sensor_platform(tags, F.col("stem"))
     return t.fx_scene_names.select("o_orderkey", found["sensor"].alias("sensor"), found["platform"].alias("platform"))
 
