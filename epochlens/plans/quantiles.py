@@ -1,7 +1,8 @@
-"""Exact quantiles for groups of any size.
+"""Exact quantiles for groups of any size and any distribution.
 
-Equal values are counted before the shuffle, a histogram of the counts finds the bin that holds each wanted
-rank, and only the values of those bins are ordered. No task sees a whole group.
+A mergeable sketch brackets each wanted rank; values below a bracket are only counted, and the few values
+inside it are ordered. No task sees a whole group, and outliers or repeated values do not widen a bracket,
+because it is narrow in rank, not in value.
 """
 
 from __future__ import annotations
@@ -10,56 +11,60 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-BINS = 512
+ACCURACY = 10_000  # the sketch is off by at most one part in this many of the ranks
 GROUP_LIMIT = 1_000_000  # values one task may hold for a group
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], bins: int = BINS, largest: int | None = None) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], accuracy: int = ACCURACY, largest: int | None = None) -> DataFrame:
     """One row per key with the linearly interpolated quantiles named in `probs`; NULL values are left out.
 
     When the caller knows that no group holds more than GROUP_LIMIT values (`largest`), the built-in aggregate
     does it in one exchange; the result is the same.
     """
     keys = list(keys)
+    held = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    names = list(probs)
     if largest is not None and largest <= GROUP_LIMIT:
-        held = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(float(p)) for p in probs.values()])).alias("_q"))
-        return held.select(*keys, *[F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(probs)])
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+        marks = held.groupBy(*keys).agg(F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs.values()])).alias("_q"))
+        return marks.select(*keys, *[F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(names)])
     if not keys:
-        counts = counts.withColumn("_all", F.lit(0))
+        held = held.withColumn("_all", F.lit(0))
     group = keys or ["_all"]
 
-    limits = counts.groupBy(*group).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total"))
-    width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
-    placed = counts.join(limits, group).withColumn(
-        "_bin",
-        F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col("_v") - F.col("_lo")) / width))).otherwise(F.lit(0)).cast("int"),
+    slack = 2.0 / accuracy
+    ends = [e for p in probs.values() for e in (max(0.0, p - slack), min(1.0, p + slack))]
+    sketch = held.groupBy(*group).agg(
+        F.percentile_approx("_v", F.array(*[F.lit(e) for e in ends]), accuracy).alias("_e"), F.count(F.lit(1)).alias("_total")
     )
-    by_bin = Window.partitionBy(*group).orderBy("_bin")
-    histogram = (
-        placed.groupBy(*group, "_bin")
-        .agg(F.sum("_n").alias("_in"), F.first("_total").alias("_total"))
-        .withColumn("_before", F.coalesce(F.sum("_in").over(by_bin.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    )
-    ranks = {}
-    for name, p in probs.items():
-        at = F.lit(float(p)) * (F.col("_total") - 1)
-        ranks[name] = (F.floor(at), F.ceil(at), at - F.floor(at))
-    wanted = F.lit(False)
-    for low, high, _ in ranks.values():
-        for r in (low, high):
-            wanted = wanted | ((r >= F.col("_before")) & (r < F.col("_before") + F.col("_in")))
-    needed = histogram.where(wanted).select(*group, "_bin", "_before")
-
-    inside = Window.partitionBy(*group, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    located = (
-        placed.join(needed, [*group, "_bin"])
-        .withColumn("_end", F.col("_before") + F.sum("_n").over(inside))
-        .withColumn("_start", F.col("_end") - F.col("_n"))
+    # The interpolated quantile may need the value one rank beyond a bracket; the ends leave room for it, except
+    # in groups so small that one rank is more than the slack, which are kept whole.
+    small = F.col("_total") <= accuracy
+    bounds = F.array(*[
+        F.struct(
+            F.lit(i).alias("i"), F.when(~small, F.get("_e", F.lit(2 * i))).alias("low"), F.when(~small, F.get("_e", F.lit(2 * i + 1))).alias("high")
+        )
+        for i in range(len(names))
+    ])
+    brackets = sketch.select(*group, "_total", bounds.alias("_b"))
+    # NaN sorts last and never lies below a bound, as in the built-in aggregate.
+    placed = held.join(brackets, group).select(*group, "_total", "_v", F.explode("_b").alias("_b"))
+    below = F.col("_b.low").isNotNull() & (F.col("_v") < F.col("_b.low"))
+    above = F.col("_b.high").isNotNull() & (F.col("_v") > F.col("_b.high"))
+    counted = (
+        placed.where(~above)
+        .groupBy(*group, F.col("_b.i").alias("_i"), F.when(~below, F.col("_v")).alias("_v"))
+        .agg(F.count(F.lit(1)).alias("_n"), F.max("_total").alias("_total"))
     )
+    # NULL stands for everything below and sorts first, so the running sum starts at the right rank.
+    inside = Window.partitionBy(*group, "_i").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0)
+    located = counted.withColumn("_end", F.sum("_n").over(inside)).withColumn("_start", F.col("_end") - F.col("_n"))
     aggs = []
-    for name, (low, high, part) in ranks.items():
-        def at(r):
-            return F.max(F.when((r >= F.col("_start")) & (r < F.col("_end")), F.col("_v")))
-        aggs.append((at(low) + (at(high) - at(low)) * F.max(part)).alias(name))
-    return located.groupBy(*group).agg(*aggs).select(*keys, *probs)
+    for i, (name, p) in enumerate(probs.items()):
+        rank = F.lit(float(p)) * (F.col("_total") - 1)
+
+        def at(r, i=i):
+            return F.max(F.when((F.col("_i") == i) & (r >= F.col("_start")) & (r < F.col("_end")), F.col("_v")))
+
+        low, high = at(F.floor(rank)), at(F.ceil(rank))
+        aggs.append((low + (high - low) * F.max(rank - F.floor(rank))).alias(name))
+    return located.groupBy(*group).agg(*aggs).select(*keys, *names)

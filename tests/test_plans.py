@@ -27,13 +27,16 @@ def test_ordered_matches_a_sorted_list(spark):
             assert (r["n"]["id"] if r["n"] else None) == (own[at + 1][1] if at + 1 < len(own) else None)
 
 
-@pytest.mark.parametrize("largest", [None, 10])
-def test_quantiles_match_numpy(spark, largest):
+@pytest.mark.parametrize("largest,accuracy", [(None, 10_000), (None, 50), (10, 10_000)])
+def test_quantiles_match_numpy(spark, largest, accuracy):
     rng = np.random.default_rng(3)
-    groups = {"flat": np.full(50, 2.5), "hot": np.concatenate([np.zeros(3000), rng.normal(size=500)]), "two": np.array([1.0, 4.0]), "one": np.array([7.0])}
+    groups = {
+        "flat": np.full(500, 2.5), "hot": np.concatenate([np.zeros(3000), rng.normal(size=500)]), "two": np.array([1.0, 4.0]), "one": np.array([7.0]),
+        "outlier": np.concatenate([rng.random(4000), [1e12, -1e12]]),
+    }
     df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs], "k string, v double")
-    probs = {"a": 0.02, "b": 0.5, "c": 0.98}
-    got = {r["k"]: r for r in exact_quantiles(df, ["k"], "v", probs, bins=16, largest=largest).collect()}
+    probs = {"a": 0.02, "b": 0.5, "c": 0.98, "z": 1.0}
+    got = {r["k"]: r for r in exact_quantiles(df, ["k"], "v", probs, accuracy=accuracy, largest=largest).collect()}
     for k, vs in groups.items():
         for name, p in probs.items():
             assert got[k][name] == pytest.approx(np.percentile(vs, p * 100), abs=1e-12)
