@@ -35,8 +35,8 @@ for number, category, column in (
 ):
 
     @query(number, f"SELECT region_id, round({column}, 4) AS score FROM fx_category_scores")
-    def category_score(t, category=category):
-        return t.fx_regions.select("region_id", F.round(rules.category_score(category), 4).alias("score"))
+    def one_category(t, category=category):
+        return t.fx_regions.select("region_id", F.round(rules.category_scores()[category], 4).alias("score"))
 
 
 @query("g05_top2_margin", "SELECT region_id, best, top AS best_score, second AS runner_score, round(top - second, 6) AS margin FROM fx_ranked")

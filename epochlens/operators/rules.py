@@ -80,13 +80,13 @@ def _hit(rule: Rule) -> Column:
     return hit if rule.applies is None else hit & F.coalesce(rule.applies, F.lit(False))
 
 
-def category_score(category: str, config: ClassifierConfig = ClassifierConfig()) -> Column:
-    """Sum of the points that hit, out of 100, kept in 0..1."""
-    total = F.lit(0.0)
+def category_scores(config: ClassifierConfig = ClassifierConfig()) -> dict[str, Column]:
+    """Per category the sum of the points that hit, out of 100, kept in 0..1."""
+    totals = {c: F.lit(0.0) for c in CATEGORIES}
     for rule in rule_table(config):
-        if rule.category == category and not rule.rule_id.startswith("gate_"):
-            total = total + F.when(_hit(rule), float(rule.points)).otherwise(0.0)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), total / 100.0))
+        if not rule.rule_id.startswith("gate_"):
+            totals[rule.category] = totals[rule.category] + F.when(_hit(rule), float(rule.points)).otherwise(0.0)
+    return {c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), total / 100.0)) for c, total in totals.items()}
 
 
 def rule_evaluations(config: ClassifierConfig = ClassifierConfig()) -> Column:
@@ -114,7 +114,7 @@ def top2(scores: dict[str, Column]) -> Column:
 
 
 def with_scores(regions: DataFrame, config: ClassifierConfig = ClassifierConfig()) -> DataFrame:
-    return regions.select("*", *[category_score(c, config).alias(f"score_{c}") for c in CATEGORIES])
+    return regions.select("*", *[score.alias(f"score_{c}") for c, score in category_scores(config).items()])
 
 
 def classify_regions(regions: DataFrame, config: ClassifierConfig = ClassifierConfig()) -> DataFrame:
