@@ -85,7 +85,7 @@ def brightness(t):
     SELECT pair_id, region_id, n AS context_pixels, n >= 4 AS context_available, CASE WHEN n >= 4 THEN round(mean, 4) END AS surrounding_change, CASE WHEN n >= 4 THEN round(abs(s - mean), 4) END AS contrast FROM a""")
 def context(t):
     run = chain.detection(t)
-    return evidence.context_contrast(pixels.context_pixels(run.scored), run.members, regions(t, run.members), CONFIG, cell=2)
+    return evidence.context_contrast(run.scored, run.members, regions(t, run.members), CONFIG, block=4)
 
 
 @query("j09_region_score_stats", f"""

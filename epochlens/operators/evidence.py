@@ -6,7 +6,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from epochlens.config import EvidenceConfig
@@ -192,34 +195,69 @@ def brightness_delta(means: DataFrame) -> DataFrame:
     return means.groupBy(*REGION).agg(F.round(F.coalesce(F.avg(shown), F.avg("delta")), 4).alias("brightness_delta"))
 
 
-def context_contrast(scores: DataFrame, members: DataFrame, regions: DataFrame, config: EvidenceConfig = EvidenceConfig(), cell: int = 64) -> DataFrame:
+def _window_sums():
+    @F.pandas_udf("array<struct<region_id: string, n: bigint, total: double>>")
+    def sums(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        """Count and sum of unchanged pixels inside each window, from summed-area tables of the block."""
+
+        def corner(table, r0, r1, c0, c1):
+            return table[r1, c1] - table[r0, c1] - table[r1, c0] + table[r0, c0]
+
+        for batch in batches:
+            out = []
+            for scores, seen, height, width, rows, cols, ids, r0, r1, c0, c1 in zip(*batch):
+                open_px = np.asarray(seen, dtype=bool).reshape(height, width).copy()
+                if rows is not None:
+                    open_px[np.asarray(rows), np.asarray(cols)] = False
+                values = np.where(open_px, np.asarray(scores, dtype=np.float64).reshape(height, width), 0.0)
+                area, total = np.zeros((height + 1, width + 1), np.int64), np.zeros((height + 1, width + 1))
+                area[1:, 1:], total[1:, 1:] = open_px.cumsum(0).cumsum(1), values.cumsum(0).cumsum(1)
+                box = (np.clip(r0, 0, height), np.clip(np.asarray(r1) + 1, 0, height), np.clip(c0, 0, width), np.clip(np.asarray(c1) + 1, 0, width))
+                out.append([{"region_id": i, "n": int(n), "total": float(t)} for i, n, t in zip(ids, corner(area, *box), corner(total, *box))])
+            yield pd.Series(out)
+
+    return sums
+
+
+def context_contrast(scored: DataFrame, members: DataFrame, regions: DataFrame, config: EvidenceConfig = EvidenceConfig(), block: int = 512) -> DataFrame:
     """Unchanged surroundings of each region and how the region stands out from them.
 
-    `scores` is (pair_id, row, col, score, usable). Regions are listed in the grid cells their buffered box
-    meets, a pixel lies in exactly one cell, and the sums combine before they are shuffled.
+    Windows (region boxes grown by the buffer) and changed pixels are packed per raster block, meet the block
+    once, and each block answers for its windows; only one count and sum per window and block are exchanged.
     """
-    background = scores.where("usable").join(members.select("pair_id", "row", "col"), ["pair_id", "row", "col"], "left_anti")
     buffer = config.buffer_px
 
     def span(low, high):
-        return F.sequence(F.floor((F.col(low) - buffer) / cell), F.floor((F.col(high) + buffer) / cell))
+        return F.sequence(F.floor((F.col(low) - buffer) / block), F.floor((F.col(high) + buffer) / block))
 
-    windows = regions.select(*REGION, "mean_score", "min_row", "min_col", "max_row", "max_col").withColumn("cr", F.explode(span("min_row", "max_row")))
-    windows = windows.withColumn("cc", F.explode(span("min_col", "max_col")))
-    placed = background.withColumn("cr", F.floor(F.col("row") / cell)).withColumn("cc", F.floor(F.col("col") / cell))
-    inside = F.col("row").between(F.col("min_row") - buffer, F.col("max_row") + buffer) & F.col("col").between(
-        F.col("min_col") - buffer, F.col("max_col") + buffer
+    placed = regions.select(*REGION, "min_row", "min_col", "max_row", "max_col").withColumn("_br", F.explode(span("min_row", "max_row")))
+    placed = placed.withColumn("_bc", F.explode(span("min_col", "max_col"))).select(
+        *REGION, (F.col("_br") * block).cast("int").alias("row0"), (F.col("_bc") * block).cast("int").alias("col0"), "min_row", "min_col", "max_row", "max_col"
+    )
+    at = ("pair_id", "row0", "col0")
+    windows = placed.groupBy(*at).agg(F.collect_list(F.struct(
+        "region_id", (F.col("min_row") - buffer - F.col("row0")).alias("r0"), (F.col("max_row") + buffer - F.col("row0")).alias("r1"),
+        (F.col("min_col") - buffer - F.col("col0")).alias("c0"), (F.col("max_col") + buffer - F.col("col0")).alias("c1"),
+    )).alias("_w"))
+    row0, col0 = ((F.floor(F.col(c) / block) * block).cast("int") for c in ("row", "col"))
+    taken = members.groupBy("pair_id", row0.alias("row0"), col0.alias("col0")).agg(
+        F.collect_list(F.struct((F.col("row") % block).alias("r"), (F.col("col") % block).alias("c"))).alias("_t")
+    )
+    met = scored.join(windows, list(at)).join(taken, list(at), "left")
+    sums = _window_sums()(
+        "scores", "seen", "height", "width", F.col("_t.r"), F.col("_t.c"), F.col("_w.region_id"), F.col("_w.r0"), F.col("_w.r1"), F.col("_w.c0"), F.col("_w.c1")
     )
-    around = placed.join(windows, ["pair_id", "cr", "cc"]).where(inside).groupBy(*REGION).agg(
-        F.count(F.lit(1)).alias("context_pixels"), F.avg("score").alias("_mean"), F.max("mean_score").alias("_region")
+    around = met.select("pair_id", F.explode(sums).alias("s")).groupBy("pair_id", F.col("s.region_id").alias("region_id")).agg(
+        F.sum("s.n").alias("context_pixels"), F.sum("s.total").alias("_total")
     )
     enough = F.col("context_pixels") >= config.min_context_pixels
-    out = regions.select(*REGION).join(around, list(REGION), "left")
+    mean = F.col("_total") / F.col("context_pixels")
+    out = regions.select(*REGION, "mean_score").join(around, list(REGION), "left")
     return out.select(
         *REGION, F.coalesce("context_pixels", F.lit(0)).alias("context_pixels"),
         F.coalesce(enough, F.lit(False)).alias("context_available"),
-        F.when(enough, F.round("_mean", 4)).alias("surrounding_change"),
-        F.when(enough, F.round(F.abs(F.col("_region") - F.col("_mean")), 4)).alias("contrast"),
+        F.when(enough, F.round(mean, 4)).alias("surrounding_change"),
+        F.when(enough, F.round(F.abs(F.col("mean_score") - mean), 4)).alias("contrast"),
     )
 
 
@@ -273,7 +311,7 @@ def feature_long(wide: DataFrame) -> DataFrame:
     )
 
 
-def extract(scores: DataFrame, members: DataFrame, regions: DataFrame, aligned: DataFrame, valid_pixels: DataFrame,
+def extract(scored: DataFrame, members: DataFrame, regions: DataFrame, aligned: DataFrame, valid_pixels: DataFrame,
             names: list[str], config: EvidenceConfig = EvidenceConfig(), block: int = 512, nodata: float | None = None) -> DataFrame:
     """All evidence of every region in one wide row."""
     spectra = region_spectra(members, aligned, block, nodata)
@@ -282,7 +320,7 @@ def extract(scores: DataFrame, members: DataFrame, regions: DataFrame, aligned:
     wide = shape_descriptors(regions, region_perimeter(members))
     for part in (
         moments(members), region_neighbors(regions, config.buffer_px), spectral_indices(spectra, config), brightness_delta(means), later,
-        context_contrast(scores, members, regions, config), region_score_stats(members, valid_pixels),
+        context_contrast(scored, members, regions, config, block), region_score_stats(members, valid_pixels),
     ):
         wide = wide.join(part, list(REGION), "left")
     return wide.withColumn("spectral_available", F.col("spectral_pixels").isNotNull()).withColumn(

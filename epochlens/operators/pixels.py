@@ -191,12 +191,6 @@ def score_pixels(scored: DataFrame, *extra: str) -> DataFrame:
     return rows.select("pair_id", *_position(), F.col("_px.valid").alias("valid"), F.col("_px.scores").alias("score"), *extra)
 
 
-def context_pixels(scored: DataFrame) -> DataFrame:
-    """Pixel rows (pair_id, row, col, score, usable); usable pixels are finite at the later date."""
-    rows = scored.select("pair_id", "row0", "col0", "width", F.posexplode(F.arrays_zip("seen", "scores")).alias("_pos", "_px"))
-    return rows.select("pair_id", *_position(), F.col("_px.scores").alias("score"), F.col("_px.seen").alias("usable"))
-
-
 def threshold(scored: DataFrame, config: DetectionConfig = DetectionConfig()) -> DataFrame:
     """Per pair the score from which a pixel counts as changed; NULL when nothing changed at all."""
     pixels = score_pixels(scored).where("valid")

@@ -88,7 +88,7 @@ def analyse_pairs(pairs: DataFrame, rasters: DataFrame, frames: DataFrame, setti
     members = cut(run.members)
     regions = pixels.region_stats(members, frames)
     wide = evidence.extract(
-        pixels.context_pixels(run.scored), members, regions, run.aligned, pixels.valid_counts(run.scored),
+        run.scored, members, regions, run.aligned, pixels.valid_counts(run.scored),
         list(settings.band_names), settings.evidence, settings.block, settings.detection.nodata,
     )
     placed = regions.select("pair_id", "region_id", *matching.BOX, "lon", "lat", "area_m2")

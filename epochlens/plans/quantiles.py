@@ -27,13 +27,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     if largest is not None and largest <= GROUP_LIMIT:
         marks = held.groupBy(*keys).agg(F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs.values()])).alias("_q"))
         return marks.select(*keys, *[F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(names)])
-    if not keys:
-        held = held.withColumn("_all", F.lit(0))
-    group = keys or ["_all"]
-
     slack = 2.0 / accuracy
     ends = [e for p in probs.values() for e in (max(0.0, p - slack), min(1.0, p + slack))]
-    sketch = held.groupBy(*group).agg(
+    sketch = held.groupBy(*keys).agg(
         F.percentile_approx("_v", F.array(*[F.lit(e) for e in ends]), accuracy).alias("_e"), F.count(F.lit(1)).alias("_total")
     )
     # The interpolated quantile may need the value one rank beyond a bracket; the ends leave room for it, except
@@ -45,18 +41,22 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
         )
         for i in range(len(names))
     ])
-    brackets = sketch.select(*group, "_total", bounds.alias("_b"))
+    brackets = sketch.select(*keys, F.struct("_total", bounds.alias("_b")).alias("_s"))
     # NaN sorts last and never lies below a bound, as in the built-in aggregate.
-    placed = held.join(brackets, group).select(*group, "_total", "_v", F.explode("_b").alias("_b"))
+    if keys:
+        known = held.join(brackets, keys)
+    else:  # one row of brackets for the whole table, as a scalar subquery
+        known = held.withColumn("_s", brackets.select("_s").scalar())
+    placed = known.select(*keys, F.col("_s._total").alias("_total"), "_v", F.explode("_s._b").alias("_b"))
     below = F.col("_b.low").isNotNull() & (F.col("_v") < F.col("_b.low"))
     above = F.col("_b.high").isNotNull() & (F.col("_v") > F.col("_b.high"))
     counted = (
         placed.where(~above)
-        .groupBy(*group, F.col("_b.i").alias("_i"), F.when(~below, F.col("_v")).alias("_v"))
+        .groupBy(*keys, F.col("_b.i").alias("_i"), F.when(~below, F.col("_v")).alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"), F.max("_total").alias("_total"))
     )
     # NULL stands for everything below and sorts first, so the running sum starts at the right rank.
-    inside = Window.partitionBy(*group, "_i").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*keys, "_i").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0)
     located = counted.withColumn("_end", F.sum("_n").over(inside)).withColumn("_start", F.col("_end") - F.col("_n"))
     aggs = []
     for i, (name, p) in enumerate(probs.items()):
@@ -67,4 +67,4 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
 
         low, high = at(F.floor(rank)), at(F.ceil(rank))
         aggs.append((low + (high - low) * F.max(rank - F.floor(rank))).alias(name))
-    return located.groupBy(*group).agg(*aggs).select(*keys, *names)
+    return located.groupBy(*keys).agg(*aggs).select(*keys, *names)

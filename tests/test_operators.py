@@ -102,6 +102,26 @@ def test_shape_of_a_rectangle_and_a_line(spark):
     assert m["rect"]["linearity_score"] == pytest.approx((35 - 15) / (35 + 15), abs=1e-4)
 
 
+def test_context_across_blocks_matches_brute_force(spark):
+    rng = np.random.default_rng(4)
+    size, block, buffer = 30, 8, 3
+    scores, seen = rng.random((size, size)), rng.random((size, size)) > 0.1
+    boxes = {"r1": (2, 2, 9, 10), "r2": (15, 0, 17, 2), "r3": (20, 20, 29, 29)}
+    taken = [(n, r, c) for n, (r0, c0, r1, c1) in boxes.items() for r in range(r0, r1 + 1) for c in range(c0, c1 + 1) if (r + c) % 2]
+    blocks = [("p", r, c, min(block, size - r), min(block, size - c), *[[x.item() for x in a[r:r + block, c:c + block].ravel()] for a in (scores, seen)]) for r in range(0, size, block) for c in range(0, size, block)]
+    scored = spark.createDataFrame(blocks, "pair_id string, row0 int, col0 int, height int, width int, scores array<double>, seen array<boolean>")
+    members = spark.createDataFrame([("p", n, r, c, float(scores[r, c])) for n, r, c in taken], "pair_id string, region_id string, row int, col int, score double")
+    regions = spark.createDataFrame([("p", n, 0.5, *b) for n, b in boxes.items()], "pair_id string, region_id string, mean_score double, min_row int, min_col int, max_row int, max_col int")
+    got = {r["region_id"]: r for r in evidence.context_contrast(scored, members, regions, EvidenceConfig(buffer_px=buffer, min_context_pixels=10), block).collect()}
+    free = seen.copy()
+    for _, r, c in taken:
+        free[r, c] = False
+    for n, (r0, c0, r1, c1) in boxes.items():
+        window = np.s_[max(0, r0 - buffer): r1 + buffer + 1, max(0, c0 - buffer): c1 + buffer + 1]
+        values = scores[window][free[window]]
+        assert got[n]["context_pixels"] == len(values) and got[n]["surrounding_change"] == pytest.approx(values.mean(), abs=6e-5)
+
+
 BASE = dict(
     pair_id="p", region_id="r", area_px=100, rectangularity=0.9, compactness=0.6, linearity_score=0.1, aspect_ratio=1.2, axis_ratio=1.2, major_axis=12.0, minor_axis=10.0,
     brightness_delta=0.2, contrast=0.3, ndvi_delta=None, ndvi_mean=None, ndwi_mean=None, water_fraction=None, surrounding_change=0.05, mean_score=0.6, score_std=0.1,
