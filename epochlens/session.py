@@ -19,9 +19,6 @@ _RUNTIME_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
 }
 
-_STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
 def build_session(master: str = "local[8]", app: str = "epochlens", **conf: str) -> SparkSession:
     """Session for local runs and tests; on a cluster pass the session you already have to `tune`."""
     builder = (
@@ -30,7 +27,6 @@ def build_session(master: str = "local[8]", app: str = "epochlens", **conf: str)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
-        .config("spark.sql.streaming.stateStore.providerClass", _STATE_STORE)
     )
     for key, value in {**_RUNTIME_CONF, **conf}.items():
         builder = builder.config(key, value)

@@ -27,6 +27,7 @@ def series_counts(observations: DataFrame, window: str = "1 day", delay: str = "
     )
 
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PAIR_SCHEMA = "series_id string, earlier_id string, later_id string, later_time timestamp, is_late boolean"
 
 
@@ -61,7 +62,8 @@ def _adjacent_processor():
 
 
 def adjacent_pairs(observations: DataFrame) -> DataFrame:
-    """Pairs of chronological neighbours as observations arrive; needs the RocksDB state store."""
+    """Pairs of chronological neighbours as observations arrive, on the RocksDB state store this operator needs."""
+    observations.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     stream = observations.select("series_id", "observation_id", to_utc(F.col("acquisition_time")).alias("acquisition_time"))
     return stream.groupBy("series_id").transformWithStateInPandas(_adjacent_processor(), PAIR_SCHEMA, "Append", "None")
 
