@@ -15,8 +15,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 DAY = 86_400_000_000
 
 
+_BEFORE_ALL = -(2**62)
+
+
 def chunk_of(ts: Column, width_us: int) -> Column:
-    return F.floor(F.unix_micros(ts) / F.lit(width_us))
+    """Time chunk of a row; rows without a time come first and share one chunk."""
+    return F.coalesce(F.floor(F.unix_micros(ts) / F.lit(width_us)), F.lit(_BEFORE_ALL))
 
 
 def ordered(

@@ -27,6 +27,12 @@ def test_ordered_matches_a_sorted_list(spark):
             assert (r["n"]["id"] if r["n"] else None) == (own[at + 1][1] if at + 1 < len(own) else None)
 
 
+def test_ordered_keeps_rows_without_a_time(spark):
+    df = spark.createDataFrame([("k", None, "a"), ("k", 5, "b"), ("k", None, "c")], "k string, us long, id string").withColumn("ts", F.timestamp_micros("us"))
+    got = {r["id"]: (r["rn"], r["p"] and r["p"]["id"]) for r in ordered(df, ["k"], "ts", "id", rank="rn", prev="p").collect()}
+    assert got == {"a": (1, None), "c": (2, "a"), "b": (3, "c")}
+
+
 @pytest.mark.parametrize("largest,accuracy", [(None, 10_000), (None, 50), (10, 10_000)])
 def test_quantiles_match_numpy(spark, largest, accuracy):
     rng = np.random.default_rng(3)
