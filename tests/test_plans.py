@@ -119,7 +119,7 @@ def test_topk_and_ranks_match_brute_force(spark, small):
 
 
 def test_metrics_of_unit_axes(spark):
-    e = [[1.0, 0, 0], [0, 1.0, 0], [0, 0, 1.0]]
+    e = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]]
     q = spark.createDataFrame([(0, "a", e[0]), (1, "b", e[1])], "query_id int, label string, v array<double>")
     g = spark.createDataFrame([(0, "a", e[0]), (1, "b", e[1]), (2, "c", e[2])], "gallery_id int, label string, v array<double>")
     r = ranking.retrieval_metrics(q, g).first()
