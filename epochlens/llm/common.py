@@ -77,6 +77,22 @@ def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return docs.select(F.col(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias(text))
 
 
+def row_key(docs: DataFrame) -> Column:
+    """What identifies a document in a filtering stage: its doc_id with a hash of its text, so that null and
+    repeated ids are told apart by their texts."""
+    return F.struct(docs["doc_id"].alias("id"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("text"))
+
+
+def by_row_key(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with the row key in place of the doc_id, as input of an operator."""
+    return docs.select(row_key(docs).alias("doc_id"), "text")
+
+
+def where_key(docs: DataFrame, marked: DataFrame, how: str) -> DataFrame:
+    """Rows of `docs` whose row key is (`left_semi`) or isn't (`left_anti`) in the column doc_id of `marked`."""
+    return docs.join(marked.select(F.col("doc_id").alias("_marked")).distinct(), row_key(docs) == F.col("_marked"), how)
+
+
 def starts_of(lengths: Column) -> Column:
     """Running sums of an array before each element, without Python.
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from epochlens.llm import simhash
+from epochlens.llm import decontaminate, mixing, simhash, tokens, toxicity
 from epochlens.session import tune
 
 
@@ -14,12 +14,45 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary() -> str:
+    """Default path of the vocabulary; the operator takes it as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.tokenized(_table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op6_tfidf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    found = toxicity.toxicity(docs, labels)
+    return found.select("doc_id", F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted", "evidence")
+
+
+def op7_pareto_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mixture(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated"
+    )
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_rans_tokens": op3_rans_tokens,
+    "op6_tfidf_toxicity": op6_tfidf_toxicity,
+    "op7_pareto_mixture": op7_pareto_mixture,
+    "op8_winnowing": op8_winnowing,
     "op10_simhash": op10_simhash,
 }
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from epochlens.llm.common import map_batches, plain_words, texts, utf8
+from epochlens.llm.common import by_row_key, map_batches, plain_words, row_key, texts, utf8, where_key
 from epochlens.plans.components import connected
 from epochlens.session import cut
 
@@ -183,11 +183,7 @@ def hex_fingerprint(fp: Column) -> Column:
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """The document with the smallest doc_id of each group, once; columns as given.
-
-    Rows without a doc_id stay as they are: nothing tells them apart from one another.
-    """
-    found = near_duplicates(docs, **options)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    named = docs.join(kept, docs["doc_id"] == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    """The document with the smallest doc_id of each group, once; columns as given. A null doc_id is the smallest."""
+    found = near_duplicates(by_row_key(docs), **options)
+    kept = where_key(docs, found.where("doc_id = component_id"), "left_semi")
+    return kept.withColumn("_key", row_key(kept)).dropDuplicates(["_key"]).drop("_key")
