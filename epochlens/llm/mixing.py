@@ -11,6 +11,8 @@ from epochlens.session import cut
 PLAIN_WORD = r"[^\x20\x09-\x0D]+"
 #: Equal parts of the rank scale in which words are summed before any rows are ordered.
 BINS = 4_096
+#: Sources whose plan, a few numbers each, may be sent to every task.
+BROADCAST = 10_000
 
 
 def _draw(seed: int) -> Column:
@@ -60,8 +62,8 @@ def _rank(u: Column, odds: Column) -> Column:
     return ratio / (1 + ratio)
 
 
-def plan(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 11) -> tuple[DataFrame, DataFrame]:
-    """The sized documents, and per source: source, source_size, target, copies, odds, last_rank, extra_rank.
+def plan(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 11) -> tuple[DataFrame, DataFrame, int]:
+    """The sized documents, per source (and the number of sources): source, source_size, target, copies, odds, last_rank, extra_rank.
 
     Every document of a source is taken `copies` times, for certain. For the rest of the target each is included
     with the same remaining probability; documents of the smallest ranks are taken once more, up to `last_rank`,
@@ -76,8 +78,9 @@ def plan(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1
         .withColumn("chance", F.greatest(F.lit(0.0), F.col("ratio") - F.col("copies")))
         .withColumn("odds", F.when((F.col("chance") > 1e-12) & (F.col("copies") < most), F.col("chance") / (1 - F.col("chance"))))
     )
+    sources = goal.count()
     ranked = cut(
-        _with_source(sized, goal.where("odds IS NOT NULL").select("source", "odds", "rest"))
+        _with_source(sized, goal.where("odds IS NOT NULL").select("source", "odds", "rest"), sources=sources)
         .withColumn("rank", _rank(F.col("u"), F.col("odds"))).withColumn("bin", F.floor(F.col("rank") * BINS))
         .select("source", "size", "rank", "bin", "rest")
     )
@@ -106,17 +109,20 @@ def plan(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1
             F.coalesce("in_last", F.col("bin") / BINS).alias("last_rank"), F.coalesce("in_upto", "before").alias("upto"),
         )
     )
-    spare = _with_source(ranked, cuts).where("rank > last_rank").withColumn("off", F.abs(F.col("rest") - F.col("upto") - F.col("size")))
+    spare = _with_source(ranked, cuts, sources=sources).where("rank > last_rank").withColumn("off", F.abs(F.col("rest") - F.col("upto") - F.col("size")))
     extra = spare.where(F.col("off") < F.col("rest") - F.col("upto")).groupBy("source").agg(
         F.min_by("rank", F.struct("off", "rank")).alias("extra_rank")
     )
     full = goal.select("source", "source_size", "target", "copies", "odds")
-    return sized, _with_source(_with_source(full, cuts.select("source", "last_rank"), "left"), extra, "left")
+    return sized, _with_source(_with_source(full, cuts.select("source", "last_rank"), "left"), extra, "left"), sources
 
 
-def _with_source(rows: DataFrame, by_source: DataFrame, how: str = "inner") -> DataFrame:
-    """Join on the source, null with null."""
+def _with_source(rows: DataFrame, by_source: DataFrame, how: str = "inner", sources: int | None = None) -> DataFrame:
+    """Join on the source, null with null. A counted number of `sources` up to BROADCAST travels to the tasks, so that
+    rows of a large source stay where they are; more are joined by a shuffle, where the adaptive planner splits them."""
     other = by_source.withColumnRenamed("source", "_source")
+    if sources is not None and sources <= BROADCAST:
+        other = F.broadcast(other)
     return rows.join(other, rows["source"].eqNullSafe(F.col("_source")), how).drop("_source")
 
 
@@ -134,8 +140,8 @@ def mixture(docs: DataFrame, **options) -> DataFrame:
     Null texts have size 0; a null source is a source. Equal rows (id and text) share one draw, and so are taken
     equally often. An empty table gives no rows. Only doc_id, text and source are read.
     """
-    sized, by_source = plan(docs, **options)
-    return _taken(_with_source(sized, by_source)).select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    sized, by_source, sources = plan(docs, **options)
+    return _taken(_with_source(sized, by_source, sources=sources)).select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, *, seed: int = 11, **options) -> DataFrame:
@@ -143,8 +149,8 @@ def mixed(docs: DataFrame, *, seed: int = 11, **options) -> DataFrame:
 
     Every row is judged by its own draw and the plan of its source, so texts need not be shuffled.
     """
-    _, by_source = plan(docs, seed=seed, **options)
+    _, by_source, sources = plan(docs, seed=seed, **options)
     # The row travels as one column, so that no other column of it can clash.
     held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col("source").cast("string").alias("source"), _draw(seed).alias("u"))
-    counted = _taken(_with_source(held, by_source)).where("copies > 0")
+    counted = _taken(_with_source(held, by_source, sources=sources)).where("copies > 0")
     return counted.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")

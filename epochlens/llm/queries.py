@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from epochlens.llm import decontaminate, mixing, simhash, tokens, toxicity
+from epochlens.llm import decontaminate, disclosure, mixing, native, secrets, simhash, tokens, toxicity
 from epochlens.session import tune
 
 
@@ -21,6 +21,22 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = disclosure.disclosures(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", *[F.size(k).cast("bigint").alias(f"n_{k}") for k in disclosure.KINDS],
+        disclosure.digest(disclosure.base_spans()).alias("base_sha256"), native.joined(disclosure.all_spans()).alias("spans"),
+    )
+
+
+def op2_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.document_secrets(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", *[secrets.counted(F.col("spans"), k).alias(f"n_{k}") for k in secrets.BASE],
+        secrets.digest(F.col("spans")).alias("base_sha256"), native.joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op3_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.tokenized(_table(spark, sf_dir, "documents"), vocabulary())
 
@@ -49,6 +65,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_disclosure": op1_disclosure,
+    "op2_secret_ledger": op2_secret_ledger,
     "op3_rans_tokens": op3_rans_tokens,
     "op6_tfidf_toxicity": op6_tfidf_toxicity,
     "op7_pareto_mixture": op7_pareto_mixture,

@@ -25,7 +25,9 @@ class Table:
 
     @classmethod
     def of(cls, ids: np.ndarray) -> Table:
-        symbols, counts = np.unique(ids, return_counts=True)
+        counts = np.bincount(ids)
+        symbols = np.nonzero(counts)[0]
+        counts = counts[symbols]
         if len(symbols) > 1 << (SCALE_BITS - 1):
             raise ValueError("too many symbols for the scale")
         # One each, the rest in proportion; the most frequent one takes what rounding leaves.
@@ -64,7 +66,9 @@ def encode(ids: np.ndarray, table: Table) -> tuple[bytes, bytes]:
     if not n:
         return b"", b""
     blocks, steps = _steps(n)
-    place = np.searchsorted(table.symbols, ids)
+    place_of = np.zeros(int(table.symbols[-1]) + 1, np.int64)
+    place_of[table.symbols] = np.arange(len(table.symbols))
+    place = place_of[ids]
     filled = np.full(blocks * BLOCK, int(np.argmax(table.freqs)), np.int64)
     filled[:n] = place
     grid = filled.reshape(blocks, steps, LANES)

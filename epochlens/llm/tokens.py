@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import zlib
 from collections.abc import Iterator
+from itertools import islice, repeat
 from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +21,11 @@ from epochlens.session import scratch, tune
 
 #: Ids that share a frequency table and make one row of a file; a longer document is a row of its own.
 GROUP = 2_000_000
-_CACHED_WORDS = 300_000
+#: About 130 MB of a worker.
+_CACHED_WORDS = 800_000
 #: White space on both sides of a space, or before a last one: there a space doesn't begin a piece of its own.
 _SPACE_RUN = re.compile(r"\s \s|\s \Z")
+_HEAD = re.compile(r"[^\W_]*")
 _BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 
 
@@ -44,63 +49,98 @@ class Encoder:
             vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
             self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
             self.begins[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
-            self._forget()
-
-    def _forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.flat, self.starts = np.empty(1 << 16, np.uint32), np.zeros(1, np.int64)
-        self._learn([""])
+            self.place: dict[str, int] = {}
+            self.rests: dict[str, int] = {}
+            self.flat, self.starts, self.size = np.empty(1 << 16, np.uint32), np.zeros(1 << 10, np.int64), 0
 
     def _plain(self, pieces: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of stored pieces one after another, and the length of each."""
+        lengths = self.starts[at + 1] - self.starts[at]
+        ends = np.cumsum(lengths)
+        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[at] - (ends - lengths), lengths)], lengths
+
+    def _store(self, ids: np.ndarray, lengths: np.ndarray) -> range:
+        """Append pieces; their places."""
+        used, at = int(self.starts[self.size]), self.size
+        if used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat[:used], np.empty(used + 2 * len(ids), np.uint32)])
+        if at + len(lengths) >= len(self.starts):
+            self.starts = np.concatenate([self.starts[: at + 1], np.empty(at + 2 * len(lengths), np.int64)])
+        self.flat[used : used + len(ids)] = ids
+        self.starts[at + 1 : at + 1 + len(lengths)] = used + np.cumsum(lengths)
+        self.size += len(lengths)
+        return range(at, self.size)
+
+    def _store_plain(self, pieces: list[str]) -> range:
+        found = [np.array(x, np.uint32) for x in self._plain(pieces)]
+        return self._store(np.concatenate([*found, np.empty(0, np.uint32)]), np.array([len(x) for x in found], np.int64))
+
     def _learn(self, words: list[str]) -> None:
-        """Store the ids of words, each taken with the space before it."""
+        """Store the ids of new words, each taken with the space before it.
+
+        A leading run of letters and digits always ends a piece, so it is encoded once for all that may follow it.
+        """
         edged = [w for w in words if not w or w[0].isspace() or w[-1].isspace()]
-        simple = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
-        parts, lengths = [], []
-        for i in range(0, len(simple), 20_000):
-            some = simple[i : i + 20_000]
-            ids = np.array(self._plain(["", " " + " ".join(some)])[1], np.uint32)
+        self.place.update(zip(edged, self._store_plain([" " + w for w in edged])))
+        simple = [w for w in words if w not in self.place]
+        split = {w: (h, w[len(h) :]) for w in simple if (h := _HEAD.match(w)[0]) and len(h) < len(w)}
+        known = {w for w in simple if w not in split} | {h for h, _ in split.values()}
+        self._learn_joined([w for w in known if w not in self.place])
+        rests = list({r for _, r in split.values() if r not in self.rests})
+        self.rests.update(zip(rests, self._store_plain(rests)))
+        pairs = np.array([(self.place[h], self.rests[r]) for h, r in split.values()], np.int64).reshape(-1)
+        ids, lengths = self._gather(pairs)
+        self.place.update(zip(split, self._store(ids, lengths.reshape(-1, 2).sum(axis=1))))
+
+    def _learn_joined(self, words: list[str]) -> None:
+        """Words without white space at their ends, encoded in long lines; a piece that begins with a space begins a word."""
+        for i in range(0, len(words), 10_000):
+            some = words[i : i + 10_000]
+            ids = np.array(self._plain([" " + " ".join(some)])[0], np.uint32)
             begin = np.nonzero(self.begins[ids])[0]
             if len(begin) != len(some):
                 raise AssertionError("pieces don't begin with a space each")
-            parts.append(ids)
-            lengths.append(np.diff(np.append(begin, len(ids))))
-        for ids in self._plain([" " + w for w in edged]):
-            parts.append(np.array(ids, np.uint32))
-            lengths.append(np.array([len(ids)]))
-        ids, ends = np.concatenate(parts), np.cumsum(np.concatenate(lengths))
-        used = int(self.starts[-1])
-        if used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat[:used], np.empty(used + 2 * len(ids), np.uint32)])
-        self.flat[used : used + len(ids)] = ids
-        at = len(self.starts) - 1
-        self.starts = np.concatenate([self.starts, used + ends])
-        self.place.update(zip([*simple, *edged], range(at, at + len(words))))
+            self.place.update(zip(some, self._store(ids, np.diff(np.append(begin, len(ids))))))
 
     def encode(self, batch: list[str]) -> list[np.ndarray]:
         if not self.by_words:
             return [np.array(x, np.uint32) for x in self._plain(batch)]
-        if len(self.place) > _CACHED_WORDS:
-            self._forget()
         whole = [bool(_SPACE_RUN.search(t)) for t in batch]
         split = [[t] if w else t.split(" ") for t, w in zip(batch, whole)]
         heads = self._plain([s[0] for s in split])
         words = [w for s in split for w in s[1:]]
-        get = self.place.get
-        at = [get(w, -1) for w in words]
-        if new := {w for w, i in zip(words, at) if i < 0}:
-            self._learn(list(new))
-            at = [get(w) if i < 0 else i for w, i in zip(words, at)]
-        at = np.array(at, np.int64)
-        lengths = self.starts[at + 1] - self.starts[at]
-        ends = np.cumsum(lengths)
-        ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[at] - (ends - lengths), lengths)]
-        cuts = np.append(0, ends)[ragged(np.array([len(s) - 1 for s in split], np.int64))]
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.nonzero(at < 0)[0].tolist()
+        before = self.size, len(self.place), len(self.rests)
+        if missing:
+            self._learn(list({words[i] for i in missing}))
+            at[missing] = [self.place[words[i]] for i in missing]
+        ids, lengths = self._gather(at)
+        if len(self.place) + len(self.rests) > _CACHED_WORDS:
+            # Full: what this batch has brought is forgotten, what came earlier is more likely to come again.
+            for known, n in ((self.place, before[1]), (self.rests, before[2])):
+                for w in list(islice(reversed(known), len(known) - n)):
+                    del known[w]
+            self.size = before[0]
+        cuts = np.append(0, np.cumsum(lengths))[ragged(np.array([len(s) - 1 for s in split], np.int64))]
         return [np.concatenate([np.array(h, np.uint32), ids[a:b]]) for h, a, b in zip(heads, cuts[:-1].tolist(), cuts[1:].tolist())]
 
 
+def _encoder(spec: str) -> Encoder:
+    """One encoder per worker process and vocabulary, so that its memory serves all tasks there.
+
+    Functions travel to workers by value, so module globals don't outlive a task; a named place in sys.modules does.
+    """
+    held = sys.modules.setdefault("_epochlens_encoders", SimpleNamespace(by_spec={})).by_spec
+    if spec not in held:
+        held.clear()
+        held[spec] = Encoder(spec)
+    return held[spec]
+
+
 def _group_row(part: int, group: int, doc_ids: list, ids: list[np.ndarray]) -> dict:
     flat = np.concatenate(ids)
     table = rans.Table.of(flat)
@@ -133,7 +173,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, g
 
         part, n_groups, encoder, held, doc_ids, size = TaskContext.get().partitionId(), 0, None, [], [], 0
         for batch in batches:
-            encoder = encoder or Encoder(spec)
+            encoder = encoder or _encoder(spec)
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist())):
                 if held and size + len(ids) + 1 > group:
                     yield pa.RecordBatch.from_pylist([_group_row(part, n_groups, doc_ids, held)], schema)
