@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from epochlens.llm import decontaminate, disclosure, mixing, native, secrets, simhash, tokens, toxicity
+from epochlens.llm import decontaminate, disclosure, embeddings, licenses, mixing, native, secrets, simhash, tokens, toxicity
 from epochlens.session import tune
 
 
@@ -41,6 +41,10 @@ def op3_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.tokenized(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op5_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_tfidf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     found = toxicity.toxicity(docs, labels)
@@ -59,6 +63,14 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"), "score",
+    )
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
@@ -68,9 +80,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_disclosure": op1_disclosure,
     "op2_secret_ledger": op2_secret_ledger,
     "op3_rans_tokens": op3_rans_tokens,
+    "op5_collision_counting": op5_collision_counting,
     "op6_tfidf_toxicity": op6_tfidf_toxicity,
     "op7_pareto_mixture": op7_pareto_mixture,
     "op8_winnowing": op8_winnowing,
+    "op9_license_index": op9_license_index,
     "op10_simhash": op10_simhash,
 }
 

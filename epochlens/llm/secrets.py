@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from epochlens.llm.native import Pattern, joined, locate
+from epochlens.llm.native import Pattern, joined, literal_table, locate
 from epochlens.session import cut
 
 _ASSIGNED = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?"""
@@ -30,12 +30,16 @@ RULES = (
     Rule(Pattern("webtoken", r"eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+", needs="eyJ")),
 )
 BASE = ("assign", "access", "hex")
-_LEDGER = "blob string, rule string, version int, spans array<struct<start: bigint, end: bigint>>"
+_LEDGER = "blob: string, rule: string, version: int, spans: array<struct<start: bigint, end: bigint>>"
 
 
-def _ledger(spark: SparkSession, path: str | None) -> DataFrame:
-    """The ledger: a row for each scanned blob and rule version, whether or not it has findings."""
-    return spark.read.schema(_LEDGER).parquet(path) if path else spark.createDataFrame([], _LEDGER)
+def read_ledger(spark: SparkSession, path: str | None) -> DataFrame:
+    """The ledger: a row for each scanned blob and rule version, whether or not it has findings; empty where there is none yet."""
+    if path is not None:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+            return spark.read.schema(_LEDGER).parquet(path)
+    return literal_table(spark, [], _LEDGER)
 
 
 def scan_unseen(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -72,14 +76,14 @@ def scan(versions: DataFrame, ledger_path: str | None = None, rules: tuple[Rule,
     """
     spark = versions.sparkSession
     blobs = versions.select("key", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
-    known = _existing(spark, ledger_path)
+    known = read_ledger(spark, ledger_path)
     fresh = cut(scan_unseen(blobs.select("blob", "text"), known, rules))
     if ledger_path:
         fresh.write.mode("append").parquet(ledger_path)
     current = F.create_map(*[x for r in rules for x in (F.lit(r.pattern.kind), F.lit(r.version))])
     place = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.pattern.kind), F.lit(i))])
     findings = (
-        (fresh if not ledger_path else _existing(spark, ledger_path))
+        (fresh if not ledger_path else read_ledger(spark, ledger_path))
         .where((F.size("spans") > 0) & (current[F.col("rule")] == F.col("version")))
         .dropDuplicates(["blob", "rule", "version"])
         .select("blob", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), place[F.col("rule")].alias("place"), F.col("rule").alias("kind"), s["end"].alias("end"))).alias("spans"))
@@ -89,14 +93,6 @@ def scan(versions: DataFrame, ledger_path: str | None = None, rules: tuple[Rule,
     return blobs.select("key", "blob").join(findings, "blob", "left").select("key", "blob", F.coalesce("spans", empty).alias("spans"))
 
 
-def _existing(spark: SparkSession, path: str | None) -> DataFrame:
-    if path is None:
-        return _ledger(spark, None)
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path)
-    return _ledger(spark, path if there else None)
-
-
 def counted(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
 
