@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from epochlens.llm import decontaminate, disclosure, embeddings, licenses, mixing, native, secrets, simhash, tokens, toxicity
+from epochlens.llm import decontaminate, disclosure, embeddings, html, licenses, mixing, native, secrets, simhash, tokens, toxicity
 from epochlens.session import tune
 
 
@@ -41,6 +41,10 @@ def op3_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.tokenized(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op4_text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
 def op5_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_disclosure": op1_disclosure,
     "op2_secret_ledger": op2_secret_ledger,
     "op3_rans_tokens": op3_rans_tokens,
+    "op4_text_blocks": op4_text_blocks,
     "op5_collision_counting": op5_collision_counting,
     "op6_tfidf_toxicity": op6_tfidf_toxicity,
     "op7_pareto_mixture": op7_pareto_mixture,
