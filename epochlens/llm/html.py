@@ -163,7 +163,8 @@ LABELLED = (
     (30, 0.95, 40, 0.1, 25, 0.9, 0, 1, 0, 0, 0), (6, 1.0, 120, 0.0, 0, 0.0, 0, 1, 0, 0, 0), (14, 0.8, 90, 0.0, 7, 1.0, 0, 1, 0, 0, 0),
     (50, 0.3, 45, 0.1, 60, 0.0, 0, 1, 0, 0, 1), (200, 0.1, 3, 0.0, 150, 0.0, 0, 1, 0, 0, 1), (16, 0.0, 0, 0.0, 20, 0.0, 0, 1, 0, 0, 1),
     (2, 0.0, 3, 1.0, 4, 1.0, 0, 1, 0, 0, 0), (1, 0.0, 2, 1.0, 3, 1.0, 0, 1, 0, 0, 0), (4, 0.0, 6, 1.0, 5, 1.0, 0, 1, 1, 0, 0), (3, 0.0, 9, 0.9, 4, 1.0, 0, 1, 0, 1, 0),
-    (45, 0.1, 3, 1.0, 4, 1.0, 0, 1, 0, 0, 1), (30, 0.0, 8, 1.0, 7, 1.0, 0, 1, 0, 0, 1), (6, 0.0, 3, 1.0, 60, 0.0, 0, 1, 1, 0, 1), (5, 0.0, 70, 0.0, 3, 1.0, 0, 1, 0, 0, 1),
+    (45, 0.1, 3, 1.0, 4, 1.0, 0, 1, 0, 0, 1), (30, 0.0, 8, 1.0, 7, 1.0, 0, 1, 0, 0, 1), (6, 0.0, 3, 1.0, 60, 0.0, 0, 1, 1, 0, 1), (5, 0.0, 70, 0.0, 3, 1.0, 0, 1, 0, 0, 1), (1, 0.0, 70, 0.0, 3, 1.0, 0, 1, 0, 0, 1), (2, 0.0, 40, 0.0, 8, 1.0, 0, 1, 0, 0, 1),
+    (3, 0.0, 3, 1.0, 60, 0.0, 0, 1, 1, 0, 1), (1, 0.0, 2, 1.0, 1, 0.0, 0, 1, 0, 0, 1),
     (1, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0, 0, 1), (20, 0.0, 16, 0.0, 0, 0.0, 0, 1, 0, 0, 1), (6, 0.0, 1, 1.0, 0, 0.0, 0, 1, 0, 0, 1),
 )
 
