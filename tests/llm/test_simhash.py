@@ -64,7 +64,7 @@ def test_links_connect_as_all_pairs_do(spark):
 
 
 def test_one_of_each_group_stays(docs_of, prose):
-    a, b = prose(5, 200), prose(6, 200)
+    a, b = prose(5, 200), prose(6, 3000)
     docs = docs_of([(3, a), (2, a), (2, a), (9, b), (4, b + " more"), (None, prose(7, 50)), (None, prose(7, 50))])
     kept = simhash.keep_first(docs)
     assert kept.columns == docs.columns
