@@ -211,7 +211,7 @@ EXTRA_SQL = {
     "fx_pixels": """
         SELECT CAST(floor(vec_id / 2) AS BIGINT) AS pair_num, vec_id % 2 AS epoch, CAST(floor(pos / 16) AS INT) AS band,
           CAST(floor((pos % 16) / 4) AS INT) AS r, CAST(pos % 4 AS INT) AS c,
-          CASE WHEN (vec_id + pos) % 29 = 0 THEN -99e0 ELSE CAST(v AS DOUBLE) END AS value
+          CASE WHEN (vec_id + pos) % 29 = 0 THEN -99e0 WHEN (vec_id + pos) % 31 = 7 THEN -98e0 ELSE CAST(v AS DOUBLE) END AS value
         FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings)""",
     "fx_grid8": """
         SELECT vec_id, CAST(floor(pos / 8) AS INT) AS r, CAST(pos % 8 AS INT) AS c, CAST(v AS DOUBLE) AS value
@@ -219,7 +219,7 @@ EXTRA_SQL = {
     "fx_px": """
         SELECT e.pair_num AS pair_id, e.r, e.c, e.band, e.value AS e, l.value AS l
         FROM fx_pixels e JOIN fx_pixels l ON e.pair_num = l.pair_num AND e.r = l.r AND e.c = l.c AND e.band = l.band AND e.epoch = 0 AND l.epoch = 1""",
-    "fx_valid": "SELECT pair_id, r, c, bool_and(e <> -99 AND l <> -99) AS valid FROM fx_px GROUP BY ALL",
+    "fx_valid": "SELECT pair_id, r, c, bool_and(e <> -99 AND e <> -98 AND l <> -99 AND l <> -97) AS valid FROM fx_px GROUP BY ALL",
     "fx_range": """
         SELECT pair_id, band, quantile_cont(e, 0.02) AS el, quantile_cont(e, 0.98) AS eh, quantile_cont(l, 0.02) AS ll, quantile_cont(l, 0.98) AS lh
         FROM fx_px JOIN fx_valid USING (pair_id, r, c) WHERE valid GROUP BY ALL""",
@@ -280,11 +280,13 @@ def spark_view(tables, name: str) -> DataFrame:
     if name == "fx_rasters":
         # Raster store: one row per observation and block, bands x (height*width) values.
         raw = F.col("embedding").cast("array<double>")
-        v = F.transform(raw, lambda x, i: F.when((F.col("vec_id") + i) % 29 == 0, -99.0).otherwise(x))
+        v = F.transform(raw, lambda x, i: F.when((F.col("vec_id") + i) % 29 == 0, -99.0).when((F.col("vec_id") + i) % 31 == 7, -98.0).otherwise(x))
         return tables.table("embeddings").select(
             F.col("vec_id").alias("obs_id"),
             F.lit(0).alias("row0"), F.lit(0).alias("col0"), F.lit(4).alias("height"), F.lit(4).alias("width"),
             F.array(*[F.slice(v, 1 + 16 * b, 16) for b in range(4)]).alias("bands"),
+            # Each date has a nodata value of its own; -98 is a value like others in a later raster.
+            F.when(F.col("vec_id") % 2 == 0, -98.0).otherwise(-97.0).alias("nodata"),
         )
     if name == "fx_raster_pairs":
         ids = tables.table("embeddings").select("vec_id", F.floor(F.col("vec_id") / 2).alias("pair_id"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from epochlens.config import DetectionConfig
@@ -88,38 +90,41 @@ def select_bands(aligned: DataFrame, bands: tuple[int, ...] | None) -> DataFrame
     return aligned.withColumn("error", F.coalesce("error", F.when(outside, "band index out of range"))).withColumns(picked)
 
 
-def valid_mask(aligned: DataFrame, config: DetectionConfig = DetectionConfig()) -> DataFrame:
-    """Add `valid`: per pixel, no band of either date is NaN, infinite or nodata."""
-
-    def usable(nodata: Column):
-        def check(v):
-            ok = ~F.isnan(v) & (F.abs(v) != float("inf"))
-            if config.quality_mask:
-                if config.nodata is not None:
-                    ok = ok & (v != config.nodata)
-                ok = ok & F.coalesce(v != nodata, F.lit(True))
-            return F.coalesce(ok, F.lit(False))
-
-        return check
+def _stacked(bands, n: int) -> np.ndarray:
+    """Bands x n values of one block; what is missing or NULL is NaN."""
+    out = np.full((len(bands), n), np.nan)
+    for row, band in zip(out, bands):
+        if band is not None:
+            values = np.asarray(band, np.float64)[:n]
+            row[: len(values)] = values
+    return out
 
-    either = F.coalesce("earlier_nodata", "later_nodata"), F.coalesce("later_nodata", "earlier_nodata")
 
-    def pixel(i):
-        return F.forall("earlier", lambda b: usable(either[0])(F.get(b, i)) & usable(either[1])(F.get(b, i))) & F.forall(
-            "later", lambda b: usable(either[0])(F.get(b, i)) & usable(either[1])(F.get(b, i))
-        )
-
-    def finite(i):
-        return F.forall("later", lambda b: ~F.isnan(F.get(b, i)) & (F.abs(F.get(b, i)) != float("inf")))
+def valid_mask(aligned: DataFrame, config: DetectionConfig = DetectionConfig()) -> DataFrame:
+    """Add `valid`: per pixel, no band of either date is NaN, infinite or nodata; and `seen`: the later date is finite.
 
-    every = F.sequence(F.lit(0), F.col("height") * F.col("width") - 1)
-    return aligned.where(F.col("error").isNull()).withColumns({"valid": F.transform(every, pixel), "seen": F.transform(every, finite)})
+    The nodata value of a date counts for that date only, the configured one for both.
+    """
 
+    @F.pandas_udf("struct<valid: array<boolean>, seen: array<boolean>>")
+    def mask(earlier: pd.Series, later: pd.Series, n: pd.Series, earlier_nodata: pd.Series, later_nodata: pd.Series) -> pd.DataFrame:
+        valid, seen = [], []
+        for e, l, size, *own in zip(earlier, later, n, earlier_nodata, later_nodata):
+            dates = [_stacked(e, size), _stacked(l, size)]
+            finite = [np.isfinite(x) for x in dates]
+            usable = [f.copy() for f in finite]
+            if config.quality_mask:
+                for x, u, nodata in zip(dates, usable, own):
+                    for v in (config.nodata, nodata):
+                        if v is not None and not np.isnan(v):
+                            u &= x != v
+            valid.append(usable[0].all(axis=0) & usable[1].all(axis=0))
+            seen.append(finite[1].all(axis=0))
+        return pd.DataFrame({"valid": valid, "seen": seen})
 
-def largest_frame(blocks: DataFrame) -> int:
-    """Pixels of the largest pair; reads block sizes only."""
-    sizes = blocks.groupBy("pair_id").agg(F.sum(F.col("height").cast("bigint") * F.col("width")).alias("n"))
-    return sizes.agg(F.max("n")).first()[0] or 0
+    found = mask("earlier", "later", F.col("height") * F.col("width"), "earlier_nodata", "later_nodata")
+    usable = aligned.where(F.col("error").isNull()).withColumn("_m", found)
+    return usable.withColumns({"valid": F.col("_m.valid"), "seen": F.col("_m.seen")}).drop("_m")
 
 
 def band_ranges(masked: DataFrame, config: DetectionConfig = DetectionConfig()) -> DataFrame:
@@ -137,7 +142,7 @@ def band_ranges(masked: DataFrame, config: DetectionConfig = DetectionConfig())
         return bands.groupBy(*keys).agg(F.min(F.array_min(usable)).alias("low"), F.max(F.array_max(usable)).alias("high"))
     values = bands.select(*keys, F.explode(usable).alias("value"))
     marks = {"low": config.percentile_lower / 100.0, "high": config.percentile_upper / 100.0}
-    return exact_quantiles(values, keys, "value", marks, largest=largest_frame(masked))
+    return exact_quantiles(values, keys, "value", marks)
 
 
 def _unit(x: Column) -> Column:
@@ -168,19 +173,28 @@ def with_ranges(masked: DataFrame, config: DetectionConfig = DetectionConfig())
 def score_map(masked: DataFrame, config: DetectionConfig = DetectionConfig()) -> DataFrame:
     """Blocks with `scores`: mean absolute band difference in 0..1 per pixel, 0 where the pixel is not valid."""
     ranged = with_ranges(masked, config)
-    count = F.size("earlier")
-
-    def pixel(i):
-        def step(total, b):
-            def value(date, name):
-                return normalized(F.get(F.get(F.col(name), b), i), F.get(F.col(f"low_{date}"), b), F.get(F.col(f"high_{date}"), b), config)
 
-            return total + F.abs(value(1, "later") - value(0, "earlier"))
-
-        mean = F.aggregate(F.sequence(F.lit(0), count - 1), F.lit(0.0), step) / count
-        return F.when(F.get(F.col("valid"), i), _unit(mean)).otherwise(0.0)
-
-    scores = F.transform(F.sequence(F.lit(0), F.col("height") * F.col("width") - 1), pixel)
+    def unit(x: np.ndarray, low, high) -> np.ndarray:
+        if config.normalization == "none":
+            return np.clip(x, 0.0, 1.0)
+        low, high = (np.asarray(v, np.float64)[:, None] for v in (low, high))
+        with np.errstate(all="ignore"):
+            return np.where(high > low, np.clip((x - low) / (high - low), 0.0, 1.0), 0.0)
+
+    @F.pandas_udf("array<double>")
+    def mean_difference(
+        earlier: pd.Series, later: pd.Series, valid: pd.Series, low_0: pd.Series, high_0: pd.Series, low_1: pd.Series, high_1: pd.Series
+    ) -> pd.Series:
+        out = []
+        for e, l, ok, *marks in zip(earlier, later, valid, low_0, high_0, low_1, high_1):
+            if not len(e) or any(m is None for m in marks):
+                out.append(np.zeros(len(ok)))
+                continue
+            apart = np.abs(unit(_stacked(l, len(ok)), marks[2], marks[3]) - unit(_stacked(e, len(ok)), marks[0], marks[1]))
+            out.append(np.where(np.asarray(ok, bool), np.clip(apart.sum(axis=0) / len(e), 0.0, 1.0), 0.0))
+        return pd.Series(out)
+
+    scores = mean_difference("earlier", "later", "valid", "low_0", "high_0", "low_1", "high_1")
     return ranged.select("pair_id", *BLOCK, "height", "width", "valid", "seen", scores.alias("scores"))
 
 
@@ -202,7 +216,7 @@ def threshold(scored: DataFrame, config: DetectionConfig = DetectionConfig()) ->
     elif config.threshold_method == "statistical":
         raw = F.when(F.col("std") == 0, F.col("mean")).otherwise(F.col("mean") + config.std_multiplier * F.col("std"))
     else:
-        marks = exact_quantiles(pixels, ["pair_id"], "score", {"mark": config.threshold_percentile / 100.0}, largest=largest_frame(scored))
+        marks = exact_quantiles(pixels, ["pair_id"], "score", {"mark": config.threshold_percentile / 100.0})
         stats = stats.join(marks, "pair_id")
         raw = F.col("mark")
     return stats.select("pair_id", F.when(F.col("top") > 0, _unit(raw)).alias("threshold"))
@@ -341,12 +355,22 @@ def tile_grid(pixels: DataFrame, size: int) -> DataFrame:
 def pad_tiles(gridded: DataFrame, key: str, size: int, fill: Column | float = 0.0) -> DataFrame:
     """One row per tile and band with exactly size*size values; missing positions are filled."""
     tiles = gridded.groupBy(key, "tile_row", "tile_col", "band").agg(
-        F.map_from_entries(F.collect_list(F.struct("pos", "value"))).alias("_at"),
+        F.collect_list(F.struct("pos", "value")).alias("_px"),
         F.count(F.lit(1)).alias("pixels"), (F.max("col") - F.min("col") + 1).alias("width"), (F.max("row") - F.min("row") + 1).alias("height"),
     )
     fill = fill if isinstance(fill, Column) else F.lit(float(fill))
-    values = F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda p: F.coalesce(F.try_element_at("_at", p), fill))
-    return tiles.withColumn("values", values).drop("_at")
+
+    @F.pandas_udf("array<double>")
+    def padded(places: pd.Series, values: pd.Series, fills: pd.Series) -> pd.Series:
+        out = []
+        for at, held, blank in zip(places, values, fills):
+            full, held = np.full(size * size, blank, np.float64), np.asarray(held, np.float64)
+            known = ~np.isnan(held)
+            full[np.asarray(at, np.int64)[known]] = held[known]
+            out.append(full)
+        return pd.Series(out)
+
+    return tiles.withColumn("values", padded("_px.pos", "_px.value", fill.cast("double"))).drop("_px")
 
 
 def tile_hash(padded: DataFrame, key: str) -> DataFrame:

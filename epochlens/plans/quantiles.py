@@ -12,21 +12,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 ACCURACY = 10_000  # the sketch is off by at most one part in this many of the ranks
-GROUP_LIMIT = 1_000_000  # values one task may hold for a group
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], accuracy: int = ACCURACY, largest: int | None = None) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], accuracy: int = ACCURACY) -> DataFrame:
     """One row per key with the linearly interpolated quantiles named in `probs`; NULL values are left out.
 
-    When the caller knows that no group holds more than GROUP_LIMIT values (`largest`), the built-in aggregate
-    does it in one exchange; the result is the same.
+    One method for groups of any size, so that a group's result doesn't depend on what else is in the table.
     """
     keys = list(keys)
     held = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     names = list(probs)
-    if largest is not None and largest <= GROUP_LIMIT:
-        marks = held.groupBy(*keys).agg(F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs.values()])).alias("_q"))
-        return marks.select(*keys, *[F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(names)])
     slack = 2.0 / accuracy
     ends = [e for p in probs.values() for e in (max(0.0, p - slack), min(1.0, p + slack))]
     sketch = held.groupBy(*keys).agg(
