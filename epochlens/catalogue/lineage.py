@@ -28,16 +28,27 @@ def hashes(t):
 
 
 
-def _skip_null(x):
-    lanes = [f"printf('%015x', bit_xor(CAST(('0x' || substring(sha256({x}), {1 + 15 * i}, 15)) AS BIGINT)) FILTER ({x} IS NOT NULL))" for i in range(4)]
-    return f"concat({', '.join(lanes)})"
+PARTS = ("pair_id", "result_id", "evidence_id", "classification_id", "suppression_id")
+
+
+def _digest(x):
+    lanes = [f"printf('%016x', CAST(coalesce(sum(CAST(('0x' || substring(sha256({x}), {1 + 8 * i}, 8)) AS BIGINT)), 0) AS BIGINT))" for i in range(8)]
+    return f"sha256(concat({', '.join(lanes)}, CAST(count({x}) AS VARCHAR)))"
+
+
+def _known(x):
+    return f"coalesce({x}, '\u2205')"
 
 
 EXTRA_SQL["fx_investigation_ids"] = f"""
-    WITH s AS (SELECT investigation_id AS k, series_id, discovery_pair_id AS dp, region_id, max(acquisition_time) AS created_at, {_skip_null('pair_id')} AS p, {_skip_null('classification_id')} AS c,
-        CASE WHEN count(result_id) > 0 THEN {_skip_null('result_id')} END AS r, CASE WHEN count(evidence_id) > 0 THEN {_skip_null('evidence_id')} END AS e, CASE WHEN count(suppression_id) > 0 THEN {_skip_null('suppression_id')} END AS u FROM fx_stages GROUP BY ALL),
-    h AS (SELECT investigation_id AS k, {_skip_null("concat_ws('=', key, hash)")} AS src FROM (SELECT investigation_id, key, arg_max(hash, position) AS hash FROM fx_hashes GROUP BY ALL) GROUP BY ALL)
-    SELECT k AS investigation_key, substring(sha256(concat_ws(':', series_id, dp, region_id, p, r, e, c, u, src, 'v1')), 1, 16) AS content_hash, created_at FROM s LEFT JOIN h USING (k)"""
+    WITH v AS ({' UNION '.join(f"SELECT DISTINCT investigation_id AS k, series_id, discovery_pair_id AS dp, region_id, '{p}' AS part, {p} AS value FROM fx_stages" for p in PARTS)}),
+    d AS (SELECT k, series_id, dp, region_id, part, {_digest('value')} AS digest FROM v GROUP BY ALL),
+    s AS (SELECT k, series_id, dp, region_id, {', '.join(f"max(digest) FILTER (part = '{p}') AS {p}" for p in PARTS)} FROM d GROUP BY ALL),
+    c AS (SELECT investigation_id AS k, max(acquisition_time) AS created_at FROM fx_stages GROUP BY ALL),
+    n AS (SELECT DISTINCT investigation_id AS k, concat_ws('=', {_known('key')}, {_known('hash')}) AS x FROM (SELECT investigation_id, key, arg_max(hash, position) AS hash FROM fx_hashes GROUP BY ALL)),
+    h AS (SELECT k, {_digest('x')} AS src FROM n GROUP BY ALL)
+    SELECT k AS investigation_key, substring(sha256(concat_ws(':', {', '.join(_known(x) for x in ('series_id', 'dp', 'region_id', *PARTS, 'src'))}, 'v1')), 1, 16) AS content_hash, created_at
+    FROM s LEFT JOIN c USING (k) LEFT JOIN h USING (k)"""
 
 
 def ids(t):

@@ -115,12 +115,13 @@ def append_provenance(t):
 
 
 @query("a13_upsert", """
-    WITH u AS (SELECT tile_id, max(l_extendedprice) AS price FROM fx_tiles WHERE l_partkey % 2 = 0 GROUP BY tile_id),
+    WITH u AS (SELECT tile_id, arg_max(l_extendedprice, (l_partkey, l_extendedprice)) AS price FROM fx_tiles WHERE l_partkey % 2 = 0 GROUP BY tile_id),
     b AS (SELECT DISTINCT tile_id FROM fx_tiles)
     SELECT tile_id, coalesce(u.price, -1e0) AS price FROM b LEFT JOIN u USING (tile_id)""")
 def upsert(t):
     base = t.fx_tiles.select("tile_id").distinct().withColumn("price", F.lit(-1.0))
-    return tables.upsert(base, t.fx_tiles.where("l_partkey % 2 = 0").select("tile_id", F.col("l_extendedprice").alias("price")), ["tile_id"])
+    updates = t.fx_tiles.where("l_partkey % 2 = 0").select("tile_id", F.col("l_extendedprice").alias("price"), "l_partkey")
+    return tables.upsert(base, updates, ["tile_id"], "l_partkey")
 
 
 @query("a13_upsert_versions", "SELECT tile_id, max(l_partkey) AS version, arg_max(l_extendedprice, (l_partkey, l_extendedprice)) AS price FROM fx_tiles GROUP BY tile_id")
@@ -169,12 +170,12 @@ def _stream(t, table: str) -> DataFrame:
     return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(t.directory)
 
 
-@query("p01_stream_ingest_dedup", "SELECT DISTINCT sha256(concat(event_type, CAST(CAST(floor(value) AS BIGINT) AS VARCHAR))) AS file_hash FROM events")
+@query("p01_stream_ingest_dedup", "SELECT sha256(concat(event_type, CAST(CAST(floor(value) AS BIGINT) AS VARCHAR))) AS file_hash, epoch_us(min(ts)) AS first_us FROM events GROUP BY ALL")
 def stream_dedup(t):
     rows = _stream(t, "events").select(F.sha2(F.concat("event_type", F.floor("value").cast("string")), 256).alias("file_hash"), "ts")
     folder = scratch(t.spark)
-    jobs.run_once(jobs.ingest_dedup(rows), folder)
-    return t.spark.read.schema("file_hash string, ts timestamp").parquet(f"{folder}/table").select("file_hash")
+    jobs.run_once(rows, folder, jobs.ingest_sink(f"{folder}/catalog", "ts"))
+    return t.spark.read.parquet(f"{folder}/catalog").select("file_hash", F.unix_micros(F.col("ts").cast("timestamp")).alias("first_us"))
 
 
 @query("p02_stream_refresh_embeddings", "SELECT printf('tile_%d', vec_id) AS tile_id, 512 AS dimension, 'spectral-spatial' AS model_id FROM embeddings")
@@ -195,20 +196,19 @@ def stream_refresh(t):
 def stream_pairs(t):
     rows = _stream(t, "events").select(F.concat(F.lit("series_"), "user_id").alias("series_id"), F.concat(F.lit("obs_"), "event_id").alias("observation_id"), F.col("ts").alias("acquisition_time"))
     folder = scratch(t.spark)
-    jobs.run_once(jobs.adjacent_pairs(rows), folder)
-    return t.spark.read.schema(jobs.PAIR_SCHEMA).parquet(f"{folder}/table").where("NOT is_late").select("series_id", "earlier_id", "later_id")
+    jobs.run_once(rows, folder, jobs.adjacent_sink(folder))
+    return jobs.adjacent_table(t.spark, folder).select("series_id", "earlier_id", "later_id")
 
 
 @query("p04_stream_series_counts", """
-    SELECT series_id, epoch_us(date_trunc('day', acquisition_time)) AS day_us, count(*) AS observation_count, epoch_us(min(acquisition_time)) AS earliest FROM fx_observations
-    WHERE date_trunc('day', acquisition_time) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY ALL""")
+    SELECT series_id, epoch_us(date_trunc('day', acquisition_time)) AS day_us, count(*) AS observation_count, epoch_us(min(acquisition_time)) AS earliest, epoch_us(max(acquisition_time)) AS latest
+    FROM fx_observations GROUP BY ALL""")
 def stream_counts(t):
     rows = _stream(t, "events").select(F.concat(F.lit("series_"), "user_id").alias("series_id"), F.col("ts").alias("acquisition_time"))
     folder = scratch(t.spark)
-    jobs.run_once(jobs.series_counts(rows), folder)
-    schema = "series_id string, window struct<start: timestamp, end: timestamp>, observation_count bigint, earliest timestamp, latest timestamp"
-    return t.spark.read.schema(schema).parquet(f"{folder}/table").select(
-        "series_id", F.unix_micros("window.start").alias("day_us"), "observation_count", F.unix_micros("earliest").alias("earliest")
+    jobs.run_once(rows, folder, jobs.counts_sink(f"{folder}/counts"))
+    return jobs.counts_table(t.spark, f"{folder}/counts").select(
+        "series_id", F.unix_micros("start").alias("day_us"), "observation_count", F.unix_micros("earliest").alias("earliest"), F.unix_micros("latest").alias("latest")
     )
 
 
@@ -237,7 +237,7 @@ def custom_embedder(t):
     return v.select("doc_id", F.get("v", F.lit(0)).cast("double").alias("chars"), F.get("v", F.lit(1)).cast("double").alias("blanks"))
 
 
-@query("u03_embedder_registry")
+@query("u03_embedder_registry", "SELECT doc_id, 512 AS dimension, 'spectral-spatial,text-concepts' AS available FROM documents")
 def registry(t):
     """Every registered embedder with a text input, run over the documents."""
     out = features.embedder("text-concepts").embed(t.table("documents").select("doc_id", "text"))

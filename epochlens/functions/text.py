@@ -140,21 +140,21 @@ def sorted_ids(ids: Column) -> Column:
     return F.array_join(F.array_sort(ids), ";")
 
 
-_LANES = 4
+_LANES = 8
 
 
 def set_digest(value: Column) -> Column:
-    """Aggregate: order-free digest of a set of distinct strings, with constant state per group.
+    """Aggregate: order-free digest of distinct strings, with constant state per group; NULLs are left out.
 
-    Four 60-bit lanes of each SHA-256 are XORed, so partial results combine before the shuffle and no
-    list of ids is ever built.
+    The eight 32-bit lanes of each SHA-256 are summed, so partial results combine before the shuffle and no list of
+    ids is ever built; sums and count are hashed. A value that comes twice counts twice: remove repeats first.
     """
     sha = F.sha2(value, 256)
     lanes = [
-        F.lpad(F.lower(F.hex(F.bit_xor(F.conv(F.substring(sha, 1 + 15 * i, 15), 16, 10).cast("bigint")))), 15, "0")
+        F.lpad(F.lower(F.hex(F.coalesce(F.sum(F.conv(F.substring(sha, 1 + 8 * i, 8), 16, 10).cast("bigint")), F.lit(0).cast("bigint")))), 16, "0")
         for i in range(_LANES)
     ]
-    return F.concat(*lanes)
+    return F.sha2(F.concat(*lanes, F.count(value).cast("string")), 256)
 
 
 def band_at(keys: Column, values: Column, aliases: Sequence[str]) -> Column:

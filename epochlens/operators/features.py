@@ -201,4 +201,6 @@ def refresh_embeddings(tiles: DataFrame, records: DataFrame, index: DataFrame, m
     fresh = embedder(model_id).embed(stale).select("tile_id", "v")
     new_records = stale.select("tile_id", F.col("sha256_hash").alias("source_hash"), F.lit(model_id).alias("model_id"), F.lit(preprocessing).alias("preprocessing"))
     counts = checked.agg(*[F.count_if(F.col("state") == s).alias(s) for s in ("new", "replaced", "skipped")])
-    return upsert(index, fresh, ["tile_id"]), upsert(records, new_records, ["tile_id"]), counts
+    # One row per tile, so the source hash serves as version.
+    hashed = fresh.join(new_records.select("tile_id", "source_hash"), "tile_id")
+    return upsert(index, hashed, ["tile_id"], "source_hash"), upsert(records, new_records, ["tile_id"], "source_hash"), counts

@@ -32,17 +32,30 @@ def upstream_hashes(hashes: DataFrame) -> DataFrame:
     return hashes.groupBy("investigation_id", "key").agg(F.max_by("hash", "position").alias("hash"))
 
 
+#: Stands for a missing part of a content id, so that it isn't the same as a part left out.
+MISSING = "\u2205"
+
+
 def investigation_ids(stages: DataFrame, hashes: DataFrame, configuration: str = "") -> DataFrame:
     """Content id of each investigation from its request, artifact ids, settings and source hashes.
 
-    The ids are folded into order-free digests, so neither their order nor their number matters to a task.
+    The distinct ids of each kind are folded into an order-free digest, so neither their order nor their number
+    matters to a task; a retried stage that names an artifact again changes nothing, and a missing part is marked.
     """
     key = ["investigation_key", "series_id", "pair_key", "region_id"]
     parts = ("pair_id", "result_id", "evidence_id", "classification_id", "suppression_id")
-    folded = stages.groupBy(*key).agg(*[set_digest(F.col(c)).alias(c) for c in parts], F.max("acquisition_time").alias("created_at"))
-    sources = hashes.groupBy("investigation_key").agg(set_digest(F.concat_ws("=", "key", "hash")).alias("_sources"))
-    rows = folded.join(sources, "investigation_key", "left")
-    seed = F.concat_ws(":", *key[1:], *parts, F.coalesce("_sources", F.lit("")), F.lit(configuration))
+    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(MISSING))
+    listed = F.array(*[F.struct(F.lit(c).alias("part"), F.col(c).cast("string").alias("value")) for c in parts])
+    folded = (
+        stages.select(*key, F.explode(listed).alias("p")).select(*key, "p.*").distinct()
+        .groupBy(*key, "part").agg(set_digest(F.col("value")).alias("digest"))
+        .groupBy(*key).agg(*[F.max(F.when(F.col("part") == c, F.col("digest"))).alias(c) for c in parts])
+    )
+    times = stages.groupBy("investigation_key").agg(F.max("acquisition_time").alias("created_at"))
+    named = hashes.select("investigation_key", F.concat_ws("=", known("key"), known("hash")).alias("_h")).distinct()
+    sources = named.groupBy("investigation_key").agg(set_digest(F.col("_h")).alias("_sources"))
+    rows = folded.join(times, "investigation_key", "left").join(sources, "investigation_key", "left")
+    seed = F.concat_ws(":", *[known(c) for c in (*key[1:], *parts, "_sources")], F.lit(configuration))
     digest = F.substring(F.sha2(seed, 256), 1, 16)
     return rows.select(
         "investigation_key", F.concat(F.lit("inv_"), digest).alias("investigation_id"), F.concat(F.lit("prov_inv_"), digest).alias("provenance_id"),

@@ -41,10 +41,16 @@ def new_files(files: DataFrame, catalog: DataFrame) -> DataFrame:
     return files.join(catalog.select("file_hash"), "file_hash", "left_anti")
 
 
-def upsert(table: DataFrame, updates: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The table with every updated key replaced. One update per key is kept: the largest row, so a key sent many times collapses before the shuffle."""
+def upsert(table: DataFrame, updates: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
+    """The table with every updated key replaced by its last update, the one of the largest `version`.
+
+    `version` is a column of the updates (an arrival number or time) and need not be one of the table. Updates of
+    equal version are told apart by their values, so the result doesn't depend on their order; a key sent many
+    times collapses before the shuffle.
+    """
     rest = [c for c in table.columns if c not in keys]
-    latest = updates.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_u")).select(*keys, *[F.col(f"_u.{c}").alias(c) for c in rest])
+    newest = updates.groupBy(*keys).agg(F.max(F.struct(F.col(version).alias("_version"), *rest)).alias("_u"))
+    latest = newest.select(*keys, *[F.col(f"_u.{c}").alias(c) for c in rest])
     return table.join(latest.select(*keys), list(keys), "left_anti").select(*table.columns).unionByName(latest)
 
 

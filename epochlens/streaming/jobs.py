@@ -2,70 +2,99 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from typing import Any
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from epochlens.functions.times import to_utc
+from epochlens.plans.ordered import ordered
 from epochlens.sources.tables import upsert
 
+Sink = Callable[[DataFrame, int], None]
 
-def ingest_dedup(files: DataFrame, event_time: str = "ts", delay: str = "1 day") -> DataFrame:
-    """First arrival of every file hash; state is dropped once the watermark has passed."""
-    stream = files.withColumn(event_time, to_utc(F.col(event_time))).withWatermark(event_time, delay)
-    return stream.dropDuplicatesWithinWatermark(["file_hash"])
 
+def _stored(spark: SparkSession, path: str, before: int, schema: str) -> DataFrame:
+    """What earlier batches have written to a folder with one partition per batch; a replayed batch doesn't see itself."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(f"{schema}, batch bigint").parquet(path).where(F.col("batch") < before).drop("batch")
 
-def series_counts(observations: DataFrame, window: str = "1 day", delay: str = "1 day") -> DataFrame:
-    """Observations per series and time window, with the first and last time."""
-    stream = observations.withColumn("acquisition_time", to_utc(F.col("acquisition_time"))).withWatermark("acquisition_time", delay)
-    return stream.groupBy("series_id", F.window("acquisition_time", window).alias("window")).agg(
-        F.count(F.lit(1)).alias("observation_count"), F.min("acquisition_time").alias("earliest"), F.max("acquisition_time").alias("latest")
-    )
 
+def ingest_sink(path: str, event_time: str = "ts") -> Sink:
+    """foreachBatch sink that appends the first arrival of every file hash, whatever the age of the one before.
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PAIR_SCHEMA = "series_id string, earlier_id string, later_id string, later_time timestamp, is_late boolean"
+    Copies inside a batch collapse before the shuffle; the stored catalog is read for its hashes only.
+    """
 
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rest = [c for c in batch.columns if c not in ("file_hash", event_time)]
+        first = batch.groupBy("file_hash").agg(F.min(F.struct(event_time, *rest)).alias("_f")).select("file_hash", "_f.*")
+        known = _stored(spark, path, batch_id, "file_hash string")
+        first.join(known, "file_hash", "left_anti").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return write
 
-def _adjacent_processor():
-    class Adjacent(StatefulProcessor):
-        """Keeps the newest observation of a series; an older arrival is reported as late, not paired."""
 
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self._last = handle.getValueState("last", "observation_id string, us bigint")
+COUNTS = "series_id string, start timestamp, observation_count bigint, earliest timestamp, latest timestamp"
 
-        def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-            kept = self._last.get() if self._last.exists() else None
-            # What one trigger brings for a series is put in order first; the intake limit of the source bounds it.
-            batch = pd.concat(list(rows), ignore_index=True).sort_values(["acquisition_time", "observation_id"], kind="stable")
-            out = []
-            for oid, time in zip(batch["observation_id"], batch["acquisition_time"]):
-                us = time.value // 1000
-                late = kept is not None and (us, oid) < (kept[1], kept[0])
-                if kept is not None:
-                    out.append((key[0], None if late else kept[0], oid, time, late))
-                if not late:
-                    kept = (oid, us)
-            if out:
-                yield pd.DataFrame(out, columns=["series_id", "earlier_id", "later_id", "later_time", "is_late"])
-            if kept is not None:
-                self._last.update(kept)
 
-        def close(self) -> None:
-            pass
+def counts_sink(path: str, window: str = "1 day") -> Sink:
+    """foreachBatch sink of partial counts per series and time window. No row is late: it adds to its window's count."""
 
-    return Adjacent()
+    def write(batch: DataFrame, batch_id: int) -> None:
+        time = to_utc(F.col("acquisition_time"))
+        partial = batch.groupBy("series_id", F.window(time, window).alias("_w")).agg(
+            F.count(F.lit(1)).alias("observation_count"), F.min(time).alias("earliest"), F.max(time).alias("latest")
+        )
+        partial.withColumn("start", F.col("_w.start")).drop("_w").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return write
+
+
+def counts_table(spark: SparkSession, path: str) -> DataFrame:
+    """Counts of all windows so far, the open ones too."""
+    return spark.read.schema(COUNTS).parquet(path).groupBy("series_id", "start").agg(
+        F.sum("observation_count").alias("observation_count"), F.min("earliest").alias("earliest"), F.max("latest").alias("latest")
+    )
+
+
+SEEN = "series_id string, observation_id string, acquisition_time timestamp"
+PAIRS = "series_id string, earlier_id string, later_id string"
+
+
+def adjacent_sink(folder: str) -> Sink:
+    """foreachBatch sink that keeps the pairs of chronological neighbours, late arrivals included.
+
+    Of the stored observations, those of the series in the batch are put in order with the new ones. A pair is
+    written if either side is new; the pair that a late arrival splits is thereby replaced, as the later side
+    names a pair and its newest version counts.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        new = batch.select("series_id", "observation_id", to_utc(F.col("acquisition_time")).alias("acquisition_time"))
+        stored = _stored(spark, f"{folder}/seen", batch_id, SEEN)
+        # An observation that is sent again is no second one.
+        new = new.dropDuplicates(["series_id", "observation_id"]).join(stored, ["series_id", "observation_id"], "left_anti")
+        new.write.mode("overwrite").parquet(f"{folder}/seen/batch={batch_id}")
+        new = spark.read.schema(SEEN).parquet(f"{folder}/seen/batch={batch_id}")
+        touched = stored.join(new.select("series_id").distinct(), "series_id", "left_semi")
+        both = touched.withColumn("is_new", F.lit(False)).unionByName(new.withColumn("is_new", F.lit(True)))
+        neighbours = ordered(both, ["series_id"], "acquisition_time", "observation_id", prev="_e", payload=["is_new"])
+        pairs = neighbours.where("_e IS NOT NULL AND (is_new OR _e.is_new)")
+        pairs.select("series_id", F.col("_e.observation_id").alias("earlier_id"), F.col("observation_id").alias("later_id")).write.mode("overwrite").parquet(
+            f"{folder}/pairs/batch={batch_id}"
+        )
+
+    return write
 
 
-def adjacent_pairs(observations: DataFrame) -> DataFrame:
-    """Pairs of chronological neighbours as observations arrive, on the RocksDB state store this operator needs."""
-    observations.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    stream = observations.select("series_id", "observation_id", to_utc(F.col("acquisition_time")).alias("acquisition_time"))
-    return stream.groupBy("series_id").transformWithStateInPandas(_adjacent_processor(), PAIR_SCHEMA, "Append", "None")
+def adjacent_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The pairs that hold now: of each later observation the version written last."""
+    rows = spark.read.schema(f"{PAIRS}, batch bigint").parquet(f"{folder}/pairs")
+    return rows.groupBy("series_id", "later_id").agg(F.max_by("earlier_id", "batch").alias("earlier_id"))
 
 
 def _versioned(path: str, spark, schema) -> tuple[int, DataFrame | None]:
@@ -103,7 +132,7 @@ def refresh_sink(path: str, model_id: str, preprocessing: str, embed: Callable[[
         fresh = embed(stale).select(
             "tile_id", F.col("v").cast("array<double>"), F.col("sha256_hash").alias("source_hash"), F.lit(model_id).alias("model_id"), F.lit(preprocessing).alias("preprocessing")
         )
-        upsert(stored, fresh, ["tile_id"]).write.mode("overwrite").parquet(f"{path}/v{target}")
+        upsert(stored, fresh, ["tile_id"], "source_hash").write.mode("overwrite").parquet(f"{path}/v{target}")
 
     return write
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from epochlens.config import DetectionConfig, EvidenceConfig, PairingConfig
-from epochlens.operators import evidence, features, matching, pairing, pixels, reviews, rules, screening, search
+from epochlens.operators import evidence, features, lineage, matching, pairing, pixels, reviews, rules, screening, search
 from epochlens.plans import investigate as plan
 from epochlens.sources import manifests, tables
 
@@ -303,3 +303,57 @@ def test_investigation_end_to_end(spark, block):
     assert s[0]["completeness"] == "COMPLETE" and s[0]["shifted_ids"] == 2
     areas = {r["region_id"]: r["area_px"] for r in result.regions.where("pair_id = 'pair_t0__t2'").collect()}
     assert areas == {"reg_0001": 270, "reg_0002": 144}
+
+
+def test_nodata_of_a_date_counts_for_that_date_only(spark):
+    rasters = spark.createDataFrame(
+        [(1, 0, 0, 1, 3, [[1.0, 2.0, 0.0]], -99.0), (2, 0, 0, 1, 3, [[5.0, -99.0, 3.0]], 0.0)],
+        "obs_id int, row0 int, col0 int, height int, width int, bands array<array<double>>, nodata double",
+    )
+    both = pixels.align(spark.createDataFrame([("p", 1, 2)], "pair_id string, earlier_id int, later_id int"), rasters)
+    assert pixels.valid_mask(both).first()["valid"] == [True, True, True]
+    own = pixels.align(spark.createDataFrame([("p", 2, 1)], "pair_id string, earlier_id int, later_id int"), rasters)
+    assert pixels.valid_mask(own).first()["valid"] == [True, True, True]
+    assert pixels.valid_mask(both, DetectionConfig(nodata=-99.0)).first()["valid"] == [True, False, True]
+
+
+def test_a_pair_scores_the_same_beside_a_larger_one(spark):
+    import random
+
+    r = random.Random(1)
+    block = lambda obs, side: (obs, 0, 0, side, side, [[r.random() for _ in range(side * side)] for _ in range(2)], None)
+    rows = [block(1, 6), block(2, 6), block(3, 200), block(4, 200)]
+    schema = "obs_id int, row0 int, col0 int, height int, width int, bands array<array<double>>, nodata double"
+    pairs = spark.createDataFrame([("small", 1, 2), ("large", 3, 4)], "pair_id string, earlier_id int, later_id int")
+
+    def scores(part):
+        masked = pixels.valid_mask(pixels.select_bands(pixels.align(part, spark.createDataFrame(rows, schema)), None))
+        return pixels.score_map(masked).where("pair_id = 'small'").first()["scores"]
+
+    assert scores(pairs) == scores(pairs.where("pair_id = 'small'"))
+
+
+def test_large_tiles_are_padded(spark):
+    px = spark.range(256 * 256).selectExpr("'k' AS key", "0 AS band", "CAST(id DIV 256 AS INT) AS row", "CAST(id % 256 AS INT) AS col", "CAST(id AS DOUBLE) AS value")
+    tile = pixels.pad_tiles(pixels.tile_grid(px.where("id % 7 > 0"), 256), "key", 256, -1.0).first()
+    assert tile["values"] == [float(i) if i % 7 else -1.0 for i in range(256 * 256)]
+
+
+def test_investigation_ids_ignore_retries_and_keep_missing_parts_apart(spark):
+    schema = "investigation_key string, series_id string, pair_key string, region_id string, pair_id string, result_id string, evidence_id string, classification_id string, suppression_id string, acquisition_time timestamp"
+    base = lambda key, **parts: (key, "s", "p", "r", *[parts.get(c) for c in ("pair", "result", "evidence", "cls", "sup")], day(1))
+    stages = spark.createDataFrame([
+        base("once", pair="A", result="B"), base("twice", pair="A", result="B"), base("twice", pair="A", result="B"),
+        base("other", pair="C", result="D"), base("other", pair="C", result="D"), base("x_result", result="X"), base("x_evidence", evidence="X"),
+        base("two", pair="A"), base("two", pair="C"), base("owt", pair="C"), base("owt", pair="A"),
+    ], schema)
+    hashes = spark.createDataFrame([], "investigation_key string, key string, hash string")
+    got = {r["investigation_key"]: r["content_hash"] for r in lineage.investigation_ids(stages, hashes).collect()}
+    assert got["once"] == got["twice"] and got["two"] == got["owt"]
+    assert len({got[k] for k in ("once", "other", "x_result", "x_evidence", "two")}) == 5
+
+
+def test_the_last_update_counts(spark):
+    table = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    updates = spark.createDataFrame([("a", 9, 1), ("a", 3, 2), ("c", 5, 1)], "k string, v int, arrived int")
+    assert sorted(map(tuple, tables.upsert(table, updates, ["k"], "arrived").collect())) == [("a", 3), ("b", 2), ("c", 5)]
