@@ -88,6 +88,19 @@ def tile_hash(t):
     return pixels.tile_hash(padded_tiles(t), "vec_id")
 
 
+@query("i03_tile_hash_bytes", """
+    WITH b AS (SELECT vec_id, r, c, floor((value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) * 255e0) AS byte FROM fx_grid8 WINDOW w AS (PARTITION BY vec_id)),
+    p AS (SELECT g.vec_id, CAST(tr AS BIGINT) AS tile_row, CAST(tc AS BIGINT) AS tile_col, pos, coalesce(byte, 0e0) AS byte
+      FROM (SELECT vec_id, tr, tc, pos FROM embeddings, range(0, 3) x(tr), range(0, 3) y(tc), range(0, 9) z(pos)) g
+      LEFT JOIN b ON b.vec_id = g.vec_id AND b.r = tr * 3 + pos // 3 AND b.c = tc * 3 + pos % 3)
+    SELECT vec_id, tile_row, tile_col, sha256(string_agg(CAST(byte AS VARCHAR), ',' ORDER BY pos)) AS sha256_hash FROM p GROUP BY ALL""")
+def tile_hash_bytes(t):
+    """Hash of tiles of whole numbers, whose text is the same in any engine."""
+    px = t.fx_grid8.select("vec_id", F.col("r").alias("row"), F.col("c").alias("col"), "value")
+    whole = pixels.rescale_8bit(px, "vec_id").select("vec_id", F.lit(0).alias("band"), "row", "col", F.col("byte").cast("double").alias("value"))
+    return pixels.tile_hash(pixels.pad_tiles(pixels.tile_grid(whole, 3), "vec_id", 3), "vec_id")
+
+
 @query("i04_rescale_8bit", """
     SELECT vec_id, r AS row, c AS col, CAST(floor((value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) * 255e0) AS INT) AS byte FROM fx_grid8 WINDOW w AS (PARTITION BY vec_id)""")
 def rescale(t):

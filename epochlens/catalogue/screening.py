@@ -62,9 +62,20 @@ for at, (name, columns) in enumerate(
         return rows.select("region_id", found.alias("x")).select("region_id", "x.artifact", "x.detected", "x.score", "x.weight", "x.hard")
 
 
-@query("l12_screen_regions", "SELECT pair_id, region_id, decision, risk, primary_artifact FROM fx_screened")
+_FOUND = ", ".join(f"CASE WHEN NOT out_ AND s{i + 1} > 0 THEN '{a}' END" for i, a in enumerate(screening.CHECKS))
+
+
+@query("l12_screen_regions", f"""
+    SELECT pair_id, region_id, decision, risk, primary_artifact,
+      concat_ws(',', CASE WHEN out_ THEN 'DATA_LIMITATION' WHEN hard THEN 'CONSERVATIVE_MULTI_EVIDENCE' WHEN forced THEN 'DATA_LIMITATION_OR_PARALLAX_FLAG' WHEN f < 0.35e0 THEN 'LOW_ARTIFACT_RISK'
+        WHEN f < {screening.ScreeningConfig().high_risk}e0 THEN 'MODERATE_ARTIFACT_RISK' ELSE 'HIGH_ARTIFACT_RISK_UNCONFIRMED' END, {_FOUND}) AS reasons,
+      concat_ws(',', CASE WHEN area_px < 10 AND NOT (area_px <= 2 AND noise_spike) THEN 'AREA_BELOW_MINIMUM' END, CASE WHEN NOT spectral_available THEN 'SPECTRAL_UNAVAILABLE' END,
+        CASE WHEN rgb THEN 'CLOUD_CONTAMINATION_UNCONFIRMED' END, CASE WHEN no_sun THEN 'CLOUD_SHADOW_UNCONFIRMED' END, CASE WHEN NOT has_wavelength OR swir IS NULL THEN 'SNOW_ICE_UNCONFIRMED' END) AS limitations FROM fx_screened""")
 def screen(t):
-    return screening.screen_regions(screened_input(t)).select("pair_id", "region_id", "decision", "risk", "primary_artifact")
+    return screening.screen_regions(screened_input(t)).select(
+        "pair_id", "region_id", "decision", "risk", "primary_artifact",
+        F.array_join("decision_reasons", ",").alias("reasons"), F.array_join("data_limitations", ",").alias("limitations"),
+    )
 
 
 @query("l13_adjust_tier", """

@@ -98,7 +98,7 @@ def topk_many(t):
 
 @query("g04_topk_batch_partitioned", TOPK_SQL)
 def topk_partitioned(t):
-    return topk_batch(*_sides(t), 10, exclude_self=True, small=0)
+    return topk_batch(*_sides(t), 10, exclude_self=True, blocks_of=(200, 170))
 
 
 @query("d11_candidates_semi", "SELECT vec_id FROM fx_index WHERE tile_id IN (SELECT tile_id FROM fx_index_tiles WHERE lower(sensor) = 'sentinel-2a msi')")
@@ -164,7 +164,7 @@ def metrics(t):
 
 @query("n11_retrieval_metrics_partitioned", METRICS_SQL)
 def metrics_partitioned(t):
-    return ranking.retrieval_metrics(*_sides(t), exclude_self=True, small=0)
+    return ranking.retrieval_metrics(*_sides(t), exclude_self=True, blocks_of=(200, 170))
 
 
 @query("n12_class_separation", """
@@ -217,6 +217,15 @@ def projected(t):
     return t.fx_vectors.select("vec_id", F.transform(features.project()("v"), lambda x: F.round(x, 7)).alias("v"))
 
 
+@query("n05_project_cosines", f"SELECT vec_id, round(list_cosine_similarity(v, {PROBE_SQL}), 6) AS cosine FROM fx_vectors")
+def projected_cosines(t):
+    """The rows of the projection are orthonormal, so projected vectors have the cosines of the vectors themselves."""
+    project = features.project()
+    probe = F.array(*[F.lit(x) for x in PROBE])
+    both = t.fx_vectors.select("vec_id", project("v").alias("a"), project(probe).alias("b"))
+    return both.select("vec_id", F.round(vectors.cosine(F.col("a"), F.col("b")), 6).alias("cosine"))
+
+
 @query("n06_text_concepts", """
     WITH d AS (SELECT doc_id, concat(text, CASE doc_id % 4 WHEN 0 THEN ' Water lake' WHEN 1 THEN ' forest-trees urban' ELSE '' END) AS text FROM documents),
     h AS (SELECT doc_id, list_transform(range(0, 32), lambda i: CAST(('0x' || substring(sha256(text), CAST(2 * i + 1 AS BIGINT), 2)) AS INT) / 255e0) AS b FROM d),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from epochlens.functions import vectors
 from epochlens.plans.ordered import ordered
 from epochlens.plans.quantiles import exact_quantiles
-from epochlens.plans.scoring import SMALL_QUERIES, _type, score_blocks, unit_rows
+from epochlens.plans.scoring import GALLERY_SLICE, QUERY_BLOCK, Blocks, _type, score_blocks, unit_rows
 from epochlens.session import cut
 
 
@@ -26,7 +26,7 @@ def latency_stats(latencies: DataFrame) -> DataFrame:
     )
 
 
-def _relevant(queries: DataFrame, gallery: DataFrame, exclude_self: bool, small: int) -> DataFrame:
+def _relevant(queries: DataFrame, gallery: DataFrame, exclude_self: bool, blocks_of: Blocks) -> DataFrame:
     """Similarity of every query to the gallery rows of its own class."""
     schema = f"query_id {_type(queries, 'query_id')}, gallery_id {_type(gallery, 'gallery_id')}, sim double"
 
@@ -39,7 +39,7 @@ def _relevant(queries: DataFrame, gallery: DataFrame, exclude_self: bool, small:
         i, j = np.nonzero(hit)
         return pd.DataFrame({"query_id": q["query_id"].to_numpy()[i], "gallery_id": g["gallery_id"].to_numpy()[j], "sim": similarities(q, g)[i, j]})
 
-    return score_blocks(queries.select("query_id", "label", "v"), gallery.select("gallery_id", "label", "v"), same_class, schema, small)
+    return score_blocks(queries.select("query_id", "label", "v"), gallery.select("gallery_id", "label", "v"), same_class, schema, blocks_of)
 
 
 def similarities(q: pd.DataFrame, g: pd.DataFrame) -> np.ndarray:
@@ -47,13 +47,13 @@ def similarities(q: pd.DataFrame, g: pd.DataFrame) -> np.ndarray:
     return np.round(np.clip(unit_rows(q["v"]) @ unit_rows(g["v"]).T, -1.0, 1.0), 9)
 
 
-def relevant_ranks(queries: DataFrame, gallery: DataFrame, exclude_self: bool = False, small: int = SMALL_QUERIES, chunk: int = 5000) -> DataFrame:
+def relevant_ranks(queries: DataFrame, gallery: DataFrame, exclude_self: bool = False, blocks_of: Blocks = (QUERY_BLOCK, GALLERY_SLICE), chunk: int = 5000) -> DataFrame:
     """For each relevant gallery row its place among all rows (`rank`) and among relevant ones (`relevant_rank`).
 
     Order: similarity descending, then gallery id. Only relevant rows are ever written out; the others are
     counted inside the blocks. The relevant rows of a query are handled in chunks of bounded size.
     """
-    relevant = cut(_relevant(queries, gallery, exclude_self, small).withColumn("_order", -F.col("sim")))
+    relevant = cut(_relevant(queries, gallery, exclude_self, blocks_of).withColumn("_order", -F.col("sim")))
     placed = ordered(relevant, ["query_id"], "_order", "gallery_id", rank="relevant_rank", chunk=F.floor(F.col("_order") * 100))
     placed = cut(placed.withColumn("_chunk_no", F.floor((F.col("relevant_rank") - 1) / chunk).cast("int")))
     packed = placed.groupBy("query_id", "_chunk_no").agg(F.array_sort(F.collect_list(F.struct("relevant_rank", "sim", "gallery_id"))).alias("_r"))
@@ -86,13 +86,13 @@ def relevant_ranks(queries: DataFrame, gallery: DataFrame, exclude_self: bool =
             return pd.DataFrame({"query_id": q["query_id"].head(0), "relevant_rank": pd.Series(dtype="int64"), "better": pd.Series(dtype="int64")})
         return pd.DataFrame({"query_id": np.concatenate(owners), "relevant_rank": np.concatenate(places_out), "better": np.concatenate(better)})
 
-    counted = score_blocks(loaded, gallery.select("gallery_id", "v"), count_better, schema, small)
+    counted = score_blocks(loaded, gallery.select("gallery_id", "v"), count_better, schema, blocks_of)
     return counted.groupBy("query_id", "relevant_rank").agg((F.sum("better") + 1).alias("rank"))
 
 
-def retrieval_metrics(queries: DataFrame, gallery: DataFrame, ks: tuple[int, ...] = (1, 3, 5), exclude_self: bool = False, small: int = SMALL_QUERIES) -> DataFrame:
+def retrieval_metrics(queries: DataFrame, gallery: DataFrame, ks: tuple[int, ...] = (1, 3, 5), exclude_self: bool = False, blocks_of: Blocks = (QUERY_BLOCK, GALLERY_SLICE)) -> DataFrame:
     """One row: hit rates, mean reciprocal rank and mean average precision (4 dp). queries: query_id, label, v."""
-    ranks = relevant_ranks(queries, gallery, exclude_self, small)
+    ranks = relevant_ranks(queries, gallery, exclude_self, blocks_of)
     per_query = ranks.groupBy("query_id").agg(F.min("rank").alias("first"), F.avg(F.col("relevant_rank") / F.col("rank")).alias("precision"))
     rows = queries.select("query_id").join(per_query, "query_id", "left")
 

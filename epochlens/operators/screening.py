@@ -181,11 +181,20 @@ DETECTORS = (
 )
 
 
-def detect_all(regions: DataFrame, config: ScreeningConfig = ScreeningConfig()) -> DataFrame:
-    """Add `checks`, the ARRAY of all artifact checks in order."""
+def _with_checks(regions: DataFrame, config: ScreeningConfig) -> DataFrame:
+    """Add one STRUCT column for each check, `_check_0` and on."""
     banded = with_cloud_terms(with_bands(regions), config)
     s = Signals(banded)
-    return banded.withColumn("checks", F.array(*[d(s, config) for d in DETECTORS])).select(*regions.columns, "checks")
+    return banded.withColumns({f"_check_{i}": d(s, config) for i, d in enumerate(DETECTORS)})
+
+
+def _each() -> list[Column]:
+    return [F.col(f"_check_{i}") for i in range(len(DETECTORS))]
+
+
+def detect_all(regions: DataFrame, config: ScreeningConfig = ScreeningConfig()) -> DataFrame:
+    """Add `checks`, the ARRAY of all artifact checks in order."""
+    return _with_checks(regions, config).select(*regions.columns, F.array(*_each()).alias("checks"))
 
 
 def adjust_tier(tier: Column, decision: Column) -> Column:
@@ -199,24 +208,23 @@ def screen_regions(regions: DataFrame, config: ScreeningConfig = ScreeningConfig
 
     Only a hard check suppresses; summed risk alone at most flags.
     """
-    checked = detect_all(regions, config)
-    s = Signals(checked)
-    checks = F.col("checks")
-    found = F.filter(checks, lambda x: x["detected"])
+    checked = _with_checks(regions, config)
+    s, each = Signals(checked), _each()
+    total = F.lit(0.0)
+    for c in each:
+        total = total + c["weight"] * c["score"]
+    small = (F.col("area_px") < config.min_area_px) & ~((F.col("area_px") <= 2) & s.flag("noise_spike"))
     terms = checked.withColumns({
-        "_out": ((F.col("area_px") < config.min_area_px) & ~((F.col("area_px") <= 2) & s.flag("noise_spike"))) | ~F.col("spectral_available"),
-        "_hard": F.get(F.filter(checks, lambda x: x["hard"]), F.lit(0))["artifact"],
-        "_found": F.transform(found, lambda x: F.struct((-(x["weight"] * x["score"])).alias("w"), x["artifact"].alias("artifact"))),
-        "_risk": F.round(F.least(F.lit(1.0), F.aggregate(checks, F.lit(0.0), lambda a, x: a + x["weight"] * x["score"])), 4),
+        "_small": small,
+        "_out": small | ~F.col("spectral_available"),
+        "_hard": F.coalesce(*[F.when(c["hard"], name) for c, name in zip(each, CHECKS)]),
+        "_heavy": F.greatest(*[F.when(c["detected"], c["weight"] * c["score"]) for c in each]),
+        "_risk": F.round(F.least(F.lit(1.0), total), 4),
     })
-
-    def check(i, field):
-        return F.get(checks, F.lit(i))[field]
-
     forced = (
-        check(4, "detected")
-        | (check(0, "detected") & check(0, "limited") & (check(0, "score") >= 0.40))
-        | (check(1, "detected") & check(1, "limited") & (check(1, "score") >= 0.35))
+        each[4]["detected"]
+        | (each[0]["detected"] & each[0]["limited"] & (each[0]["score"] >= 0.40))
+        | (each[1]["detected"] & each[1]["limited"] & (each[1]["score"] >= 0.35))
     )
     out, is_hard, risk = F.col("_out"), F.col("_hard").isNotNull(), F.col("_risk")
     basis = (
@@ -230,17 +238,24 @@ def screen_regions(regions: DataFrame, config: ScreeningConfig = ScreeningConfig
     )
     terms = terms.withColumn("decision", decision)
     # The heaviest check is named; of equal ones the first in order.
-    heaviest = F.get(F.filter("_found", lambda x: x["w"] == F.array_min(F.transform("_found", lambda y: y["w"]))), F.lit(0))["artifact"]
+    heaviest = F.coalesce(*[F.when(c["detected"] & (c["weight"] * c["score"] == F.col("_heavy")), name) for c, name in zip(each, CHECKS)])
     category = F.col("category") if "category" in regions.columns else F.lit("unknown")
     tier = F.col("confidence_tier") if "confidence_tier" in regions.columns else F.lit("uncertain")
     empty = F.array().cast("array<string>")
+    found = F.array_compact(F.array(*[F.when(c["detected"], name) for c, name in zip(each, CHECKS)]))
+    limits = F.array_compact(F.array(
+        F.when(F.col("_small"), "AREA_BELOW_MINIMUM"), F.when(~F.col("spectral_available"), "SPECTRAL_UNAVAILABLE"),
+        *[F.when(c["limited"], f"{name}_UNCONFIRMED") for c, name in zip(each, CHECKS)],
+    ))
     return terms.select(
         *regions.columns, "decision", F.when(out, 0.0).when(is_hard, 1.0).otherwise(risk).alias("risk"), "basis",
         F.when(out, None).when(is_hard, F.col("_hard")).otherwise(heaviest).alias("primary_artifact"),
-        F.when(out, empty).otherwise(F.transform("_found", lambda x: x["artifact"])).alias("contributing"),
+        F.when(out, empty).otherwise(found).alias("contributing"),
         F.when(F.col("decision") == "suppressed", "suppressed").otherwise(category).alias("retained_category"),
         adjust_tier(tier, F.col("decision")).alias("adjusted_tier"),
-        F.when(out, F.array().cast(checked.schema["checks"].dataType)).otherwise(checks).alias("checks"),
+        F.when(out, F.array().cast("array<struct<artifact: string, detected: boolean, score: double, weight: double, hard: boolean, limited: boolean>>")).otherwise(F.array(*each)).alias("checks"),
+        # Why the region was decided so, and what the data could not show: stable codes, in order.
+        F.concat(F.array("basis"), F.when(out, empty).otherwise(found)).alias("decision_reasons"), limits.alias("data_limitations"),
     )
 
 

@@ -74,7 +74,7 @@ def _edge_roots():
     return solve
 
 
-def connected(edges: DataFrame, keys: list[str], max_rounds: int = 60) -> DataFrame:
+def connected(edges: DataFrame, keys: list[str]) -> DataFrame:
     """Component root of every vertex named in `edges` (columns keys, a, b), as (keys, node, root).
 
     Rounds of linking each vertex to the smallest neighbour (large star, then small star); a round at least
@@ -82,7 +82,8 @@ def connected(edges: DataFrame, keys: list[str], max_rounds: int = 60) -> DataFr
     """
     current = cut(edges.where("a <> b").select(*keys, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     checksum = None
-    for _ in range(max_rounds):
+    # The number of rounds grows with the logarithm of the edges; far more than that means the input is not what it seems.
+    for _ in range(20 + 4 * current.count().bit_length()):
         # Large star: larger neighbours of a vertex point to the smallest member of its neighbourhood.
         both = current.unionByName(current.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy(*keys, "a").agg(F.least(F.min("b"), F.col("a")).alias("m"))

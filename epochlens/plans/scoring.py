@@ -1,23 +1,22 @@
 """Block scoring of a query table against a gallery, without emitting pairs.
 
-Both tables meet block by block as NumPy matrices inside tasks, and a task returns only what a reduction
-keeps (top k, counts). A query table proven small travels to the tasks that read the gallery; a larger one is
-cut into blocks, and every (query block, gallery slice) becomes a group of bounded size.
+Both tables are cut into blocks that meet as NumPy matrices inside tasks, and a task returns only what a reduction
+keeps (top k, counts). Every (query block, gallery slice) is a group of bounded size: one similarity matrix of
+QUERY_BLOCK x GALLERY_SLICE doubles, about 80 MB, and a few index arrays of the rows kept.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 512
 GALLERY_SLICE = 20_000
-SMALL_QUERIES = 4096
-SMALL_VALUES = 8_000_000  # numbers a broadcast query table may hold
+Blocks = tuple[int, int]
 
 Reduce = Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]
 
@@ -30,27 +29,10 @@ def unit_rows(vectors: pd.Series) -> np.ndarray:
     return m / length
 
 
-def score_blocks(queries: DataFrame, gallery: DataFrame, reduce: Reduce, schema: str, small: int = SMALL_QUERIES) -> DataFrame:
+def score_blocks(queries: DataFrame, gallery: DataFrame, reduce: Reduce, schema: str, blocks_of: Blocks = (QUERY_BLOCK, GALLERY_SLICE)) -> DataFrame:
     """Rows of `reduce(query_block, gallery_block)` for all blocks; column `v` holds the vectors."""
-    probe = queries.limit(small + 1).toPandas() if small else None
-    if probe is not None and len(probe) <= small and sum(len(v) for v in probe["v"]) <= SMALL_VALUES:
-        shared = gallery.sparkSession.sparkContext.broadcast(probe)
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            held, rows = [], 0
-            for batch in batches:
-                held.append(batch)
-                rows += len(batch)
-                if rows >= GALLERY_SLICE:
-                    yield reduce(shared.value, pd.concat(held, ignore_index=True))
-                    held, rows = [], 0
-            if rows:
-                yield reduce(shared.value, pd.concat(held, ignore_index=True))
-
-        return gallery.mapInPandas(scan, schema)
-
-    blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
-    slices = max(1, math.ceil(gallery.count() / GALLERY_SLICE))
+    blocks = max(1, math.ceil(queries.count() / blocks_of[0]))
+    slices = max(1, math.ceil(gallery.count() / blocks_of[1]))
 
     def spread(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
         key = F.xxhash64(*[c for c in df.columns if c.endswith("_id")])
@@ -73,7 +55,7 @@ def _type(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
-def topk_batch(queries: DataFrame, gallery: DataFrame, k: int, exclude_self: bool = False, small: int = SMALL_QUERIES) -> DataFrame:
+def topk_batch(queries: DataFrame, gallery: DataFrame, k: int, exclude_self: bool = False, blocks_of: Blocks = (QUERY_BLOCK, GALLERY_SLICE)) -> DataFrame:
     """The k most similar gallery rows per query: score (6 dp) descending, then gallery id.
 
     queries: query_id, v; gallery: gallery_id, v.
@@ -90,12 +72,16 @@ def topk_batch(queries: DataFrame, gallery: DataFrame, k: int, exclude_self: boo
         if exclude_self:
             sims[q["query_id"].to_numpy()[:, None] == g["gallery_id"].to_numpy()[None, :]] = -np.inf
         keep = min(k, sims.shape[1])
-        at = np.argsort(-sims, axis=1, kind="stable")[:, :keep]
-        score = np.take_along_axis(sims, at, axis=1)
-        rows = np.repeat(np.arange(len(q)), keep)
-        out = pd.DataFrame({"query_id": q["query_id"].to_numpy()[rows], "gallery_id": g["gallery_id"].to_numpy()[at.ravel()], "score": score.ravel()})
+        least = np.partition(sims, sims.shape[1] - keep, axis=1)[:, sims.shape[1] - keep]
+        # Ties with the k-th are kept until the gallery ids decide; the columns are in the order of the ids.
+        rows, cols = np.nonzero(sims >= least[:, None])
+        order = np.lexsort((cols, -sims[rows, cols], rows))
+        rows, cols = rows[order], cols[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows, "left")
+        rows, cols = rows[place < keep], cols[place < keep]
+        out = pd.DataFrame({"query_id": q["query_id"].to_numpy()[rows], "gallery_id": g["gallery_id"].to_numpy()[cols], "score": sims[rows, cols]})
         return out[np.isfinite(out["score"])]
 
-    partial = score_blocks(queries.select("query_id", "v"), gallery.select("gallery_id", "v"), best, schema, small)
+    partial = score_blocks(queries.select("query_id", "v"), gallery.select("gallery_id", "v"), best, schema, blocks_of)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "gallery_id")
     return partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -14,10 +14,11 @@ sys.path.insert(0, str(ROOT / "tools"))
 
 
 def test_sql_expands_in_a_fresh_process_without_a_session():
-    code = "import __spark_entry__ as e; s = e.oracle_sql(); q = e.queries(); print(len(s), len(q))"
+    code = "import __spark_entry__ as e; s = e.oracle_sql(); print(*[n for n in e.queries() if n not in s])"
     out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120)
-    sql, names = map(int, out.stdout.split()[-2:])
-    assert names - sql == 6
+    # Those of the optional subpackage are tested with it.
+    without = {n for n in out.stdout.split() if not re.match(r"op\d+_|pipeline$", n)}
+    assert without == {"a05_file_inventory", "i03_tile_hash", "m13_investigate", "n05_project", "n13_cross_modal_metrics"}
 
 
 def test_every_inventory_id_has_a_query():

@@ -93,8 +93,8 @@ def test_labels_across_blocks(spark, monkeypatch, connectivity, limit):
     assert all(got[rc] == want[code[rc]] for rc in cells)
 
 
-@pytest.mark.parametrize("small", [0, 4096])
-def test_topk_and_ranks_match_brute_force(spark, small):
+@pytest.mark.parametrize("blocks_of", [(7, 11), (512, 20_000)])
+def test_topk_and_ranks_match_brute_force(spark, blocks_of):
     rng = np.random.default_rng(11)
     m = rng.integers(-2, 3, size=(60, 4)).astype(float)  # many exact ties
     labels = [0 if i % 3 else i % 7 for i in range(60)]
@@ -104,13 +104,13 @@ def test_topk_and_ranks_match_brute_force(spark, small):
     unit = m / np.where(np.linalg.norm(m, axis=1, keepdims=True) < 1e-12, 1, np.linalg.norm(m, axis=1, keepdims=True))
     sims = np.round(unit @ unit.T, 6)
     got = {}
-    for r in topk_batch(q, g, 5, exclude_self=True, small=small).collect():
+    for r in topk_batch(q, g, 5, exclude_self=True, blocks_of=blocks_of).collect():
         got.setdefault(r["query_id"], {})[r["rank"]] = r["gallery_id"]
     for i in range(60):
         want = sorted((j for j in range(60) if j != i), key=lambda j: (-sims[i, j], j))[:5]
         assert [got[i][k] for k in range(1, 6)] == want
     ranks = {}
-    for r in ranking.relevant_ranks(q, g, exclude_self=True, small=small, chunk=7).collect():
+    for r in ranking.relevant_ranks(q, g, exclude_self=True, blocks_of=blocks_of, chunk=7).collect():
         ranks.setdefault(r["query_id"], []).append((r["relevant_rank"], r["rank"]))
     for i in range(60):
         order = sorted((j for j in range(60) if j != i), key=lambda j: (-np.round(sims[i, j], 6), j))
