@@ -79,10 +79,11 @@ def match_scores(met: DataFrame) -> DataFrame:
     return met.select("candidate_id", "pair_id", "region_id", "iou")
 
 
-def resolve_match(candidates: DataFrame, met: DataFrame, config: TimelineConfig = TimelineConfig()) -> DataFrame:
+def resolve_match(candidates: DataFrame, met: DataFrame, config: TimelineConfig = TimelineConfig(), regions: DataFrame | None = None) -> DataFrame:
     """One row per candidate and target pair: the matched region, or why there is none.
 
-    The best two by IoU decide, else the nearest two by centre distance; a lead below the margin is ambiguous.
+    With `regions` (pair_id), a target pair without any region is disjoint, whatever is known of the candidate; only
+    then does a candidate without a place lack metadata. The best two by IoU decide, else the nearest two by centre distance; a lead below the margin is ambiguous.
     The rows of one candidate and pair are the regions within reach of one place.
     """
     key = ["candidate_id", "pair_id"]
@@ -102,7 +103,10 @@ def resolve_match(candidates: DataFrame, met: DataFrame, config: TimelineConfig
         F.max(F.when(near & (F.col("_d") == 1), one)).alias("d"), F.max(F.when(near & (F.col("_d") == 2), F.col("distance_m"))).alias("d_second"),
         F.max("iou").alias("_iou"), F.min("distance_m").alias("_distance"),
     )
-    rows = candidates.join(seen, key, "left")
+    rows = candidates.join(seen, key, "left").withColumn("_bare", F.lit(False))
+    if regions is not None:
+        occupied = regions.groupBy("pair_id").agg(F.lit(True).alias("_held"))
+        rows = rows.drop("_bare").join(occupied, "pair_id", "left").withColumn("_bare", F.col("_held").isNull())
     blind = F.col("min_lon").isNull() & F.col("lon").isNull()
     has_o, has_d = F.col("o").isNotNull(), F.col("d").isNotNull()
     o_clear = F.col("o_second").isNull() | (F.col("o.iou") - F.col("o_second") >= config.ambiguity_margin)
@@ -110,7 +114,7 @@ def resolve_match(candidates: DataFrame, met: DataFrame, config: TimelineConfig
     pick = F.when(has_o & o_clear, F.col("o")).when(~has_o & has_d & d_clear, F.col("d"))
     return rows.select(
         *key,
-        F.when(blind, "INSUFFICIENT_METADATA").when(has_o, "GEOREFERENCED_BBOX").when(has_d, "GEOREFERENCED_CENTROID_ONLY").otherwise("DISJOINT").alias("status"),
+        F.when(F.col("_bare"), "DISJOINT").when(blind, "INSUFFICIENT_METADATA").when(has_o, "GEOREFERENCED_BBOX").when(has_d, "GEOREFERENCED_CENTROID_ONLY").otherwise("DISJOINT").alias("status"),
         F.when(pick.isNotNull(), "MATCHED").when(has_o | has_d, "AMBIGUOUS").otherwise("NONE").alias("relationship"),
         pick["region_id"].alias("matched_region_id"),
         F.when(pick.isNotNull(), pick["iou"]).when(has_o, F.col("o.iou")).when(has_d, 0.0).otherwise(F.coalesce("_iou", F.lit(0.0))).alias("iou"),

@@ -125,7 +125,7 @@ def investigate(requests: DataFrame, observations: DataFrame, rasters: DataFrame
     candidates = schedule.join(place, ["discovery_pair_id", "region_id"])
     others = candidates.where("NOT is_discovery")
     met = matching.candidate_x_regions(others, regions, settings.timeline)
-    resolved = matching.resolve_match(others.select("candidate_id", "pair_id", *matching.BOX, "lon", "lat"), met, settings.timeline)
+    resolved = matching.resolve_match(others.select("candidate_id", "pair_id", *matching.BOX, "lon", "lat"), met, settings.timeline, regions)
     own = candidates.where("is_discovery").select(
         "candidate_id", "pair_id", F.lit("EXACT_REFERENCE").alias("status"), F.lit("MATCHED").alias("relationship"),
         F.col("region_id").alias("matched_region_id"), F.lit(1.0).alias("iou"), F.lit(0.0).alias("distance_m"),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +21,7 @@ _RUNTIME_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
 }
 
+
 def build_session(master: str = "local[8]", app: str = "epochlens", **conf: str) -> SparkSession:
     """Session for local runs and tests; on a cluster pass the session you already have to `tune`."""
     builder = (
@@ -56,9 +59,29 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+_STAGES: list[list[str]] = []
+
+
+@contextmanager
+def stage(spark: SparkSession) -> Iterator[None]:
+    """Remove, at the end, the tables that `cut` and `scratch` made inside. Write results elsewhere before."""
+    made: list[str] = []
+    _STAGES.append(made)
+    try:
+        yield
+    finally:
+        _STAGES.remove(made)
+        for path in made:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def scratch(spark: SparkSession) -> str:
     """A new path in the checkpoint folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/epochlens-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/epochlens-{uuid.uuid4().hex}"
+    if _STAGES:
+        _STAGES[-1].append(path)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -21,6 +21,13 @@ def test_sql_expands_in_a_fresh_process_without_a_session():
     assert without == {"a05_file_inventory", "i03_tile_hash", "m13_investigate", "n05_project", "n13_cross_modal_metrics"}
 
 
+def test_the_library_works_without_the_optional_subpackage():
+    code = "import sys; sys.modules['epochlens.llm'] = None; import __spark_entry__ as e; print(*e.queries(), *e.oracle_sql())"
+    out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120)
+    names = out.stdout.split()
+    assert "m02_resolve_match" in names and not any(re.match(r"op\d+_|pipeline$", n) for n in names), out.stderr
+
+
 def test_every_inventory_id_has_a_query():
     import __spark_entry__ as entry
 

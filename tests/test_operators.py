@@ -214,6 +214,14 @@ def test_matching_prefers_overlap_then_distance(spark):
     assert got["far"]["relationship"] == got["none"]["relationship"] == "NONE" and got["far"]["status"] == "DISJOINT"
 
 
+def test_an_empty_target_is_disjoint_before_metadata_is_asked_for(spark):
+    candidates = place(spark, [("c", p, None, None, None, None, None, None) for p in ("full", "empty")], "candidate_id string, pair_id string")
+    regions = place(spark, [("full", "r", 77.0, 12.0, 77.001, 12.001, 77.0005, 12.0005)], "pair_id string, region_id string")
+    met = matching.candidate_x_regions(candidates, regions)
+    got = {r["pair_id"]: r["status"] for r in matching.resolve_match(candidates, met, regions=regions).collect()}
+    assert got == {"full": "INSUFFICIENT_METADATA", "empty": "DISJOINT"}
+
+
 def test_reviews_skip_repeats_and_chain_hashes(spark):
     def batch(*rows):
         return spark.createDataFrame([("i", "r", day(n), n, d, note, "") for n, d, note in rows], "investigation_id string, region_id string, ts timestamp, event_id int, decision string, note string, reason string")

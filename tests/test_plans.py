@@ -133,3 +133,16 @@ def test_query_without_relevant_rows_counts_as_zero(spark):
     g = spark.createDataFrame([(5, "a", [1.0, 0.0])], "gallery_id int, label string, v array<double>")
     r = ranking.retrieval_metrics(q, g).first()
     assert (r["queries"], r["top_1"], r["mrr"], r["map"]) == (2, 0.5, 0.5, 0.5)
+
+
+def test_tables_of_a_stage_are_removed(spark):
+    from pathlib import Path
+
+    from epochlens.session import checkpoint_dir, cut, stage
+
+    root = Path(checkpoint_dir(spark).removeprefix("file:"))
+    before = set(root.iterdir())
+    with stage(spark):
+        assert cut(spark.range(5)).count() == 5
+        assert len(set(root.iterdir()) - before) == 1
+    assert set(root.iterdir()) == before
