@@ -83,10 +83,8 @@ def disclosures(
     near = cut(_context_terms(mentions, context))
     spots = mentions.select("entity", F.xxhash64("before", "after").alias("spot")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     pairs = near.select("entity", "term", "spot").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= support)
-    total = found.agg(F.count(F.lit(1)).alias("n_docs"))
-    pairs = pairs.join(spots, "entity").join(document_frequencies(docs), "term")
-    weighed = pairs.join(F.broadcast(total))  # one row
-    n = F.greatest("n_docs", "n_e", "df").cast("double")
+    weighed = pairs.join(spots, "entity").join(document_frequencies(docs), "term")
+    n = F.greatest(F.lit(found.count()), "n_e", "df").cast("double")
     information = F.log2(n / F.col("n_e"))
     mutual = F.log2(n * F.col("n_et") / (F.col("n_e") * F.greatest("df", "n_et")))
     share = F.when(information > 0, mutual / information).otherwise(0.0)
