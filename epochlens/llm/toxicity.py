@@ -36,6 +36,12 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.concat(words, *stems))
 
 
+def unit_weights(idf: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """TF-IDF weights of a text's terms, of length one."""
+    w = (1 + np.log(counts)) * idf[terms]
+    return w / np.sqrt((w * w).sum())
+
+
 @dataclass
 class Index:
     """Labelled examples as unit vectors: postings by term, largest weight of each term in each block of examples."""
@@ -64,9 +70,7 @@ class Index:
         self.block_ptr = np.searchsorted(distinct // max(1, self.n_blocks), np.arange(n_terms + 1))
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Unit TF-IDF weights."""
-        w = (1 + np.log(counts)) * self.idf[terms]
-        return w / np.sqrt((w * w).sum())
+        return unit_weights(self.idf, terms, counts)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the largest cosine, ties by place, and their cosines; exact.
@@ -243,15 +247,13 @@ def fit(
     flat = [t for k in order for t in k[0]]
     sizes = [len(k[0]) for k in order]
     indptr = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    weights = [unit_weights(idf, np.array(t), np.array(n, float)) for t, n in order]
     index = Index(
-        terms={t: i for i, t in enumerate(terms)}, idf=idf, indptr=indptr, columns=np.array(flat, np.int64), weights=np.zeros(len(flat)),
+        terms={t: i for i, t in enumerate(terms)}, idf=idf, indptr=indptr, columns=np.array(flat, np.int64), weights=np.concatenate([*weights, np.empty(0)]),
         positives=np.array([groups[k][0] for k in order], np.int64), negatives=np.array([groups[k][1] for k in order], np.int64),
         example_ids=np.array([groups[k][2] for k in order], object), prior=prior,
         empty_score=(empty[0] + prior) / (sum(empty[:2]) + 1),
     )
-    for i, k in enumerate(order):
-        index.weights[indptr[i] : indptr[i + 1]] = index.vector(np.array(k[0]), np.array(k[1], float))
-    index.__post_init__()
     scores, marks, weights = [], [], []
     # The groups are in the order of their terms, so every so-manieth is a spread-out choice.
     for i in range(0, len(order), max(1, -(-len(order) // MAX_CALIBRATION))):

@@ -13,11 +13,10 @@ def test_nearest_is_exact():
     r = np.random.default_rng(0)
     rows = [np.sort(r.choice(60, r.integers(1, 9), replace=False)) for _ in range(700)]
     at = np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+    idf = r.random(60) + 0.5
+    weights = np.concatenate([toxicity.unit_weights(idf, x, r.integers(1, 4, len(x)).astype(float)) for x in rows])
     ones = np.ones(len(rows), int)
-    index = toxicity.Index({}, r.random(60) + 0.5, at, np.concatenate(rows), np.zeros(at[-1]), ones, ones, np.arange(700), 0.1, 0.1)
-    for i, x in enumerate(rows):
-        index.weights[at[i] : at[i + 1]] = index.vector(x, r.integers(1, 4, len(x)).astype(float))
-    index.__post_init__()
+    index = toxicity.Index({}, idf, at, np.concatenate(rows), weights, ones, ones, np.arange(700), 0.1, 0.1)
     dense = np.zeros((700, 60))
     for i, x in enumerate(rows):
         dense[i, x] = index.weights[at[i] : at[i + 1]]
