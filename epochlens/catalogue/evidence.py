@@ -88,6 +88,15 @@ def context(t):
     return evidence.context_contrast(run.scored, run.members, regions(t, run.members), CONFIG, block=4)
 
 
+@query("j08_background_means", f"""
+    WITH {BOX}, bg AS (SELECT p.* FROM fx_px p ANTI JOIN fx_member m USING (pair_id, r, c)),
+    a AS (SELECT b.pair_id, b.region_id, bg.band, count(*) AS n, avg(bg.l) AS mean FROM fx_box b JOIN bg ON bg.pair_id = b.pair_id AND bg.r BETWEEN r0 - 1 AND r1 + 1 AND bg.c BETWEEN c0 - 1 AND c1 + 1 GROUP BY ALL)
+    SELECT pair_id, region_id, band, round(mean, 4) AS background_mean FROM a WHERE n >= 4""")
+def background(t):
+    run = chain.detection(t)
+    return evidence.background_means(run.scored, chain.aligned(t), run.members, regions(t, run.members), CONFIG, block=4)
+
+
 @query("j09_region_score_stats", f"""
     WITH {BOX} SELECT pair_id, region_id, round(s, 4) AS mean_score, round(mx, 4) AS max_score, round(sd, 4) AS score_std, round(area / v.n, 4) AS changed_fraction
     FROM fx_box JOIN (SELECT pair_id, count(*) AS n FROM fx_score WHERE valid GROUP BY pair_id) v USING (pair_id)""")

@@ -219,13 +219,12 @@ def _window_sums():
     return sums
 
 
-def context_contrast(scored: DataFrame, members: DataFrame, regions: DataFrame, config: EvidenceConfig = EvidenceConfig(), block: int = 512) -> DataFrame:
-    """Unchanged surroundings of each region and how the region stands out from them.
+def _surroundings(blocks: DataFrame, values: str, members: DataFrame, regions: DataFrame, buffer: int, block: int, *keys: str) -> DataFrame:
+    """Per region (and `keys`) the number of unchanged pixels in its box grown by the buffer, and the sum of `values` there.
 
-    Windows (region boxes grown by the buffer) and changed pixels are packed per raster block, meet the block
-    once, and each block answers for its windows; only one count and sum per window and block are exchanged.
+    Windows and changed pixels are packed per raster block, meet the block once, and each block answers for its
+    windows; only one count and sum per window and block are exchanged.
     """
-    buffer = config.buffer_px
 
     def span(low, high):
         return F.sequence(F.floor((F.col(low) - buffer) / block), F.floor((F.col(high) + buffer) / block))
@@ -243,13 +242,28 @@ def context_contrast(scored: DataFrame, members: DataFrame, regions: DataFrame,
     taken = members.groupBy("pair_id", row0.alias("row0"), col0.alias("col0")).agg(
         F.collect_list(F.struct((F.col("row") % block).alias("r"), (F.col("col") % block).alias("c"))).alias("_t")
     )
-    met = scored.join(windows, list(at)).join(taken, list(at), "left")
+    met = blocks.join(windows, list(at)).join(taken, list(at), "left")
     sums = _window_sums()(
-        "scores", "seen", "height", "width", F.col("_t.r"), F.col("_t.c"), F.col("_w.region_id"), F.col("_w.r0"), F.col("_w.r1"), F.col("_w.c0"), F.col("_w.c1")
+        values, "seen", "height", "width", F.col("_t.r"), F.col("_t.c"), F.col("_w.region_id"), F.col("_w.r0"), F.col("_w.r1"), F.col("_w.c0"), F.col("_w.c1")
     )
-    around = met.select("pair_id", F.explode(sums).alias("s")).groupBy("pair_id", F.col("s.region_id").alias("region_id")).agg(
+    return met.select("pair_id", *keys, F.explode(sums).alias("s")).groupBy("pair_id", F.col("s.region_id").alias("region_id"), *keys).agg(
         F.sum("s.n").alias("context_pixels"), F.sum("s.total").alias("_total")
     )
+
+
+def background_means(scored: DataFrame, aligned: DataFrame, members: DataFrame, regions: DataFrame, config: EvidenceConfig = EvidenceConfig(), block: int = 512) -> DataFrame:
+    """Per region and band the mean of the later date over its unchanged surroundings, where these are large enough."""
+    at = ["pair_id", "row0", "col0"]
+    later = aligned.where(F.col("error").isNull()).select(*at, F.posexplode("later").alias("band", "values"))
+    bands = scored.select(*at, "height", "width", "seen").join(later, at)
+    around = _surroundings(bands, "values", members, regions, config.buffer_px, block, "band")
+    enough = around.where(F.col("context_pixels") >= config.min_context_pixels)
+    return enough.select(*REGION, "band", F.round(F.col("_total") / F.col("context_pixels"), 4).alias("background_mean"))
+
+
+def context_contrast(scored: DataFrame, members: DataFrame, regions: DataFrame, config: EvidenceConfig = EvidenceConfig(), block: int = 512) -> DataFrame:
+    """Unchanged surroundings of each region and how the region stands out from them."""
+    around = _surroundings(scored, "scores", members, regions, config.buffer_px, block)
     enough = F.col("context_pixels") >= config.min_context_pixels
     mean = F.col("_total") / F.col("context_pixels")
     out = regions.select(*REGION, "mean_score").join(around, list(REGION), "left")
