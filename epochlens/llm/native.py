@@ -45,18 +45,22 @@ def locate(df: DataFrame, text: str, patterns: list[Pattern], context: int = 0)
     spans = {}
     for p in patterns:
         pieces, matches, begins = (F.col(f"_{p.kind}_{x}") for x in ("pieces", "matches", "begins"))
-
-        def span(match: Column, i: Column) -> Column:
-            start = F.get(begins, i) + F.length(F.get(pieces, i))  # noqa: B023
-            fields = [start.alias("start"), (start + F.length(match)).alias("end"), match.alias("value")]
+        n = F.size(matches)
+        # All that an element needs stands in it: an outer column inside a lambda would be worked out for every element.
+        parts = [matches.alias("match"), begins.alias("begin"), F.slice(pieces, 1, n).alias("piece")]
+        parts += [F.slice(pieces, 2, n).alias("next")] if context else []
+
+        def span(x: Column) -> Column:
+            start = x["begin"] + F.length(x["piece"])
+            fields = [start.alias("start"), (start + F.length(x["match"])).alias("end"), x["match"].alias("value")]
             if context:
-                fields += [F.right(F.get(pieces, i), F.lit(context)).alias("before"), F.left(F.get(pieces, i + 1), F.lit(context)).alias("after")]
+                fields += [F.right(x["piece"], F.lit(context)).alias("before"), F.left(x["next"], F.lit(context)).alias("after")]
             return F.struct(*fields)
 
-        all_spans = F.transform(matches, span)
+        all_spans = F.transform(F.arrays_zip(*parts), span)
         kept = F.filter(all_spans, lambda s: p.valid(s["value"])) if p.valid else all_spans  # noqa: B023
         kind = "array<struct<start: bigint, end: bigint, value: string" + ", before: string, after: string" * bool(context) + ">>"
-        spans[p.kind] = F.coalesce(F.when(F.size(matches) > 0, kept), F.array()).cast(kind)
+        spans[p.kind] = F.coalesce(F.when(n > 0, kept), F.array()).cast(kind)
     return df.withColumns(spans).drop(*[f"_{p.kind}_{x}" for p in patterns for x in ("matches", "pieces", "steps", "begins")])
 
 
