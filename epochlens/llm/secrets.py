@@ -82,7 +82,8 @@ def scan(versions: DataFrame, ledger_path: str | None = None, rules: tuple[Rule,
         fresh.write.mode("append").parquet(ledger_path)
     current = F.create_map(*[x for r in rules for x in (F.lit(r.pattern.kind), F.lit(r.version))])
     place = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.pattern.kind), F.lit(i))])
-    findings = (
+    # Written first, so that the join below is between plain shuffles and the planner can split a blob of many paths.
+    findings = cut(
         (fresh if not ledger_path else read_ledger(spark, ledger_path))
         .where((F.size("spans") > 0) & (current[F.col("rule")] == F.col("version")))
         .dropDuplicates(["blob", "rule", "version"])
