@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from epochlens.catalogue.registry import query
 from epochlens.config import DetectionConfig
 from epochlens.operators import pixels
-from epochlens.plans.quantiles import exact_quantiles
 
 CONFIG = DetectionConfig(nodata=-99.0, std_multiplier=0.5, min_region_area=2)
 

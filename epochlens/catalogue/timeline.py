@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from epochlens.catalogue.registry import query
 from epochlens.catalogue.scalars import HAVERSINE, METRIC_IOU
 from epochlens.catalogue.views import EXTRA_SQL
-from epochlens.config import TimelineConfig
 from epochlens.functions import geo
 from epochlens.operators import matching, timeline
 from epochlens.plans.ordered import ordered
