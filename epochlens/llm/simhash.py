@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from epochlens.llm.common import by_row_key, map_batches, plain_words, row_key, texts, utf8, where_key
+from epochlens.llm.common import by_row_key, lists, map_batches, plain_words, row_key, texts, utf8, where_key
 from epochlens.plans.components import connected
 from epochlens.session import cut
 
@@ -182,8 +182,108 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def _signatures(texts_of: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
+    """(node, size, bands): how many distinct shingles each text has, and the hashed bands of its MinHash values."""
+
+    def make():
+        r = np.random.default_rng(SEED)
+        factors = r.integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        shifts = r.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
+
+        def bands_of(hashes: np.ndarray) -> list[int]:
+            low = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+            for i in range(0, len(hashes), 2048):
+                part = hashes[i : i + 2048, None] * factors + shifts
+                np.minimum(low, (part ^ (part >> np.uint64(31))).min(axis=0), out=low)
+            return [xxhash.xxh64_intdigest(band.tobytes(), SEED + k) for k, band in enumerate(low.reshape(bands, rows))]
+
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [np.unique(shingle_hashes(plain_words(t), shingle)) for t in utf8(batch.column("text"))]
+            flat = np.array([b for s in sets for b in bands_of(s)], np.uint64).view(np.int64)
+            return pa.RecordBatch.from_arrays(
+                [batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), lists(pa.array(flat), np.full(len(sets), bands))],
+                ["node", "size", "bands"],
+            )
+
+        return each
+
+    return map_batches(texts_of, make, "node bigint, size bigint, bands array<bigint>")
+
+
+def _shingle_sets(texts_of: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles): the distinct shingle hashes of each text."""
+
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [np.unique(shingle_hashes(plain_words(t), shingle)) for t in utf8(batch.column("text"))]
+            flat = np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)
+            return pa.RecordBatch.from_arrays(
+                [batch.column("node"), lists(pa.array(flat), np.array([len(s) for s in sets], np.int64))], ["node", "shingles"]
+            )
+
+        return each
+
+    return map_batches(texts_of, make, "node bigint, shingles array<bigint>")
+
+
+def similar_links(
+    texts_of: DataFrame, least: float = 0.8, shingle: int = 5, bands: int = 25, rows: int = 5, all_pairs_to: int = 32
+) -> DataFrame:
+    """(a, b): pairs of distinct texts (columns node, text) whose shingle sets have a Jaccard similarity of `least` or more.
+
+    SimHash can't index this: sets 0.8 alike differ in about 10 of 64 bits, and segments short enough to agree but for
+    one bit are shared by unrelated texts. So candidates share a band of MinHash values; sets 0.8 alike miss every
+    one of 25 bands of 5 with a probability below 0.0001. Every candidate is verified on the whole sets. A band of up
+    to `all_pairs_to` texts is compared pair by pair; in a larger one all are compared with the smallest node, those
+    not alike to it with the smallest of them, and so on until none is left, so that no group makes all its pairs.
+    """
+    signs = cut(_signatures(texts_of, shingle, bands, rows))
+    held = signs.where("size > 0").select("node", "size", F.explode("bands").alias("band"))
+    counts = held.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = cut(held.join(counts, "band"))
+    kin = lambda d: d.where(F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * (least - 1e-9))
+    small = members.where(F.col("n") <= all_pairs_to)
+    left, right = (small.select("band", F.col("node").alias(x), F.col("size").alias(f"size_{x}")) for x in "ab")
+    pairs = kin(left.join(right, "band").where("a < b")).select("a", "b").distinct()
+    large = members.where(F.col("n") > all_pairs_to).select("band", "node", "size")
+    leaders = large.groupBy("band").agg(F.min(F.struct(F.col("node").alias("a"), F.col("size").alias("size_a"))).alias("l")).select("band", "l.*")
+    sets = cut(_shingle_sets(texts_of.join(members.select("node").distinct(), "node", "left_semi"), shingle))
+    one, two = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"_{x}")) for x in "ab")
+
+    def verified(wanted: DataFrame) -> DataFrame:
+        both = wanted.join(one, "a").join(two, "b")
+        common = F.size(F.array_intersect("_a", "_b"))
+        union = F.size("_a") + F.size("_b") - common
+        return both.where(common >= union * (least - 1e-9)).select("a", "b")
+
+    found = cut(verified(pairs))
+    while True:
+        led = cut(large.join(leaders, "band").where("node <> a").select("band", F.col("node").alias("b"), F.col("size").alias("size_b"), "a", "size_a"))
+        if led.isEmpty():
+            return found
+        alike = cut(verified(kin(led).select("a", "b").distinct()))
+        found = found.unionByName(alike)
+        large = led.join(alike, ["a", "b"], "left_anti").select("band", F.col("b").alias("node"), F.col("size_b").alias("size"))
+        leaders = large.groupBy("band").agg(F.min(F.struct(F.col("node").alias("a"), F.col("size").alias("size_a"))).alias("l")).select("band", "l.*")
+
+
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """The document with the smallest doc_id of each group, once; columns as given. A null doc_id is the smallest."""
     found = near_duplicates(by_row_key(docs), **options)
     kept = where_key(docs, found.where("doc_id = component_id"), "left_semi")
     return kept.withColumn("_key", row_key(kept)).dropDuplicates(["_key"]).drop("_key")
+
+
+def keep_first_similar(docs: DataFrame, least: float = 0.8, **options) -> DataFrame:
+    """`keep_first` by `similar_links` in place of fingerprints: groups are joined by verified similarity only.
+
+    Texts of equal words are one text; those without words are one group.
+    """
+    words = F.trim(F.regexp_replace(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x09-\x0D\x20]+", " "))
+    keyed = cut(by_row_key(docs).select("doc_id", F.xxhash64(F.coalesce(words, F.lit(""))).alias("node")))
+    bare = docs.select(F.coalesce(words, F.lit("")).alias("text")).select(F.xxhash64("text").alias("node"), "text").dropDuplicates(["node"])
+    roots = connected(similar_links(cut(bare), least, **options), [])
+    first = keyed.groupBy("node").agg(F.min("doc_id").alias("first_id"))
+    named = first.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first_id").alias("doc_id"))
+    kept = where_key(docs, named, "left_semi")
+    return kept.withColumn("_key", row_key(kept)).dropDuplicates(["_key"]).drop("_key")

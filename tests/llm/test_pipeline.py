@@ -66,3 +66,11 @@ def test_each_stage_does_what_its_operator_says(spark, folder):
 def test_run_and_registration(spark, folder):
     assert corpus_pipeline.run(spark, folder).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
     assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 11))
+
+
+def test_edited_copies_leave_the_near_duplicate_stage(spark, folder, docs_of, prose):
+    text = prose(8000, 300).split()
+    copies = [(i, " ".join(text[:40 * i] + ["edited"] + text[40 * i + 1 :])) for i in range(1, 7)]
+    half = [(20, " ".join(text[:200]) + " " + prose(8001, 100))]
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs_of([*copies, *half]), folder)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 20]

@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -70,3 +71,31 @@ def test_one_of_each_group_stays(docs_of, prose):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [2, 4, None]
     assert simhash.keep_first(docs.limit(0)).count() == 0
+
+
+def shingle_set(text):
+    words = (text or "").translate(LOWER).split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_similar_texts_are_joined_and_no_others(docs_of, prose):
+    r = random.Random(8)
+    rows = []
+    for g in range(60):
+        words = prose(g, r.randint(60, 400)).split()
+        rows.append((10 * g, " ".join(words)))
+        for k, edits in enumerate((len(words) // 60, len(words) // 20)):
+            copy = list(words)
+            for at in r.sample(range(len(copy)), edits):
+                copy[at] = "edited"
+            rows.append((10 * g + 1 + k, " ".join(copy)))
+    many = prose(900, 200)
+    # A large group, whose bands go through their smallest member, with members that are only half alike.
+    rows += [(1000 + i, many + f" tail{i}") for i in range(60)]
+    rows += [(1100 + i, " ".join(many.split()[:120]) + " " + prose(950 + i, 80)) for i in range(40)]
+    sets = [shingle_set(t) for _, t in rows]
+    alike = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    roots = components(rows, alike)
+    kept = simhash.keep_first_similar(docs_of([*rows, (5000, None), (5001, "")]))
+    assert sorted(x.doc_id for x in kept.collect()) == [rows[i][0] for i in sorted(set(roots))] + [5000]
+    assert simhash.keep_first_similar(docs_of([]).limit(0)).count() == 0
