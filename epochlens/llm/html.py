@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from epochlens.llm.common import map_batches
 
 #: Elements whose content is no text, elements that end a block, and void elements.
-SILENT = frozenset("script style head title noscript template svg math iframe object canvas select textarea".split())
+SILENT = frozenset("script style title noscript template svg math iframe object canvas select textarea".split())
 BREAKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -27,10 +28,16 @@ ASIDE_WORDS = frozenset(
     "social sponsor sponsored subscribe tags toolbar widget reply replies discussion respond consent gdpr banner complementary contentinfo".split()
 )
 BODY_TAGS = frozenset("article main".split())
+#: Parts of a class that deny its mark, or say that the element only has what the mark names.
+NO_MARKS = frozenset("no non not without has have with hide is".split())
+#: Silent elements that can't hold one of their own kind, and those whose content holds no tags.
+_FLAT = frozenset("title noscript iframe canvas select textarea".split())
+_RAW = frozenset("script style title textarea".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_CLOSED = re.compile(r"""(?:^|[\s"'])/$|^[^=]*/$""")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _SPLIT_MARK = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 _WORDS = re.compile(r"\S+")
 
@@ -51,12 +58,62 @@ class Block:
         return " ".join("".join(self.parts).split())
 
 
+def attributes(raw: str) -> dict[str, str]:
+    """Attributes of a tag by lower-case name; the first of a name counts."""
+    found: dict[str, str] = {}
+    for name, a, b, c in _ATTRIBUTE.findall(raw):
+        found.setdefault(name.lower(), a or b or c)
+    return found
+
+
+def hidden(given: dict[str, str]) -> bool:
+    """Whether attributes, by their whole names, hide the element."""
+    if given.get("hidden", "until-found").strip().lower() != "until-found":
+        return True
+    return given.get("aria-hidden", "").strip().lower() == "true" or bool(_NO_DISPLAY.search(given.get("style", "")))
+
+
+def names_aside(given: dict[str, str]) -> bool:
+    """Whether a class, the id or the role names surroundings, by a whole name or the first or last part of one."""
+    for token in " ".join(given.get(n, "") for n in ("class", "id", "role")).lower().split():
+        parts = [p for p in _SPLIT_MARK.split(token) if p and not p.isdigit()]
+        if parts and not NO_MARKS.intersection(parts) and not ASIDE_WORDS.isdisjoint((parts[0], parts[-1])):
+            return True
+    return False
+
+
+def _tags(page: str) -> Iterator[tuple[str, re.Match | None]]:
+    """The text before each tag, and the tag, without the content of silent elements; at last the rest and None.
+
+    A silent element without an end tag ends at its own tag, one of raw text at the next tag, so that the page goes on.
+    """
+    at, endless = 0, set()
+    while m := _TOKEN.search(page, at):
+        yield page[at : m.start()], m
+        at = m.end()
+        name = (m.group(2) or "").lower()
+        if m.group(1) or name not in SILENT or _CLOSED.search(m.group(3)):
+            continue
+        end = None
+        if name not in endless:
+            end = re.compile(rf"<{'/?' if name in _FLAT else '/'}{name}\b[^>]*>", re.I).search(page, at)
+            if end is None:
+                endless.add(name)
+        if end is not None and end[0][1] == "/":
+            at = end.end()
+        elif name in _RAW:
+            after = _TOKEN.search(page, at)
+            at = after.start() if after else len(page)
+    yield page[at:], None
+
+
 def blocks(page: str) -> list[Block]:
     """Text blocks of a page in order. Unclosed and crossing tags are taken as they come; a missing end closes all."""
     out: list[Block] = []
     open_tags: list[tuple[str, bool]] = []  # name, whether it marks surroundings
-    current, at, links = Block(), 0, 0
-    article = any(m.group(2) and m.group(2).lower() in BODY_TAGS for m in _TOKEN.finditer(page))
+    current, links = Block(), 0
+    tags = list(_tags(page))
+    article = any(m is not None and m.group(2) and m.group(2).lower() in BODY_TAGS for _, m in tags)
 
     def say(raw: str) -> None:
         nonlocal links
@@ -78,13 +135,10 @@ def blocks(page: str) -> list[Block]:
             out.append(current)
         current = Block()
 
-    while at < len(page):
-        m = _TOKEN.search(page, at)
+    for before, m in tags:
+        say(before)
         if m is None:
-            say(page[at:])
             break
-        say(page[at : m.start()])
-        at = m.end()
         name = (m.group(2) or "").lower()
         if not name:
             continue
@@ -99,10 +153,6 @@ def blocks(page: str) -> list[Block]:
                     break
             continue
         if name in SILENT:
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            if name in BREAKS:
-                close()
             continue
         if name in BREAKS:
             close()
@@ -119,11 +169,12 @@ def blocks(page: str) -> list[Block]:
             current.parts.append(" ")
         if name in VOID or m.group(3).endswith("/"):
             continue
-        marks = " ".join(x for g in _MARKS.findall(m.group(3)) for x in g).lower()
-        marked = name in ASIDE_TAGS or bool(ASIDE_WORDS.intersection(_SPLIT_MARK.split(marks))) or bool(_HIDDEN.search(m.group(3)))
+        given = attributes(m.group(3))
+        unseen = hidden(given)
+        marked = name in ASIDE_TAGS or names_aside(given) or unseen
         # A header inside an article is its own head line.
         if name == "header" and any(n in BODY_TAGS for n, _ in open_tags):
-            marked = bool(_HIDDEN.search(m.group(3)))
+            marked = unseen
         if name in ("body", "html", *BODY_TAGS):
             marked = False
         open_tags.append((name, marked))
@@ -165,6 +216,10 @@ LABELLED = (
     (2, 0.0, 3, 1.0, 4, 1.0, 0, 1, 0, 0, 0), (1, 0.0, 2, 1.0, 3, 1.0, 0, 1, 0, 0, 0), (4, 0.0, 6, 1.0, 5, 1.0, 0, 1, 1, 0, 0), (3, 0.0, 9, 0.9, 4, 1.0, 0, 1, 0, 1, 0),
     (45, 0.1, 3, 1.0, 4, 1.0, 0, 1, 0, 0, 1), (30, 0.0, 8, 1.0, 7, 1.0, 0, 1, 0, 0, 1), (6, 0.0, 3, 1.0, 60, 0.0, 0, 1, 1, 0, 1), (5, 0.0, 70, 0.0, 3, 1.0, 0, 1, 0, 0, 1), (1, 0.0, 70, 0.0, 3, 1.0, 0, 1, 0, 0, 1), (2, 0.0, 40, 0.0, 8, 1.0, 0, 1, 0, 0, 1),
     (3, 0.0, 3, 1.0, 60, 0.0, 0, 1, 1, 0, 1), (1, 0.0, 2, 1.0, 1, 0.0, 0, 1, 0, 0, 1),
+    # Long blocks of few links are main text wherever they stand.
+    (150, 0.0, 120, 0.0, 140, 0.0, 1, 1, 0, 0, 1), (200, 0.02, 6, 0.0, 180, 0.0, 1, 0, 0, 0, 1), (130, 0.05, 160, 0.0, 0, 0.0, 1, 1, 0, 0, 1), (300, 0.0, 10, 0.0, 4, 0.0, 1, 0, 0, 0, 1),
+    (150, 0.0, 120, 0.0, 140, 0.0, 0, 0, 0, 0, 1), (200, 0.02, 6, 0.0, 180, 0.0, 0, 0, 0, 0, 1), (130, 0.05, 160, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (300, 0.0, 10, 0.0, 4, 0.0, 0, 0, 0, 0, 1),
+    (160, 0.8, 40, 0.9, 30, 0.9, 1, 1, 0, 0, 0), (220, 0.7, 10, 1.0, 20, 1.0, 0, 0, 0, 0, 0), (140, 0.9, 5, 1.0, 5, 1.0, 1, 0, 0, 1, 0),
     (1, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0, 0, 1), (20, 0.0, 16, 0.0, 0, 0.0, 0, 1, 0, 0, 1), (6, 0.0, 1, 1.0, 0, 0.0, 0, 1, 0, 0, 1),
 )
 

@@ -42,3 +42,25 @@ def test_odd_pages(spark):
     assert got[3].text == "plain words" and got[None].text == "a\nb" and got[7].text == "unclosed tags" and got[8].text == "x < y & z\n<"
     assert got[6].text == "\n".join(["some words in a paragraph <3"] * 5000) and got[6].n_chars == len(got[6].text)
     assert html.extract(pages).count() == 10 and html.extract(pages.limit(0)).count() == 0
+
+
+def test_no_page_text_is_cut():
+    text = "<p>The main text of this page stands here and is long enough.</p>"
+    want = "The main text of this page stands here and is long enough."
+    for page in (
+        f"<head><title>T</title><body>{text}", f"<head><title>T</title><meta charset=utf-8>{text}", f"<svg/>{text}", f"<canvas/>{text}", f"<iframe src='x'/>{text}",
+        f"<select><option>{text}", f"<svg>{text}", f"<select>{text}<select></select>", f"<script>var a = 1;{text}", f"<textarea>{text}",
+        f'<div class="overflow-hidden">{text}</div>', f'<div aria-hidden="false">{text}</div>', f'<div hidden="until-found">{text}</div>', f'<div data-x="display: none">{text}</div>',
+        f'<div class="content no-sidebar">{text}</div>', f'<div class="has-comments">{text}</div>', f'<script>var a = "<article>";</script>{text}', f"<template><main></main></template>{text}",
+    ):
+        assert html.main_text(page, TREE).split("\n")[-1] == want, page
+    for page in (f"<div hidden>{text}</div>", f'<div style="color:red; display:none">{text}</div>', f"<div aria-hidden=true>{text}</div>", f"<script>{text}</script>", f"<select><option>x</select><div class=sidebar>{text}</div>"):
+        assert html.main_text(page, TREE) == "", page
+
+
+def test_words_and_links_decide_on_long_blocks():
+    long = " ".join(f"word{i}" for i in range(160))
+    assert html.main_text(f'<div class="sidebar"><p>{long}</p><p>{long}</p></div>', TREE) == f"{long}\n{long}"
+    assert html.main_text(f"<article><p>A short teaser stands in here today.</p></article><div><p>{long}</p></div>", TREE).endswith(long)
+    linked = "".join(f"<a href=x>word{i}</a> " for i in range(160))
+    assert html.main_text(f"<div class=sidebar><p>{linked}</p></div>", TREE) == ""
