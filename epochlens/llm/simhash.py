@@ -192,9 +192,10 @@ def _signatures(texts_of: DataFrame, shingle: int, bands: int, rows: int) -> Dat
 
         def bands_of(hashes: np.ndarray) -> list[int]:
             low = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
-            for i in range(0, len(hashes), 2048):
-                part = hashes[i : i + 2048, None] * factors + shifts
-                np.minimum(low, (part ^ (part >> np.uint64(31))).min(axis=0), out=low)
+            for i in range(0, len(hashes), 256):
+                part = hashes[i : i + 256, None] * factors
+                part += shifts
+                np.minimum(low, part.min(axis=0), out=low)
             return [xxhash.xxh64_intdigest(band.tobytes(), SEED + k) for k, band in enumerate(low.reshape(bands, rows))]
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -234,8 +235,8 @@ def similar_links(
     SimHash can't index this: sets 0.8 alike differ in about 10 of 64 bits, and segments short enough to agree but for
     one bit are shared by unrelated texts. So candidates share a band of MinHash values; sets 0.8 alike miss every
     one of 25 bands of 5 with a probability below 0.0001. Every candidate is verified on the whole sets. A band of up
-    to `all_pairs_to` texts is compared pair by pair; in a larger one all are compared with the smallest node, those
-    not alike to it with the smallest of them, and so on until none is left, so that no group makes all its pairs.
+    to `all_pairs_to` texts is compared pair by pair; in a larger one all are compared with one leader, those not alike
+    to it with up to four, then sixteen of them, and so on until none is left, so that no group of copies makes all its pairs.
     """
     signs = cut(_signatures(texts_of, shingle, bands, rows))
     held = signs.where("size > 0").select("node", "size", F.explode("bands").alias("band"))
@@ -246,7 +247,6 @@ def similar_links(
     left, right = (small.select("band", F.col("node").alias(x), F.col("size").alias(f"size_{x}")) for x in "ab")
     pairs = kin(left.join(right, "band").where("a < b")).select("a", "b").distinct()
     large = members.where(F.col("n") > all_pairs_to).select("band", "node", "size")
-    leaders = large.groupBy("band").agg(F.min(F.struct(F.col("node").alias("a"), F.col("size").alias("size_a"))).alias("l")).select("band", "l.*")
     sets = cut(_shingle_sets(texts_of.join(members.select("node").distinct(), "node", "left_semi"), shingle))
     one, two = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"_{x}")) for x in "ab")
 
@@ -256,15 +256,20 @@ def similar_links(
         union = F.size("_a") + F.size("_b") - common
         return both.where(common >= union * (least - 1e-9)).select("a", "b")
 
-    found = cut(verified(pairs))
+    found, most = cut(verified(pairs)), 1
     while True:
+        large = cut(large)
+        first = F.min(F.struct(F.col("node").alias("a"), F.col("size").alias("size_a"))).alias("l")
+        leaders = cut(large.groupBy("band", F.pmod("node", F.lit(most)).alias("part")).agg(first).select("band", "l.*"))
         led = cut(large.join(leaders, "band").where("node <> a").select("band", F.col("node").alias("b"), F.col("size").alias("size_b"), "a", "size_a"))
         if led.isEmpty():
             return found
-        alike = cut(verified(kin(led).select("a", "b").distinct()))
+        alike = cut(verified(kin(led).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
         found = found.unionByName(alike)
-        large = led.join(alike, ["a", "b"], "left_anti").select("band", F.col("b").alias("node"), F.col("size_b").alias("size"))
-        leaders = large.groupBy("band").agg(F.min(F.struct(F.col("node").alias("a"), F.col("size").alias("size_a"))).alias("l")).select("band", "l.*")
+        both = alike.unionByName(alike.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        done = led.join(both, ["a", "b"], "left_semi").select("band", F.col("b").alias("node"))
+        done = done.unionByName(leaders.select("band", F.col("a").alias("node"))).distinct()
+        large, most = large.join(done, ["band", "node"], "left_anti").select("band", "node", "size"), most * 4
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
