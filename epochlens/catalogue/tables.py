@@ -75,6 +75,20 @@ def ingest_new(t):
     return tables.ingest_new(files, stored).select("file_hash", "doc_id", "copies", "existing_id", "is_new")
 
 
+@query("a06_ingest_new_provenance", """
+    WITH d AS (SELECT sha256(text) AS file_hash, doc_id FROM documents), c AS (SELECT file_hash, min(printf('scene_%010d', doc_id)) AS existing_id FROM d JOIN labels USING (doc_id) WHERE quality = 1 GROUP BY file_hash),
+    p AS (SELECT printf('scene_%010d', event_id % 700) AS existing_id, concat('prov_', event_id) AS provenance_id, ts FROM events),
+    l AS (SELECT existing_id, arg_max(provenance_id, struct_pack(ts, provenance_id)) AS provenance_id FROM p GROUP BY existing_id)
+    SELECT file_hash, existing_id, existing_id IS NULL AS is_new, provenance_id FROM (SELECT DISTINCT file_hash FROM d) LEFT JOIN c USING (file_hash) LEFT JOIN l USING (existing_id)""")
+def ingest_new_provenance(t):
+    files = _files(t)
+    stored = files.join(t.table("labels").where("quality = 1").select("doc_id"), "doc_id").select("file_hash", F.concat(F.lit("scene_"), "path").alias("scene_id"))
+    records = t.table("events").select(
+        F.format_string("scene_%010d", F.col("event_id") % 700).alias("scene_id"), F.concat(F.lit("prov_"), "event_id").alias("provenance_id"), F.col("ts").alias("executed_at")
+    )
+    return tables.ingest_new(files, stored, provenance=records).select("file_hash", "existing_id", "is_new", "provenance_id")
+
+
 @query("a07_get_by_id", "SELECT scene_id, sensor, file_hash FROM fx_scenes WHERE scene_id = 'scene_123'")
 def get_by_id(t):
     return tables.get_by_id(t.fx_scenes, "scene_id", "scene_123").select("scene_id", "sensor", "file_hash")

@@ -35,6 +35,34 @@ EXTRA_SQL["fx_match"] = """
     FROM fx_candidates c LEFT JOIN o ON o.candidate_id = c.candidate_id AND o.rn = 1 LEFT JOIN d ON d.candidate_id = c.candidate_id AND d.rn = 1"""
 
 
+# Places all over the world, some beside the meridian of 180 degrees, in five pairs.
+EXTRA_SQL["fx_places"] = """
+    SELECT concat('place_', c_custkey) AS place_id, concat('world_', c_custkey % 5) AS pair_id, c_custkey % 3 = 0 AS is_region,
+      CASE WHEN c_custkey % 7 = 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 179.9997e0 ELSE -179.9997e0 END ELSE ((c_custkey * 37) % 3600) * 0.1e0 - 180e0 END AS lon, ((c_custkey * 11) % 170) * 1e0 - 85e0 AS lat FROM customer"""
+PLACE_DISTANCE = HAVERSINE.format(lon1="a.lon", lat1="a.lat", lon2="b.lon", lat2="b.lat")
+
+
+def _places(t):
+    n = F.col("c_custkey")
+    east = F.when(n % 2 == 0, F.lit(179.9997)).otherwise(F.lit(-179.9997))
+    rows = t.table("customer").select(
+        F.concat(F.lit("place_"), n).alias("place_id"), F.concat(F.lit("world_"), n % 5).alias("pair_id"), (n % 3 == 0).alias("is_region"),
+        F.when(n % 7 == 0, east).otherwise(((n * 37) % 3600) * F.lit(0.1) - F.lit(180.0)).alias("lon"), (((n * 11) % 170) * F.lit(1.0) - F.lit(85.0)).alias("lat"),
+    )
+    rows = rows.withColumns({c: F.col(c[4:]) for c in matching.BOX})
+    return rows.where("NOT is_region").withColumnRenamed("place_id", "candidate_id"), rows.where("is_region").withColumnRenamed("place_id", "region_id")
+
+
+@query("m02_nearest_region", f"SELECT a.place_id AS candidate_id, a.pair_id, min({PLACE_DISTANCE}) AS distance_m FROM fx_places a JOIN fx_places b ON a.pair_id = b.pair_id AND NOT a.is_region AND b.is_region GROUP BY ALL")
+def nearest_region(t):
+    return matching.nearest_regions(*_places(t))
+
+
+@query("d06_across_meridian", f"SELECT candidate_id, region_id, distance_m FROM (SELECT a.place_id AS candidate_id, b.place_id AS region_id, {PLACE_DISTANCE} AS distance_m FROM fx_places a JOIN fx_places b ON a.pair_id = b.pair_id AND NOT a.is_region AND b.is_region) WHERE distance_m <= 60")
+def across_meridian(t):
+    return matching.candidate_x_regions(*_places(t)).where("distance_m <= 60").select("candidate_id", "region_id", "distance_m")
+
+
 @query("d06_candidate_x_regions", "SELECT candidate_id, pair_id, region_id, iou, distance_m FROM fx_met")
 def candidate_x_regions(t):
     return met(t).where("iou > 0 OR distance_m <= 60")
@@ -60,6 +88,15 @@ def resolve(t):
     return matching.resolve_match(centered(t.fx_candidates), met(t)).drop("distance_m")
 
 
+@query("m02_resolve_match_distance", f"""
+    WITH n AS (SELECT a.candidate_id, a.pair_id, min({DISTANCE}) AS nearest FROM fx_candidates a JOIN fx_region_boxes b ON a.pair_id = b.pair_id GROUP BY ALL)
+    SELECT m.candidate_id, m.relationship, n.nearest AS distance_m FROM fx_match m LEFT JOIN n ON n.candidate_id = m.candidate_id AND n.pair_id = m.pair_id WHERE m.relationship = 'NONE'""")
+def resolve_distance(t):
+    candidates, regions = centered(t.fx_candidates), centered(t.fx_region_boxes)
+    found = matching.with_nearest(matching.resolve_match(candidates, met(t)), candidates, regions)
+    return found.where("relationship = 'NONE'").select("candidate_id", "relationship", "distance_m")
+
+
 @query("m03_match_scores", "SELECT candidate_id, pair_id, region_id, iou FROM fx_met WHERE iou > 0")
 def scores(t):
     return matching.match_scores(met(t)).where("iou > 0")
@@ -104,6 +141,7 @@ EXTRA_SQL["fx_moments"] = """
       arg_min(observation_id, rn) FILTER (node_status = 'FLAGGED_SUPPORT' AND rn < earliest_rn) AS flagged_id FROM fx_timeline GROUP BY candidate_id"""
 EXTRA_SQL["fx_onset"] = """
     SELECT *, CASE WHEN earliest_id IS NULL THEN 'UNRESOLVED' WHEN prior_id IS NULL THEN 'LEFT_UNBOUNDED' ELSE 'BOUNDED_HALF_OPEN' END AS interval_type, round((epoch_us(earliest_time) - epoch_us(prior_time)) / 1e6 / 86400e0, 2) AS interval_days,
+      CASE WHEN earliest_id IS NOT NULL THEN concat('[', coalesce(strftime(prior_time, '%Y-%m-%d'), 'None'), ', ', strftime(earliest_time, '%Y-%m-%d'), ']') END AS display_span,
       CASE WHEN prior_id IS NOT NULL THEN concat('(', strftime(prior_time, '%Y-%m-%d'), ', ', strftime(earliest_time, '%Y-%m-%d'), ']') WHEN earliest_id IS NOT NULL THEN concat('(-infinity, ', strftime(earliest_time, '%Y-%m-%d'), ']') END AS interval FROM fx_moments"""
 EXTRA_SQL["fx_candidate_summary"] = """
     SELECT s.*, o.* EXCLUDE (candidate_id), e.* EXCLUDE (candidate_id, is_conflicted), CASE support_status WHEN 'STRONG_TEMPORAL_SUPPORT' THEN CASE WHEN cross_sensor > 0 OR prior_id IS NULL OR interval_days > 90 THEN 'medium' ELSE 'high' END WHEN 'SINGLE_OBSERVATION_SUPPORT' THEN 'low' ELSE 'uncertain' END AS confidence_tier
@@ -179,9 +217,24 @@ def distinct_in_order(t):
     return timeline.category_evolution(assembled(t)).select("candidate_id", F.array_join("categories", ",").alias("categories"))
 
 
+@query("m09_category_trajectory", """
+    SELECT candidate_id, row_number() OVER (PARTITION BY candidate_id ORDER BY rn) AS place, observation_id, category FROM fx_timeline WHERE node_status IN ('EARLIEST_SUPPORTING', 'PERSISTENT_SUPPORT', 'FLAGGED_SUPPORT') AND category IS NOT NULL""")
+def trajectory(t):
+    return timeline.category_trajectory(assembled(t))
+
+
+@query("m09_category_steps", """
+    WITH s AS (SELECT *, lead(category) OVER (PARTITION BY candidate_id ORDER BY first_rn) AS nxt FROM fx_category_order),
+    k AS (SELECT candidate_id, first_rn, concat_ws(':', category, nxt, CASE WHEN category = 'unknown' THEN 'emerged' WHEN category = 'clearance' AND nxt = 'construction' THEN 'built_on_clearing'
+      WHEN (category = 'water_extent_change' AND nxt IN ('construction', 'road_development')) OR (nxt = 'water_extent_change' AND category IN ('construction', 'road_development')) THEN 'conflict' ELSE 'change' END) AS step FROM s WHERE nxt IS NOT NULL)
+    SELECT candidate_id, coalesce(string_agg(step, ',' ORDER BY first_rn), '') AS steps, NOT coalesce(bool_or(step LIKE '%:conflict'), false) AS is_evolution_valid FROM fx_category_order LEFT JOIN k USING (candidate_id, first_rn) GROUP BY candidate_id""")
+def steps(t):
+    return timeline.category_evolution(assembled(t)).select("candidate_id", F.array_join("steps", ",").alias("steps"), "is_evolution_valid")
+
+
 @query("m09_category_evolution", "SELECT candidate_id, first_category, last_category, primary_category, is_conflicted FROM fx_evolution")
 def evolution(t):
-    return timeline.category_evolution(assembled(t)).drop("categories", "categorised_nodes")
+    return timeline.category_evolution(assembled(t)).drop("categories", "categorised_nodes", "steps", "is_evolution_valid")
 
 
 @query("m10_support_status", "SELECT candidate_id, supporting, is_conflicted, support_status FROM fx_support")
@@ -190,7 +243,7 @@ def support_status(t):
     return timeline.support_status(timeline.timeline_metrics(rows), timeline.category_evolution(rows)).select("candidate_id", "supporting", "is_conflicted", "support_status")
 
 
-@query("m11_onset_interval", "SELECT candidate_id, interval_type, prior_id, earliest_id, flagged_id, interval_days, interval FROM fx_onset")
+@query("m11_onset_interval", "SELECT candidate_id, interval_type, prior_id, earliest_id, flagged_id, interval_days, interval, display_span FROM fx_onset")
 def onset(t):
     return timeline.onset_interval(timeline.key_moments(assembled(t)))
 
@@ -200,6 +253,16 @@ def confidence(t):
     return timeline.summarize(assembled(t)).select("candidate_id", "support_status", "confidence_tier")
 
 
+@query("m12_decision_reasons", """
+    SELECT candidate_id, concat_ws(',', CASE WHEN earliest_id IS NOT NULL THEN 'earliest_support' END, CASE WHEN is_conflicted THEN 'conflicting_categories' END,
+        CASE support_status WHEN 'STRONG_TEMPORAL_SUPPORT' THEN 'persistent_support' WHEN 'SINGLE_OBSERVATION_SUPPORT' THEN 'single_support' WHEN 'FLAGGED_PENDING_REVIEW' THEN 'flagged_only' WHEN 'INSUFFICIENT_DATA' THEN 'insufficient_series' WHEN 'NO_SUPPORT' THEN 'no_supporting_observation' END,
+        CASE interval_type WHEN 'BOUNDED_HALF_OPEN' THEN 'onset_bounded' WHEN 'LEFT_UNBOUNDED' THEN 'onset_left_unbounded' END) AS reasons,
+      concat_ws(',', CASE WHEN flagged_id IS NOT NULL THEN 'flagged_before_support' END,
+        CASE WHEN support_status = 'STRONG_TEMPORAL_SUPPORT' THEN CASE WHEN cross_sensor > 0 THEN 'tier_capped_by_sensor_change' WHEN prior_id IS NULL THEN 'absence_unverified' WHEN interval_days > 90 THEN 'interval_beyond_gap' END END) AS limitations FROM fx_candidate_summary""")
+def reasons(t):
+    return timeline.summarize(assembled(t)).select("candidate_id", F.array_join("reasons", ",").alias("reasons"), F.array_join("limitations", ",").alias("limitations"))
+
+
 @query("e10_screening_summary", """
     SELECT candidate_id, CAST(count(*) FILTER (decision = 'retained') AS BIGINT) AS retained, CAST(count(*) FILTER (decision = 'flagged') AS BIGINT) AS flagged, CAST(count(*) FILTER (decision = 'suppressed') AS BIGINT) AS suppressed,
       CASE WHEN count(*) FILTER (decision = 'suppressed') > 0 THEN 'SUPPRESSED' WHEN count(*) FILTER (decision = 'flagged') > 0 THEN 'FLAGGED_RISK' ELSE 'PASS' END AS outcome FROM fx_nodes GROUP BY candidate_id""")

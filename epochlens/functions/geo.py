@@ -171,16 +171,43 @@ def tile_bounds(origin_x, origin_y, pixel_width, pixel_height, col_off, row_off,
     return box(*[F.round(v, 6) for v in (F.least(x0, x1), F.least(y0, y1), F.greatest(x0, x1), F.greatest(y0, y1))])
 
 
-def cells(b: Column, size: float, pad_lon: Column | float = 0.0, pad_lat: Column | float = 0.0) -> Column:
-    """Grid cells met by a (padded) box, as ARRAY<STRUCT<cx, cy>>, for equi-joins on space."""
+#: Cells around the world at the finest level; each level has a quarter of them, so all levels close at 180 degrees.
+CELLS_AROUND, LEVELS = 1 << 15, 8
 
-    def span(lo, hi):
-        return F.sequence(F.floor(lo / size), F.floor(hi / size))
 
-    xs = span(b["min_lon"] - pad_lon, b["max_lon"] + pad_lon)
-    ys = span(b["min_lat"] - pad_lat, b["max_lat"] + pad_lat)
+def cell_size(level: Column) -> Column:
+    """Degrees of a cell of a level."""
+    return F.lit(360.0 / CELLS_AROUND) * F.pow(F.lit(4.0), level)
+
+
+def cell_level(b: Column) -> Column:
+    """The finest level at which a box meets at most four cells along each axis."""
+    span = F.greatest(b["max_lon"] - b["min_lon"], b["max_lat"] - b["min_lat"]) / (3.0 * 360.0 / CELLS_AROUND)
+    return F.when(span > 1, F.least(F.lit(LEVELS - 1), F.ceil(F.log(4.0, span)).cast("int"))).otherwise(0)
+
+
+def cell_of(lon: Column, lat: Column, level: Column) -> Column:
+    """STRUCT<cx, cy>: the cell of a place; longitudes wrap."""
+    size = cell_size(level)
+    around = (F.lit(CELLS_AROUND) / F.pow(F.lit(4.0), level)).cast("bigint")
+    return F.struct(F.pmod(F.floor(lon / size), around).alias("cx"), F.floor((lat + 90.0) / size).alias("cy"))
+
+
+def cells(b: Column, level: Column) -> Column:
+    """Distinct cells of a level met by a box, as ARRAY<STRUCT<cx, cy>>, for equi-joins on space. At the box's own level
+    and above there are 16 at most."""
+    size = cell_size(level)
+    around = (F.lit(CELLS_AROUND) / F.pow(F.lit(4.0), level)).cast("bigint")
+    xs = F.array_distinct(F.transform(F.sequence(F.floor(b["min_lon"] / size), F.floor(b["max_lon"] / size)), lambda x: F.pmod(x, around)))
+    ys = F.sequence(F.floor((b["min_lat"] + 90.0) / size), F.floor((b["max_lat"] + 90.0) / size))
     return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
 
 
+def unit_vector(lon: Column, lat: Column) -> Column:
+    """STRUCT<x, y, z> on the unit sphere: straight distances grow with those over ground, poles and meridian included."""
+    flat = F.cos(F.radians(lat))
+    return F.struct((flat * F.cos(F.radians(lon))).alias("x"), (flat * F.sin(F.radians(lon))).alias("y"), F.sin(F.radians(lat)).alias("z"))
+
+
 def meters_to_lat(m: float) -> float:
     return m / (2.0 * math.pi * EARTH_RADIUS_M / 360.0)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from epochlens.config import TimelineConfig
 from epochlens.functions import geo
+from epochlens.session import cut
 
 BOX = ("min_lon", "min_lat", "max_lon", "max_lat")
 METERS_PER_DEGREE = 111_000.0  # slightly short, so a reach in degrees is never too small
@@ -42,30 +45,48 @@ def spatial_correspondence(
     )
 
 
-def candidate_x_regions(candidates: DataFrame, regions: DataFrame, config: TimelineConfig = TimelineConfig(), cell_deg: float = 0.01) -> DataFrame:
-    """Candidates with the regions of their target pair that overlap them or lie within reach.
+def candidate_x_regions(candidates: DataFrame, regions: DataFrame, config: TimelineConfig = TimelineConfig()) -> DataFrame:
+    """Candidates with the regions of their target pair that overlap them or lie within reach, also across 180 degrees.
 
-    candidates: candidate_id, pair_id, box, lon, lat; regions: pair_id, region_id, box, lon, lat. Both sides are
-    listed in the grid cells they meet (candidates grown by the reach); a couple is kept only in the cell of
-    the corner where its boxes begin to overlap, so nothing is compared twice and no pair is compared whole.
+    candidates: candidate_id, pair_id, box, lon, lat; regions: pair_id, region_id, box, lon, lat. A box belongs to the
+    level of the cell hierarchy at which it meets 16 cells at most, so wide boxes are listed in coarse cells. Boxes
+    of different levels meet at the coarser one: each side is also listed above its own level, but only at levels
+    that boxes of the other side have. A couple is kept only in the cell of the corner where its boxes begin to
+    overlap, so nothing is compared twice and no pair is compared whole.
     """
     reach = config.max_distance_m / METERS_PER_DEGREE
 
-    def placed(df, prefix, keys, lon_pad, lat_pad):
+    def boxed(df, prefix, keys, lon_pad, lat_pad):
         lon, lat = F.coalesce("min_lon", "lon"), F.coalesce("min_lat", "lat")
         grown = geo.box(lon - lon_pad, lat - lat_pad, F.coalesce("max_lon", "lon") + lon_pad, F.coalesce("max_lat", "lat") + lat_pad)
         rows = df.select(*keys, F.struct(*[F.col(c) for c in (*BOX, "lon", "lat")]).alias(prefix), grown.alias(f"{prefix}_grown"))
-        cells = rows.withColumn("_cell", F.explode(geo.cells(F.col(f"{prefix}_grown"), cell_deg)))
-        return cells.select(*keys, prefix, f"{prefix}_grown", "_cell.cx", "_cell.cy")
+        return rows.withColumn("own", geo.cell_level(F.col(f"{prefix}_grown"))).where(F.col(f"{prefix}_grown.min_lon").isNotNull() & F.col(f"{prefix}_grown.min_lat").isNotNull())
 
     widest = F.greatest(F.lit(0.01), F.cos(F.radians(F.coalesce("lat", "min_lat"))))
-    a = placed(candidates, "a", ["candidate_id", "pair_id"], F.lit(reach) / widest, F.lit(reach))
-    b = placed(regions, "b", ["pair_id", "region_id"], F.lit(0.0), F.lit(0.0))
+    a = boxed(candidates, "a", ["candidate_id", "pair_id"], F.lit(reach) / widest, F.lit(reach))
+    b = boxed(regions, "b", ["pair_id", "region_id"], F.lit(0.0), F.lit(0.0))
+
+    def levels_of(rows):
+        return rows.select(F.collect_set("own")).scalar()  # at most `geo.LEVELS` numbers
+
+    def listed(rows, prefix, others, here):
+        """The cells of a box at its own level as the side `here`, and at coarser levels of the other side as guest."""
+        own = [F.struct(F.col("own").alias("level"), F.lit(host).alias("host")) for host in range(here + 1)]
+        above = F.transform(F.sequence(F.col("own"), F.lit(geo.LEVELS - 1)), lambda v: F.struct(v.alias("level"), F.lit(1 - here).alias("host")))
+        at = rows.withColumn("_at", F.explode(F.concat(F.array(*own), F.slice(above, 2, geo.LEVELS))))
+        at = at.where((F.col("_at.level") == F.col("own")) | F.array_contains(others, F.col("_at.level")))
+        cells = at.withColumn("_cell", F.explode(geo.cells(F.col(f"{prefix}_grown"), F.col("_at.level"))))
+        return cells.select(*rows.drop("own").columns, "_at.level", "_at.host", "_cell.cx", "_cell.cy")
+
+    # Host 0: the candidate is at its own level and the region at its own or above; host 1: the region is, the candidate above.
+    left, right = listed(a, "a", levels_of(b), 0), listed(b, "b", levels_of(a), 1)
     p, q = F.col("a_grown"), F.col("b_grown")
-    west, south = F.greatest(p["min_lon"], q["min_lon"]), F.greatest(p["min_lat"], q["min_lat"])
-    touching = (west <= F.least(p["max_lon"], q["max_lon"])) & (south <= F.least(p["max_lat"], q["max_lat"]))
-    here = (F.floor(west / cell_deg) == F.col("cx")) & (F.floor(south / cell_deg) == F.col("cy"))
-    met = a.join(b, ["pair_id", "cx", "cy"]).where(touching & here)
+    turn = F.round((p["min_lon"] + p["max_lon"] - q["min_lon"] - q["max_lon"]) / 720.0) * 360.0
+    west, south = F.greatest(p["min_lon"], q["min_lon"] + turn), F.greatest(p["min_lat"], q["min_lat"])
+    touching = (west <= F.least(p["max_lon"], q["max_lon"] + turn)) & (south <= F.least(p["max_lat"], q["max_lat"]))
+    corner = geo.cell_of(west, south, F.col("level"))
+    here = (corner["cx"] == F.col("cx")) & (corner["cy"] == F.col("cy"))
+    met = left.join(right, ["pair_id", "level", "host", "cx", "cy"]).where(touching & here)
     boxes = F.col("a.min_lon").isNotNull() & F.col("b.min_lon").isNotNull()
     return met.select(
         "candidate_id", "pair_id", "region_id",
@@ -74,6 +95,69 @@ def candidate_x_regions(candidates: DataFrame, regions: DataFrame, config: Timel
     )
 
 
+#: Cubes of the nearest search: edge at the first level (the unit sphere meets about a hundred), division, and levels.
+CUBE, CUBE_SPLIT, CUBE_LEVELS = 0.5, 8, 6
+_AXES = ("x", "y", "z")
+
+
+def nearest_regions(candidates: DataFrame, regions: DataFrame) -> DataFrame:
+    """(candidate_id, pair_id, distance_m): the distance to the nearest region centre of the target pair, however far.
+
+    candidates: candidate_id, pair_id, lon, lat; regions: pair_id, region_id, lon, lat; rows without a place take no part.
+    Centres are points of the unit sphere in a hierarchy of cubes, so nothing is special about poles or the meridian.
+    Each candidate begins with all occupied cubes of the first level in its pair and goes down: the cubes in its
+    frontier are replaced by their occupied parts, and a part stays only if it can hold a point as near as the
+    farthest point of the best part can be. The frontier narrows to a ring of small cubes; only their points are compared.
+    """
+    points = regions.where(F.col("lon").isNotNull() & F.col("lat").isNotNull()).select("pair_id", "lon", "lat", geo.unit_vector(F.col("lon"), F.col("lat")).alias("u"))
+    asked = candidates.where(F.col("lon").isNotNull() & F.col("lat").isNotNull()).select("candidate_id", "pair_id", "lon", "lat", geo.unit_vector(F.col("lon"), F.col("lat")).alias("u"))
+
+    def cube(level):
+        return F.struct(*[F.floor(F.col("u")[c] / (CUBE / CUBE_SPLIT**level)).alias(c) for c in _AXES])
+
+    def parent(name):
+        return F.struct(*[F.floor(F.col(name)[c] / CUBE_SPLIT).alias(c) for c in _AXES])
+
+    last = CUBE_LEVELS - 1
+    leaves = cut(points.withColumn("cube", cube(last)))
+    occupied = [leaves.select("pair_id", "cube").distinct()]
+    for _ in range(last):
+        occupied.append(occupied[-1].select("pair_id", parent("cube").alias("cube")).distinct())
+    occupied.reverse()
+
+    def narrowed(found, level):
+        """Drop the cubes that the best one of the candidate beats."""
+        edge = CUBE / CUBE_SPLIT**level
+        apart = F.sqrt(sum((F.col("u")[c] - (F.col("cube")[c] + 0.5) * edge) ** 2 for c in _AXES))
+        slack = edge * math.sqrt(3) / 2 + 1e-9
+        kept = found.withColumn("_apart", apart).groupBy("candidate_id", "pair_id", "lon", "lat", "u").agg(
+            F.min("_apart").alias("_best"), F.collect_list(F.struct("cube", "_apart")).alias("_cubes")
+        )
+        near = F.filter("_cubes", lambda c: c["_apart"] - F.lit(slack) <= F.col("_best") + F.lit(slack))
+        return kept.select("candidate_id", "pair_id", "lon", "lat", "u", F.explode(F.transform(near, lambda c: c["cube"])).alias("cube"))
+
+    frontier = narrowed(asked.join(occupied[0], "pair_id"), 0)
+    for level in range(1, CUBE_LEVELS):
+        parts = occupied[level].withColumn("_parent", parent("cube"))
+        wider = frontier.withColumnRenamed("cube", "_parent").join(parts, ["pair_id", "_parent"]).drop("_parent")
+        frontier = narrowed(wider, level)
+    ends = leaves.select("pair_id", "cube", F.col("lon").alias("_lon"), F.col("lat").alias("_lat"))
+    met = frontier.join(ends, ["pair_id", "cube"])
+    return met.groupBy("candidate_id", "pair_id").agg(F.min(geo.haversine_m(F.col("lon"), F.col("lat"), F.col("_lon"), F.col("_lat"))).alias("distance_m"))
+
+
+def with_nearest(matches: DataFrame, candidates: DataFrame, regions: DataFrame) -> DataFrame:
+    """Matches whose NONE rows carry the distance to the nearest region of their pair. Only candidates without a region
+    in reach are searched for."""
+    key = ["candidate_id", "pair_id"]
+    matches = cut(matches)
+    alone = matches.where((F.col("relationship") == "NONE") & (F.col("status") != "INSUFFICIENT_METADATA")).select(*key)
+    found = nearest_regions(candidates.join(alone, key, "left_semi"), regions).withColumnRenamed("distance_m", "_nearest")
+    rows = matches.join(found, key, "left")
+    none = (F.col("relationship") == "NONE") & F.col("_nearest").isNotNull()
+    return rows.withColumn("distance_m", F.when(none, F.col("_nearest")).otherwise(F.col("distance_m"))).select(matches.columns)
+
+
 def match_scores(met: DataFrame) -> DataFrame:
     """The IoU of every compared region, for audit (one row each)."""
     return met.select("candidate_id", "pair_id", "region_id", "iou")

@@ -134,8 +134,17 @@ def key_moments(timeline: DataFrame) -> DataFrame:
     return timeline.groupBy(*KEY).agg(*_moment_aggs())
 
 
+def category_trajectory(timeline: DataFrame) -> DataFrame:
+    """(candidate_id, place, observation_id, category): the category of every supporting or flagged node in order of time,
+    from place 1. Rows and not a list, so a candidate of any length is spread over tasks."""
+    seen = timeline.where(F.col("node_status").isin(*WITH_CATEGORY) & F.col("category").isNotNull())
+    placed = ordered(seen.select(*KEY, "acquisition_time", "observation_id", "category"), KEY, "acquisition_time", "observation_id", rank="place")
+    return placed.select(*KEY, F.col("place").cast("bigint").alias("place"), "observation_id", "category")
+
+
 def category_evolution(timeline: DataFrame) -> DataFrame:
-    """Categories in order of first appearance, first, last and most frequent one, and whether they conflict."""
+    """Categories in order of first appearance, first, last and most frequent one, the steps between neighbours with
+    their kind (`emerged`, `built_on_clearing`, `conflict`, `change`), whether they conflict and whether they are valid."""
     seen = timeline.where(F.col("node_status").isin(*WITH_CATEGORY) & F.col("category").isNotNull())
     per_category = seen.groupBy(*KEY, "category").agg(
         F.count(F.lit(1)).alias("n"), F.min(_moment()).alias("first"), F.max(_moment()).alias("last")
@@ -148,13 +157,18 @@ def category_evolution(timeline: DataFrame) -> DataFrame:
     in_order = F.transform("_in_order", lambda x: x["category"])
     most = F.array_sort(F.transform("_in_order", lambda x, i: F.struct((-x["n"]).alias("n"), i.alias("i"), x["category"].alias("category"))))
     rows = rows.select(*KEY, in_order.alias("categories"), F.get(in_order, F.lit(0)).alias("first_category"), "last_category", F.get(most, F.lit(0))["category"].alias("primary_category"), "categorised_nodes")
-    # Water next to a structure on the same ground contradicts it.
+    # Which steps say something. Water next to a structure on the same ground contradicts it.
     built = ("construction", "road_development")
-    steps = F.transform(
-        F.filter(F.transform("categories", lambda c, i: F.struct(c.alias("a"), F.get("categories", i + 1).alias("b"))), lambda s: s["b"].isNotNull()),
-        lambda s: ((s["a"] == "water_extent_change") & s["b"].isin(*built)) | ((s["b"] == "water_extent_change") & s["a"].isin(*built)),
-    )
-    return rows.withColumn("is_conflicted", F.exists(steps, lambda x: x))
+
+    def kind(a, b):
+        clash = ((a == "water_extent_change") & b.isin(*built)) | ((b == "water_extent_change") & a.isin(*built))
+        return F.when(a == "unknown", "emerged").when((a == "clearance") & (b == "construction"), "built_on_clearing").when(clash, "conflict").otherwise("change")
+
+    follow = F.filter(F.transform("categories", lambda c, i: F.struct(c.alias("a"), F.get("categories", i + 1).alias("b"))), lambda s: s["b"].isNotNull())
+    steps = F.transform(follow, lambda s: F.concat_ws(":", s["a"], s["b"], kind(s["a"], s["b"])))
+    rows = rows.withColumn("steps", steps)
+    conflicted = F.exists("steps", lambda x: x.endswith(":conflict"))
+    return rows.withColumns({"is_conflicted": conflicted, "is_evolution_valid": ~conflicted})
 
 
 def support_status(metrics: DataFrame, evolution: DataFrame, config: TimelineConfig = TimelineConfig()) -> DataFrame:
@@ -171,7 +185,7 @@ def support_status(metrics: DataFrame, evolution: DataFrame, config: TimelineCon
 
 
 def onset_interval(moments: DataFrame) -> DataFrame:
-    """Half-open interval in which the change began."""
+    """Half-open interval in which the change began, and the closed span shown for it."""
     start, end = F.col("prior.acquisition_time"), F.col("earliest.acquisition_time")
     kind = F.when(end.isNull(), "UNRESOLVED").when(start.isNull(), "LEFT_UNBOUNDED").otherwise("BOUNDED_HALF_OPEN")
 
@@ -181,11 +195,13 @@ def onset_interval(moments: DataFrame) -> DataFrame:
     text = F.when(start.isNotNull(), F.concat(F.lit("("), day(start), F.lit(", "), day(end), F.lit("]"))).when(
         end.isNotNull(), F.concat(F.lit("(-infinity, "), day(end), F.lit("]"))
     )
+    # Fixed format: the same bounds as a closed span, for display.
+    shown = F.when(end.isNotNull(), F.concat(F.lit("["), F.coalesce(day(start), F.lit("None")), F.lit(", "), day(end), F.lit("]")))
     carried = [c for c in moments.columns if c not in (*KEY, "earliest", "prior", "flagged_before")]
     return moments.select(
         *KEY, *carried, kind.alias("interval_type"),
         F.col("prior.observation_id").alias("prior_id"), F.col("earliest.observation_id").alias("earliest_id"), F.col("flagged_before.observation_id").alias("flagged_id"),
-        F.round(times.seconds_between(start, end) / 86400.0, 2).alias("interval_days"), text.alias("interval"),
+        F.round(times.seconds_between(start, end) / 86400.0, 2).alias("interval_days"), text.alias("interval"), shown.alias("display_span"),
     )
 
 
@@ -194,12 +210,39 @@ def confidence_tier(status: Column, cross_sensor_nodes: Column, prior: Column, d
     return F.when(status == "STRONG_TEMPORAL_SUPPORT", strong).when(status == "SINGLE_OBSERVATION_SUPPORT", "low").otherwise("uncertain")
 
 
+def decision_reasons(summary: DataFrame, config: TimelineConfig = TimelineConfig()) -> tuple[Column, Column]:
+    """Codes of the reasons for a candidate's status and of the limitations of its tier, each an array in a fixed order.
+
+    summary: the columns of `support_status` over `onset_interval`.
+    """
+    found = F.col("earliest_id").isNotNull()
+    status = F.col("support_status")
+    strong = status == "STRONG_TEMPORAL_SUPPORT"
+
+    def listed(pairs):
+        return F.filter(F.array(*[F.when(condition, code) for condition, code in pairs]), lambda c: c.isNotNull())
+
+    reasons = listed([
+        (found, "earliest_support"), (F.col("is_conflicted"), "conflicting_categories"), (strong, "persistent_support"),
+        (status == "SINGLE_OBSERVATION_SUPPORT", "single_support"), (status == "FLAGGED_PENDING_REVIEW", "flagged_only"),
+        (status == "INSUFFICIENT_DATA", "insufficient_series"), (status == "NO_SUPPORT", "no_supporting_observation"),
+        (F.col("interval_type") == "BOUNDED_HALF_OPEN", "onset_bounded"), (F.col("interval_type") == "LEFT_UNBOUNDED", "onset_left_unbounded"),
+    ])
+    crossed, unverified = F.col("cross_sensor") > 0, F.col("prior_id").isNull()
+    limitations = listed([
+        (F.col("flagged_id").isNotNull(), "flagged_before_support"), (strong & crossed, "tier_capped_by_sensor_change"), (strong & ~crossed & unverified, "absence_unverified"),
+        (strong & ~crossed & ~unverified & F.coalesce(F.col("interval_days") > config.max_gap_days, F.lit(False)), "interval_beyond_gap"),
+    ])
+    return reasons, limitations
+
+
 def summarize(timeline: DataFrame, config: TimelineConfig = TimelineConfig()) -> DataFrame:
-    """One row per candidate with counts, support, onset, categories and confidence."""
+    """One row per candidate with counts, support, onset, categories, confidence, reasons and limitations."""
     figures = timeline.groupBy(*KEY).agg(*_count_aggs(), *_moment_aggs())
     rows = support_status(onset_interval(figures), category_evolution(timeline), config)
     tier = confidence_tier(F.col("support_status"), F.col("cross_sensor"), F.col("prior_id"), F.col("interval_days"), config)
-    return rows.withColumn("confidence_tier", tier)
+    reasons, limitations = decision_reasons(rows, config)
+    return rows.withColumns({"confidence_tier": tier, "reasons": reasons, "limitations": limitations})
 
 
 def screening_summary(nodes: DataFrame) -> DataFrame:

@@ -25,16 +25,23 @@ def scene_tiles(tiles: DataFrame, scene_id: str) -> DataFrame:
     return tiles.where(F.col("source_scene_id") == scene_id)
 
 
-def ingest_new(files: DataFrame, catalog: DataFrame, force: bool = False) -> DataFrame:
+def ingest_new(files: DataFrame, catalog: DataFrame, force: bool = False, provenance: DataFrame | None = None) -> DataFrame:
     """Files with `existing_id`, the scene already stored for their hash, and `is_new`.
 
-    One file stands for all copies of a content: the first by path. Copies collapse before the join.
+    One file stands for all copies of a content: the first by path. Copies collapse before the join. With `provenance`
+    (scene_id, provenance_id, executed_at), `provenance_id` is the last record of the existing scene; only
+    records of scenes that files meet are shuffled.
     """
     rest = [c for c in files.columns if c not in ("file_hash", "path")]
     first = files.groupBy("file_hash").agg(F.min(F.struct("path", *rest)).alias("_f"), F.count(F.lit(1)).alias("copies"))
     known = catalog.groupBy("file_hash").agg(F.min("scene_id").alias("existing_id"))
     rows = first.select("file_hash", "_f.*", "copies").join(known, "file_hash", "left")
-    return rows.withColumn("is_new", F.lit(True) if force else F.col("existing_id").isNull())
+    rows = rows.withColumn("is_new", F.lit(True) if force else F.col("existing_id").isNull())
+    if provenance is None:
+        return rows
+    last = provenance.groupBy(F.col("scene_id").alias("existing_id")).agg(F.max(F.struct("executed_at", "provenance_id"))["provenance_id"].alias("provenance_id"))
+    met = rows.join(last, "existing_id", "left")
+    return met.select(*rows.columns, F.when(~F.col("is_new"), F.col("provenance_id")).alias("provenance_id"))
 
 
 def new_files(files: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from epochlens.config import DetectionConfig, EvidenceConfig, PairingConfig
+from epochlens.functions import geo
 from epochlens.operators import evidence, features, lineage, matching, pairing, pixels, reviews, rules, screening, search
 from epochlens.plans import investigate as plan
 from epochlens.sources import manifests, tables
@@ -214,6 +215,54 @@ def test_matching_prefers_overlap_then_distance(spark):
     assert got["far"]["relationship"] == got["none"]["relationship"] == "NONE" and got["far"]["status"] == "DISJOINT"
 
 
+def scattered(seed, n, name):
+    """Boxes of very different widths over the world, some beside 180 degrees and the poles."""
+    import random
+
+    r = random.Random(seed)
+    rows = []
+    for i in range(n):
+        lon = r.choice([r.uniform(-180, 180), 179.9999, -179.9999, r.uniform(10, 10.01)])
+        lat = r.choice([r.uniform(-89, 89), r.uniform(50, 50.01)])
+        half = r.choice([0.0, 0.0001, 0.003, 0.5, 20.0])
+        rows.append((f"p{i % 2}", f"{name}{i}", max(-180.0, lon - half), max(-90.0, lat - half / 3), min(180.0, lon + half), min(90.0, lat + half / 3), lon, lat))
+    return rows
+
+
+def test_boxes_of_all_widths_meet_once(spark):
+    a, b = scattered(1, 80, "c"), scattered(2, 120, "r")
+    candidates = place(spark, [(r[1], r[0], *r[2:]) for r in a], "candidate_id string, pair_id string")
+    regions = place(spark, b, "pair_id string, region_id string")
+    met = matching.candidate_x_regions(candidates, regions)
+    got = [(r["candidate_id"], r["region_id"]) for r in met.where("iou > 0 OR distance_m <= 60").collect()]
+    wide, near = F.struct(*[F.col("c." + k) for k in matching.BOX]), F.struct(*[F.col("r." + k) for k in matching.BOX])
+    iou, meters = geo.metric_iou(wide, near), geo.haversine_m(F.col("c.lon"), F.col("c.lat"), F.col("r.lon"), F.col("r.lat"))
+    every = candidates.alias("c").join(regions.alias("r"), F.col("c.pair_id") == F.col("r.pair_id")).where((iou > 0) | (meters <= 60))
+    expected = [(r["candidate_id"], r["region_id"]) for r in every.select("candidate_id", "region_id").collect()]
+    assert len(expected) > 50 and sorted(got) == sorted(expected)
+
+
+def test_nearest_region_is_found_at_any_distance(spark):
+    a, b = scattered(3, 60, "c"), scattered(4, 90, "r")
+    b += [("lone", "r", 0.0, 0.0, 0.0, 0.0, 179.99, 1.0), ("p0", "none", None, None, None, None, None, None)]
+    a += [("lone", "far", 0.0, 0.0, 0.0, 0.0, 0.0, -1.0), ("lone", "over", 0.0, 0.0, 0.0, 0.0, -179.99, 1.0), ("empty", "e", 0.0, 0.0, 0.0, 0.0, 1.0, 1.0), ("lone", "n", None, None, None, None, None, None)]
+    candidates = place(spark, [(r[1], r[0], *r[2:]) for r in a], "candidate_id string, pair_id string")
+    regions = place(spark, b, "pair_id string, region_id string")
+    got = {(r["candidate_id"], r["pair_id"]): r["distance_m"] for r in matching.nearest_regions(candidates, regions).collect()}
+    meters = geo.haversine_m(F.col("c.lon"), F.col("c.lat"), F.col("r.lon"), F.col("r.lat"))
+    every = candidates.alias("c").join(regions.alias("r"), F.col("c.pair_id") == F.col("r.pair_id")).groupBy("candidate_id", "c.pair_id").agg(F.min(meters).alias("m"))
+    assert got == {(r["candidate_id"], r["pair_id"]): r["m"] for r in every.where("m IS NOT NULL").collect()}
+    assert 2_000 < got["over", "lone"] < 2_300 and got["far", "lone"] > 1e7
+
+
+def test_none_rows_carry_the_nearest_distance(spark):
+    candidates = place(spark, [("c", p, 77.0, 12.0, 77.001, 12.001, 77.0005, 12.0005) for p in ("far", "bare")], "candidate_id string, pair_id string")
+    regions = place(spark, [("far", "r", 78.0, 12.0, 78.001, 12.001, 78.0005, 12.0005)], "pair_id string, region_id string")
+    found = matching.resolve_match(candidates, matching.candidate_x_regions(candidates, regions), regions=regions)
+    got = {r["pair_id"]: (r["relationship"], r["distance_m"]) for r in matching.with_nearest(found, candidates, regions).collect()}
+    assert got["bare"] == ("NONE", None) and got["far"][0] == "NONE" and 108_000 < got["far"][1] < 109_000
+
+
 def test_an_empty_target_is_disjoint_before_metadata_is_asked_for(spark):
     candidates = place(spark, [("c", p, None, None, None, None, None, None) for p in ("full", "empty")], "candidate_id string, pair_id string")
     regions = place(spark, [("full", "r", 77.0, 12.0, 77.001, 12.001, 77.0005, 12.0005)], "pair_id string, region_id string")
