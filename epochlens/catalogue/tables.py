@@ -201,8 +201,7 @@ def stream_refresh(t):
     )
     folder = scratch(t.spark)
     jobs.run_once(tiles, folder, jobs.refresh_sink(f"{folder}/index", "spectral-spatial", "p", features.embedder("spectral-spatial").embed))
-    version, stored = jobs._versioned(f"{folder}/index", t.spark, "tile_id string, v array<double>, source_hash string, model_id string, preprocessing string")
-    return stored.select("tile_id", F.size("v").alias("dimension"), "model_id")
+    return jobs.index_table(t.spark, f"{folder}/index").read().select("tile_id", F.size("v").alias("dimension"), "model_id")
 
 
 @query("p03_stream_adjacent_pairs", """
