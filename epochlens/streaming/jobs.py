@@ -97,7 +97,7 @@ def adjacent_sink(folder: str) -> Sink:
         # An observation that is sent again is no second one.
         new = new.dropDuplicates(["series_id", "observation_id"]).join(stored, ["series_id", "observation_id"], "left_anti")
         _append(new, f"{folder}/seen", batch_id, ["series_id"])
-        new = spark.read.schema(SEEN).parquet(f"{folder}/seen/batch={batch_id}")
+        new = spark.read.schema(f"{SEEN}, bucket int").parquet(f"{folder}/seen/batch={batch_id}").drop("bucket")
         own = stored.join(new.select("series_id").distinct(), "series_id", "left_semi")
         both = own.withColumn("is_new", F.lit(False)).unionByName(new.withColumn("is_new", F.lit(True)))
         neighbours = ordered(both, ["series_id"], "acquisition_time", "observation_id", prev="_e", payload=["is_new"])
