@@ -183,32 +183,35 @@ def hex_fingerprint(fp: Column) -> Column:
 
 
 def _signatures(texts_of: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """(node, size, bands): how many distinct shingles each text has, and the hashed bands of its MinHash values."""
+    """(node, size, bands, low): how many distinct shingles each text has, the hashed bands of its MinHash values, and
+    the last byte of every value."""
 
     def make():
         r = np.random.default_rng(SEED)
         factors = r.integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         shifts = r.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
 
-        def bands_of(hashes: np.ndarray) -> list[int]:
+        def bands_of(hashes: np.ndarray) -> tuple[list[int], bytes]:
             low = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
             for i in range(0, len(hashes), 256):
                 part = hashes[i : i + 256, None] * factors
                 part += shifts
                 np.minimum(low, part.min(axis=0), out=low)
-            return [xxhash.xxh64_intdigest(band.tobytes(), SEED + k) for k, band in enumerate(low.reshape(bands, rows))]
+            keys = [xxhash.xxh64_intdigest(band.tobytes(), SEED + k) for k, band in enumerate(low.reshape(bands, rows))]
+            return keys, (low & np.uint64(0xFF)).astype(np.uint8).tobytes()
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = [np.unique(shingle_hashes(plain_words(t), shingle)) for t in utf8(batch.column("text"))]
-            flat = np.array([b for s in sets for b in bands_of(s)], np.uint64).view(np.int64)
+            signed = [bands_of(s) for s in sets]
+            flat = np.array([b for keys, _ in signed for b in keys], np.uint64).view(np.int64)
             return pa.RecordBatch.from_arrays(
-                [batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), lists(pa.array(flat), np.full(len(sets), bands))],
-                ["node", "size", "bands"],
+                [batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), lists(pa.array(flat), np.full(len(sets), bands)), pa.array([low for _, low in signed], pa.binary())],
+                ["node", "size", "bands", "low"],
             )
 
         return each
 
-    return map_batches(texts_of, make, "node bigint, size bigint, bands array<bigint>")
+    return map_batches(texts_of, make, "node bigint, size bigint, bands array<bigint>, low binary")
 
 
 def _shingle_sets(texts_of: DataFrame, shingle: int) -> DataFrame:
@@ -227,49 +230,80 @@ def _shingle_sets(texts_of: DataFrame, shingle: int) -> DataFrame:
     return map_batches(texts_of, make, "node bigint, shingles array<bigint>")
 
 
+def _neighbours(members: DataFrame, least: float, near: int) -> DataFrame:
+    """(a, b, turn): candidates among texts that share a large band, a number of them that is linear in its texts.
+
+    members: band, turn (place of the band), next (the texts' following bands), node, size, low. Within a band texts are ordered by
+    the bands that follow it, and each is compared with the `near` before it; orders of 25 bands differ, so like texts
+    stand together in several. Rows are dealt out in ranges of the whole order, so a band of any size spreads over
+    tasks; the first of a band in a task also meets the band's smallest node. Kept are couples whose sizes allow the
+    similarity and whose MinHash values agree in not much fewer places than it expects: four standard deviations.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        band, last = None, []
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                signs = np.frombuffer(r["low"], np.uint8)
+                if r["band"] != band:
+                    band, last = r["band"], [(r["head"], r["head_size"], np.frombuffer(r["head_low"], np.uint8))]
+                expected = len(signs) * least - 4 * np.sqrt(len(signs) * least * (1 - least))
+                for node, size, other in last:
+                    if node != r["node"] and min(size, r["size"]) >= max(size, r["size"]) * (least - 1e-9) and (signs == other).sum() >= expected:
+                        out.append((min(node, r["node"]), max(node, r["node"]), r["turn"]))
+                last = [*last[-near + 1 :], (r["node"], r["size"], signs)] if near > 1 else [(r["node"], r["size"], signs)]
+            columns = [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "turn"])
+
+    heads = members.groupBy("band").agg(F.min(F.struct("node", "size", "low")).alias("h"))
+    placed = members.join(heads, "band").select("band", "turn", "next", "node", "size", "low", F.col("h.node").alias("head"), F.col("h.size").alias("head_size"), F.col("h.low").alias("head_low"))
+    order = ["band", "next", "node"]
+    dealt = placed.repartitionByRange(*order).sortWithinPartitions(*order)
+    return dealt.select("band", "turn", "node", "size", "low", "head", "head_size", "head_low").mapInArrow(run, "a bigint, b bigint, turn int")
+
+
 def similar_links(
-    texts_of: DataFrame, least: float = 0.8, shingle: int = 5, bands: int = 25, rows: int = 5, all_pairs_to: int = 32
+    texts_of: DataFrame, least: float = 0.8, shingle: int = 5, bands: int = 25, rows: int = 5, all_pairs_to: int = 32, near: int = 2, first_turns: int = 6
 ) -> DataFrame:
-    """(a, b): pairs of distinct texts (columns node, text) whose shingle sets have a Jaccard similarity of `least` or more.
+    """(a, b): links that join distinct texts (columns node, text) whose shingle sets have a Jaccard similarity of `least`
+    or more, every one verified on the whole sets.
 
     SimHash can't index this: sets 0.8 alike differ in about 10 of 64 bits, and segments short enough to agree but for
     one bit are shared by unrelated texts. So candidates share a band of MinHash values; sets 0.8 alike miss every
-    one of 25 bands of 5 with a probability below 0.0001. Every candidate is verified on the whole sets. A band of up
-    to `all_pairs_to` texts is compared pair by pair; in a larger one all are compared with one leader, those not alike
-    to it with up to four, then sixteen of them, and so on until none is left, so that no group of copies makes all its pairs.
+    one of 25 bands of 5 with a probability below 0.0001. A band of up to `all_pairs_to` texts is compared pair by pair,
+    a larger one as `_neighbours` says. Candidates of the first bands are verified first; later ones only where they
+    could join texts that aren't joined already, so copies of one text cost a few comparisons each.
     """
     signs = cut(_signatures(texts_of, shingle, bands, rows))
-    held = signs.where("size > 0").select("node", "size", F.explode("bands").alias("band"))
+    held = signs.where("size > 0").select("node", "size", F.posexplode("bands").alias("turn", "band"))
     counts = held.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = cut(held.join(counts, "band"))
-    kin = lambda d: d.where(F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * (least - 1e-9))
     small = members.where(F.col("n") <= all_pairs_to)
-    left, right = (small.select("band", F.col("node").alias(x), F.col("size").alias(f"size_{x}")) for x in "ab")
-    pairs = kin(left.join(right, "band").where("a < b")).select("a", "b").distinct()
-    large = members.where(F.col("n") > all_pairs_to).select("band", "node", "size")
-    sets = cut(_shingle_sets(texts_of.join(members.select("node").distinct(), "node", "left_semi"), shingle))
+    left, right = (small.select("band", "turn", F.col("node").alias(x), F.col("size").alias(f"size_{x}")) for x in "ab")
+    alike_in_size = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * (least - 1e-9)
+    pairs = left.join(right.drop("turn"), "band").where("a < b").where(alike_in_size).select("a", "b", "turn")
+    large = members.where(F.col("n") > all_pairs_to).select("band", "turn", "node").join(signs, "node")
+    following = F.slice(F.concat("bands", "bands"), F.col("turn") + 2, 4)
+    close = _neighbours(large.select("band", "turn", following.alias("next"), "node", "size", "low"), least, near)
+    wanted = cut(pairs.unionByName(close).groupBy("a", "b").agg(F.min("turn").alias("turn")))
+    nodes = wanted.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = cut(_shingle_sets(texts_of.join(nodes, "node", "left_semi"), shingle))
     one, two = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"_{x}")) for x in "ab")
 
-    def verified(wanted: DataFrame) -> DataFrame:
-        both = wanted.join(one, "a").join(two, "b")
+    def verified(found: DataFrame) -> DataFrame:
+        both = found.select("a", "b").join(one, "a").join(two, "b")
         common = F.size(F.array_intersect("_a", "_b"))
         union = F.size("_a") + F.size("_b") - common
-        return both.where(common >= union * (least - 1e-9)).select("a", "b")
-
-    found, most = cut(verified(pairs)), 1
-    while True:
-        large = cut(large)
-        first = F.min(F.struct(F.col("node").alias("a"), F.col("size").alias("size_a"))).alias("l")
-        leaders = cut(large.groupBy("band", F.pmod("node", F.lit(most)).alias("part")).agg(first).select("band", "l.*"))
-        led = cut(large.join(leaders, "band").where("node <> a").select("band", F.col("node").alias("b"), F.col("size").alias("size_b"), "a", "size_a"))
-        if led.isEmpty():
-            return found
-        alike = cut(verified(kin(led).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
-        found = found.unionByName(alike)
-        both = alike.unionByName(alike.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        done = led.join(both, ["a", "b"], "left_semi").select("band", F.col("b").alias("node"))
-        done = done.unionByName(leaders.select("band", F.col("a").alias("node"))).distinct()
-        large, most = large.join(done, ["band", "node"], "left_anti").select("band", "node", "size"), most * 4
+        return cut(both.where(common >= union * (least - 1e-9)).select("a", "b"))
+
+    early = verified(wanted.where(F.col("turn") < first_turns))
+    roots = connected(early, [])
+    rest = wanted.where(F.col("turn") >= first_turns)
+    for side in "ab":
+        rest = rest.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"_root_{side}")), side, "left")
+    apart = rest.where(F.coalesce("_root_a", "a") != F.coalesce("_root_b", "b"))
+    return early.unionByName(verified(apart))
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:

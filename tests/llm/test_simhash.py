@@ -99,3 +99,20 @@ def test_similar_texts_are_joined_and_no_others(docs_of, prose):
     kept = simhash.keep_first_similar(docs_of([*rows, (5000, None), (5001, "")]))
     assert sorted(x.doc_id for x in kept.collect()) == [rows[i][0] for i in sorted(set(roots))] + [5000]
     assert simhash.keep_first_similar(docs_of([]).limit(0)).count() == 0
+
+
+def test_candidates_of_a_large_band_grow_with_its_texts(spark):
+    """Texts that share one band and little else, and texts that share all bands: a few candidates each, not all pairs."""
+    r = random.Random(2)
+
+    def members(n, like):
+        rows = []
+        for i in range(n):
+            low = bytes(125) if like else bytes(r.randrange(256) for _ in range(125))
+            rows.append((7, 0, [r.getrandbits(40) for _ in range(4)], i, 400, bytearray(low)))
+        return spark.createDataFrame(rows, "band bigint, turn int, next array<bigint>, node bigint, size bigint, low binary")
+
+    assert simhash._neighbours(members(2_000, False), 0.8, 2).count() == 0
+    found = simhash._neighbours(members(2_000, True), 0.8, 2)
+    assert 1_999 <= found.count() <= 3 * 2_000
+    assert found.select("a").union(found.select("b")).distinct().count() == 2_000
