@@ -24,7 +24,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from epochlens.llm.common import lists, ragged
+from epochlens.llm.common import lists, ragged, utf8
 from epochlens.session import cut, scratch, tune
 
 #: Outcomes of a softmax; a word has a class and, within it, a subclass.
@@ -32,9 +32,11 @@ WAYS = 16
 #: Softmaxes of a word, features of a context, and rows of weights of one table.
 LEVELS, FEATURES, ROWS = 2, 4, 1 << 16
 #: Tokens of a block at which it ends (a longer text is one block), and rounds of training.
-BLOCK_TOKENS, ROUNDS = 1_000_000, 2
+BLOCK_TOKENS, ROUNDS = 2_000_000, 2
+#: Tokens of whole texts whose contexts are worked out together.
+PIECE_TOKENS = 1 << 18
 #: Tokens of one training task, tokens of one gradient step, and the length of the steps.
-SHARD_TOKENS, STEP_TOKENS, RATE = 1 << 24, 16_384, 0.5
+SHARD_TOKENS, STEP_TOKENS, RATE = 1 << 24, 32_768, 0.5
 #: Rows of weights that travel together when the tasks' weights are averaged.
 PART = 4_096
 
@@ -44,10 +46,9 @@ END = "\n"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def leaf_of(word: str) -> int:
-    """Class and subclass of a word, from its last two characters before punctuation and from all of it."""
-    ending = word.rstrip(".,;:!?)\"'")[-2:]
-    return zlib.crc32(ending.encode("utf-8", "surrogatepass")) % WAYS * WAYS + zlib.crc32(word.encode("utf-8", "surrogatepass")) % WAYS
+def leaf_of(word: bytes) -> int:
+    """Class and subclass of a word, from its last two bytes before punctuation and from all of it."""
+    return zlib.crc32(word.rstrip(b".,;:!?)\"'")[-2:]) % WAYS * WAYS + zlib.crc32(word) % WAYS
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -84,7 +85,7 @@ def _blocks(docs: DataFrame, training: Column) -> str:
             training = np.concatenate([h[1] for h in held])
             lengths = np.concatenate([h[3] for h in held]) + 1
             coded = pa.concat_arrays([h[2] for h in held]).dictionary_encode()
-            words = [END, *coded.dictionary.to_pylist()]
+            words = [END.encode(), *utf8(coded.dictionary)]
             numbers = np.zeros(int(lengths.sum()), np.int64)
             ends = np.cumsum(lengths) - 1
             inside = np.ones(len(numbers), bool)
@@ -101,7 +102,7 @@ def _blocks(docs: DataFrame, training: Column) -> str:
                 pa.array([(task << 33) + made], pa.int64()), pa.array([made % ROUNDS], pa.int32()), one(ids), one(pa.array(training)),
                 one(pa.array(lengths.astype(np.int32))),
                 pa.array([(numbers & 0xFFFF).astype("<u2").tobytes()], pa.binary()), pa.array([(numbers >> 16).astype("<u2").tobytes()], pa.binary()),
-                one(pa.array(words, pa.string())), one(pa.array([leaf_of(w) for w in words], pa.int32())), one(pa.array(counts.astype(np.int64))),
+                one(pa.array(words, pa.binary()).cast(pa.string())), one(pa.array([leaf_of(w) for w in words], pa.int32())), one(pa.array(counts.astype(np.int64))),
             ]
             return pa.RecordBatch.from_arrays(columns, names)
 
@@ -222,8 +223,8 @@ class Model:
                     met[table][which] += sizes
 
 
-def word_hashes(words: list[str]) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64)
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
 
 
 def _chosen(numbers: np.ndarray, lengths: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -231,6 +232,16 @@ def _chosen(numbers: np.ndarray, lengths: np.ndarray, keep: np.ndarray) -> tuple
     return numbers[np.repeat(keep, lengths)], lengths[keep]
 
 
+def pieces(lengths: np.ndarray) -> Iterator[tuple[slice, slice]]:
+    """Runs of whole texts of about `PIECE_TOKENS` tokens: which texts, and which tokens."""
+    starts = ragged(lengths)
+    at = 0
+    while at < len(lengths):
+        stop = max(at + 1, int(np.searchsorted(starts, starts[at] + PIECE_TOKENS, "right")) - 1)
+        yield slice(at, stop), slice(int(starts[at]), int(starts[stop]))
+        at = stop
+
+
 def _round(spark: SparkSession, blocks: DataFrame, model: Model, shards: int) -> None:
     """One round: gradient steps in every task from the same weights, then the mean of what the tasks moved."""
     shared = spark.sparkContext.broadcast((model.weights, model.squares, model.totals, model.distinct))
@@ -245,7 +256,9 @@ def _round(spark: SparkSession, blocks: DataFrame, model: Model, shards: int) ->
                 lengths = np.asarray(_flat(batch, "lengths", row), dtype=np.int64)
                 keep = np.asarray(_flat(batch, "training", row).to_numpy(zero_copy_only=False), bool)
                 numbers, lengths = _chosen(_numbers(batch.column("low")[row].as_py(), batch.column("high")[row].as_py()), lengths, keep)
-                own.learn(*contexts(numbers, lengths, word_hashes(_flat(batch, "words", row).to_pylist()), np.asarray(_flat(batch, "leaves", row), dtype=np.int64)), met)
+                hashes, leaves = word_hashes(utf8(_flat(batch, "words", row))), np.asarray(_flat(batch, "leaves", row), dtype=np.int64)
+                for texts, span in pieces(lengths):
+                    own.learn(*contexts(numbers[span], lengths[texts], hashes, leaves), met)
         for table in range(LEVELS * FEATURES):
             for at in range(0, ROWS, PART):
                 span = slice(at, at + PART)
@@ -321,15 +334,15 @@ def scores(docs: DataFrame, training: Column) -> DataFrame:
                 lengths = np.asarray(_flat(batch, "lengths", row), dtype=np.int64)
                 numbers = _numbers(batch.column("low")[row].as_py(), batch.column("high")[row].as_py())
                 counts, leaves = (np.asarray(_flat(batch, c, row), dtype=np.int64) for c in ("known", "leaves"))
-                rows, leaf = contexts(numbers, lengths, word_hashes(_flat(batch, "words", row).to_pylist()), leaves)
-                starts = ragged(lengths)[:-1]
-                each = [
-                    (counts > 0)[numbers].astype(np.int64), np.log10((counts + 0.5) / divisor)[numbers],
-                    (own.log_leaf(rows, leaf) + own.word_share(counts, leaves)[numbers]) / np.log(10),
-                ]
-                known, base, score = (np.add.reduceat(v, starts) for v in each)
-                columns = [_flat(batch, "doc_ids", row), pa.array(lengths), pa.array(known), pa.array(np.full(len(lengths), n_train)), pa.array(base), pa.array(score)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                hashes, ids = word_hashes(utf8(_flat(batch, "words", row))), _flat(batch, "doc_ids", row)
+                seen, base, share = (counts > 0).astype(np.int64), np.log10((counts + 0.5) / divisor), own.word_share(counts, leaves)
+                for texts, span in pieces(lengths):
+                    part, n = numbers[span], lengths[texts]
+                    rows, leaf = contexts(part, n, hashes, leaves)
+                    starts = ragged(n)[:-1]
+                    sums = [np.add.reduceat(v, starts) for v in (seen[part], base[part], (own.log_leaf(rows, leaf) + share[part]) / np.log(10))]
+                    columns = [ids.slice(texts.start, len(n)), pa.array(n), pa.array(sums[0]), pa.array(np.full(len(n), n_train)), *map(pa.array, sums[1:])]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     known = located.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("pos", "count"))).alias("_known"))
     known = known.select("block", F.transform("_known", lambda x: x["count"]).alias("known"))

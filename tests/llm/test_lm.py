@@ -76,6 +76,7 @@ def test_context_beats_word_counts(docs_of, two_languages):
 def test_blocks_do_not_change_counts(docs_of, two_languages, monkeypatch):
     monkeypatch.setattr(lm, "BLOCK_TOKENS", 500)
     monkeypatch.setattr(lm, "SHARD_TOKENS", 4_000)
+    monkeypatch.setattr(lm, "PIECE_TOKENS", 130)
     docs = docs_of([*two_languages, (1000, "vum " * 3_000)]).repartition(3)
     found = scored(docs)
     assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in found) == base([*two_languages, (1000, "vum " * 3_000)])
@@ -85,7 +86,7 @@ def test_blocks_do_not_change_counts(docs_of, two_languages, monkeypatch):
 def test_probabilities_sum_to_one():
     """Over all seen words and one unseen word of each subclass, in any context, after learning."""
     r = np.random.default_rng(1)
-    words = sorted({"".join(r.choice(list("abcdefgh"), r.integers(1, 5))) for _ in range(500)})
+    words = sorted({"".join(r.choice(list("abcdefgh"), r.integers(1, 5))).encode() for _ in range(500)})
     leaves = np.array([lm.leaf_of(w) for w in words])
     counts = r.integers(1, 9, len(words))
     totals, distinct = np.bincount(leaves, counts, lm.WAYS**2), np.bincount(leaves, minlength=lm.WAYS**2)
@@ -112,7 +113,7 @@ def test_probabilities_sum_to_one():
 
 def test_learning_step_against_plain_loops():
     """One gradient step over tokens that share rows of weights."""
-    words = ["aa", "ba", "ca", "da"]
+    words = [b"aa", b"ba", b"ca", b"da"]
     leaves, hashes = np.array([lm.leaf_of(w) for w in words]), lm.word_hashes(words)
     text = np.array([0, 1, 0, 1, 2, 3, 0, 1])
     make = lambda: lm.Model(np.bincount(leaves, [3, 3, 1, 1], lm.WAYS**2), np.bincount(leaves, minlength=lm.WAYS**2))
