@@ -37,6 +37,8 @@ BLOCK_TOKENS, ROUNDS = 2_000_000, 2
 PIECE_TOKENS = 1 << 18
 #: Tokens of one training task, tokens of one gradient step, and the length of the steps.
 SHARD_TOKENS, STEP_TOKENS, RATE = 1 << 24, 32_768, 0.5
+#: Scores of outcomes are kept in these bounds, within which single precision holds their exponentials.
+LARGEST = 80.0
 #: Rows of weights that travel together when the tasks' weights are averaged.
 PART = 4_096
 
@@ -182,9 +184,9 @@ class Model:
         z = self.bias[level][cls if level else np.zeros(len(cls), np.int64)]
         for feature in range(FEATURES):
             z += self.weights[level * FEATURES + feature].take(rows[level * FEATURES + feature], axis=0)
-        z -= z.max(axis=1, keepdims=True)
+        np.clip(z, -LARGEST, LARGEST, out=z)
         np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
+        z /= (z @ np.ones(WAYS, np.float32))[:, None]
         return z
 
     def log_leaf(self, rows: list[np.ndarray], leaves: np.ndarray) -> np.ndarray:
