@@ -65,7 +65,7 @@ def test_each_stage_does_what_its_operator_says(spark, folder):
 
 def test_run_and_registration(spark, folder):
     assert corpus_pipeline.run(spark, folder).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
-    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_edited_copies_leave_the_near_duplicate_stage(spark, folder, docs_of, prose):
