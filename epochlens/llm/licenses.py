@@ -47,8 +47,6 @@ TEMPLATES = (
 )
 #: Common words of English that the index leaves out.
 STOP_WORDS = frozenset("a an and any are as at by can for form forms in is it may not of or that the this to use with you".split())
-#: Distinct licence words that a file looks up, the rarest first.
-LOOKED_UP = 32
 
 
 def _words(text: str) -> list[str]:
@@ -112,17 +110,39 @@ def licence_words(docs: DataFrame, words: DataFrame) -> DataFrame:
     return each.join(F.broadcast(words), "word").select("_row", "word", (F.col("_pos") - F.col("_lead")).alias("pos"))
 
 
-def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, least: float = 0.6, looked_up: int = LOOKED_UP) -> DataFrame:
+def weights(postings: DataFrame, df: DataFrame, n_texts: int) -> DataFrame:
+    """Postings with `idf`, and `full`, the weight of all words of their template.
+
+    The inverse document frequency is smoothed, so that a word which every text holds still weighs 1.
+    """
+    counted = postings.join(df, "word", "left")
+    idf = F.log((F.lit(n_texts) + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1.0
+    return counted.select("word", "template", "place", idf.alias("idf")).withColumn("full", F.sum("idf").over(Window.partitionBy("template")))
+
+
+def rarest(weighed: DataFrame, least: float) -> DataFrame:
+    """The rarest postings of each template that weigh more than 1 - `least` of it.
+
+    A place where `least` of a template's weight is found lacks too little to lack all of these, so looking them up
+    alone finds every such place.
+    """
+    before = Window.partitionBy("template").orderBy(F.desc("idf"), "place").rowsBetween(Window.unboundedPreceding, -1)
+    lighter = F.coalesce(F.sum("idf").over(before), F.lit(0.0))
+    return weighed.withColumn("_before", lighter).where(F.col("_before") <= (1.0 - least) * F.col("full") + 1e-6).drop("_before")
+
+
+def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, least: float = 0.6) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    Licence words are those of the templates without stop words; their inverse document frequency counts all
-    documents. Each file looks up its rarest licence words. A posting (template, place) and a place in the file give
-    a relative position; at one relative position the words found must weigh at least `least` of the template's words
-    by their inverse document frequency. A template so found counts if its mandatory phrases stand in the file. The score is the
-    largest such share, or 0.5 where only base phrases stand.
+    Licence words are those of the templates without stop words; their inverse document frequency counts the distinct
+    texts of all documents. A posting (template, place) and a place in the file give a relative position. Each file
+    looks up the rarest words of every template, which is enough to find every relative position at which words
+    of at least `least` of the template's weight can stand; there all words of the template are weighed. A template
+    so found counts if its mandatory phrases stand in the file. The score is the largest such share, or 0.5 where
+    only base phrases stand.
 
     Null and empty texts have no words; repeated rows get a row each; ids may be null; an empty table gives no
-    rows. Only doc_id and text are read.
+    rows. Very long texts are read whole, and any number of licences may stand in one. Only doc_id and text are read.
     """
     spark = docs.sparkSession
     source = texts(docs)
@@ -130,26 +150,16 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, least: fl
     found = cut(phrase_places(source, templates))
     postings = index(spark, templates)
     hits = cut(licence_words(source, postings.select("word").distinct()))
-    n_docs = found.count()
-    idf = (
-        postings.select("word").distinct()
-        .join(hits.select("_row", "word").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("df")), "word", "left")
-        .select("word", F.log((F.lit(n_docs) + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)).alias("idf"))
-    )
-    weighed = cut(postings.join(idf, "word"))
-    full = weighed.groupBy("template").agg(F.sum("idf").alias("full"))
-    rarest = Window.partitionBy("_row").orderBy(F.desc("idf"), "word")
-    looked = (
-        hits.select("_row", "word").distinct().join(F.broadcast(idf), "word")
-        .withColumn("rank", F.row_number().over(rarest)).where(F.col("rank") <= looked_up)
-    )
+    df = hits.select("_row.text", "word").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    # As many rows as the templates have words.
+    weighed = cut(weights(postings, df, found.select("_row.text").distinct().count()))
+    at = F.col("pos") - F.col("place")
+    candidates = hits.join(F.broadcast(rarest(weighed, least)), "word").select("_row", "template", at.alias("offset")).distinct()
     aligned = (
-        hits.join(looked.select("_row", "word", "idf"), ["_row", "word"])
-        .join(F.broadcast(postings), "word")
-        .select("_row", "template", (F.col("pos") - F.col("place")).alias("offset"), "place", "idf").distinct()
-        .groupBy("_row", "template", "offset").agg(F.sum("idf").alias("weight"))
-        .join(F.broadcast(full), "template")
-        .withColumn("share", F.when(F.col("full") > 0, F.least(F.lit(1.0), F.round(F.col("weight") / F.col("full"), 9))).otherwise(0.0))
+        hits.join(F.broadcast(weighed), "word").select("_row", "template", at.alias("offset"), "place", "idf", "full")
+        .join(candidates, ["_row", "template", "offset"], "left_semi").distinct()
+        .groupBy("_row", "template", "offset").agg(F.sum("idf").alias("weight"), F.first("full").alias("full"))
+        .withColumn("share", F.least(F.lit(1.0), F.round(F.col("weight") / F.col("full"), 9)))
         .where(F.col("share") >= least)
     )
     demands = [{"template": i, "label": t.label, "needs": list(t.phrases)} for i, t in enumerate(templates)]

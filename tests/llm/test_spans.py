@@ -1,6 +1,7 @@
 """Personal data, secrets and licences: places of base matches against a scan by another regular expression engine."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -142,6 +143,56 @@ def test_licence_templates(docs_of, prose):
     assert not any(found[i].labels for i in range(200)) and not found[2000].labels
 
 
+def brute_shares(texts):
+    """Labels and score of each text: every relative position of every template, all its words weighed."""
+    split = lambda x: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (x or "").translate({i: i + 32 for i in range(65, 91)}))
+    files = [split(x) for x in texts]
+    distinct = {x or "": set(w) for x, w in zip(texts, files)}
+    idf = lambda w: math.log((len(distinct) + 1) / (sum(w in d for d in distinct.values()) + 1)) + 1
+    template_words = [[(i, w) for i, w in enumerate(split(t.text)) if w not in licenses.STOP_WORDS] for t in licenses.TEMPLATES]
+    weight = {w: idf(w) for t in template_words for _, w in t}
+    for words in files:
+        labels, score = set(brute_licence(" ".join(words))[4]), 0.5 * bool(brute_licence(" ".join(words))[1])
+        shares = []
+        for t, places in zip(licenses.TEMPLATES, template_words):
+            full, best = sum(weight[w] for _, w in places), 0.0
+            for offset in range(-len(places) - 40, len(words)):
+                best = max(best, sum(weight[w] for i, w in places if 0 <= offset + i < len(words) and words[offset + i] == w) / full)
+            stands = all(f" {' '.join(split(p))} " in f" {' '.join(words)} " for p in t.phrases)
+            if round(best, 9) >= 0.6 and stands:
+                labels.add(t.label)
+                shares.append(round(best, 9))
+        yield sorted(labels), max(shares, default=score)
+
+
+def test_licence_labels_and_scores_by_brute_force(docs_of, prose):
+    r = random.Random(5)
+    passages = [t.text for t in licenses.TEMPLATES]
+    texts = [None, "", "MIT License", " ".join(passages), "\n".join(reversed(passages)), *[prose(i, 40) for i in range(20)]]
+    for i in range(90):
+        words = r.choice(passages).split()
+        for _ in range(r.randint(0, len(words) // 2)):
+            words[r.randrange(len(words))] = r.choice(words + ["other"])
+        if i % 3 == 0:
+            words.insert(r.randrange(len(words)), "inserted")
+        texts.append(f"{prose(i, 5)} {' '.join(words)} {r.choice(passages) if i % 5 == 0 else ''}")
+    texts += texts[-3:]
+    got = {x.doc_id: x for x in licenses.scan(docs_of([*enumerate(texts)])).collect()}
+    for i, (labels, score) in enumerate(brute_shares(texts)):
+        assert got[i].labels == labels, texts[i]
+        assert got[i].score == pytest.approx(score, abs=2e-9)
+
+
+def test_licences_that_every_file_holds(docs_of, prose):
+    by_label = {t.label: t.text for t in licenses.TEMPLATES}
+    everything = licenses.scan(docs_of([(1, " ".join(t.text for t in licenses.TEMPLATES))])).first()
+    assert set(everything.labels) == set(by_label) and everything.score > 0.9
+    same = licenses.scan(docs_of([(i, f"{prose(i, 9)} {by_label['bsd']}") for i in range(50)])).collect()
+    assert all(r.labels == ["bsd"] and r.score > 0.9 for r in same)
+    one = licenses.scan(docs_of([(1, by_label["isc"])])).first()
+    assert one.labels == ["isc"] and one.score > 0.9
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 101])
 def test_running_sums(spark, n):
     from epochlens.llm.common import starts_of
