@@ -125,10 +125,16 @@ def label_pixels(pixels: DataFrame, key: str, connectivity: int = 8, block: int
         key, F.col("label").alias("a"), F.col("_br").alias("_br0"), F.col("_bc").alias("_bc0"),
         F.explode(F.array(*[F.struct((F.col("row") + dr).alias("row"), (F.col("col") + dc).alias("col")) for dr, dc in steps])).alias("to"),
     ).select(key, "a", "_br0", "_bc0", "to.row", "to.col")
+    apart = F.col("_br0").bitwiseXOR(F.col("_br")).bitwiseOR(F.col("_bc0").bitwiseXOR(F.col("_bc")))
     contacts = (
         moved.join(border, [key, "row", "col"])
         .where("_br <> _br0 OR _bc <> _bc0")
-        .select(key, "a", F.col("label").alias("b"))
+        # The level of the smallest square of 2^level x 2^level blocks that holds both ends.
+        .withColumn("_level", F.length(F.bin(apart)))
+        .select(
+            key, F.least("a", "label").alias("a"), F.greatest("a", "label").alias("b"), "_level",
+            F.expr("shiftright(_br, _level)").alias("_tr"), F.expr("shiftright(_bc, _level)").alias("_tc"),
+        )
     )
     roots = _seam_roots(contacts, key)
     if roots is None:
@@ -140,24 +146,32 @@ def label_pixels(pixels: DataFrame, key: str, connectivity: int = 8, block: int
     )
 
 
-def _group_roots(contacts: DataFrame, key: str) -> DataFrame:
-    packed = contacts.groupBy(key).agg(F.collect_list(F.struct("a", "b")).alias("_e"))
-    return packed.select(key, F.explode(_edge_roots()(F.col("_e.a"), F.col("_e.b"))).alias("_r")).select(key, "_r.node", "_r.root")
-
-
-def _seam_roots(contacts: DataFrame, key: str, group_limit: int = 500_000) -> DataFrame | None:
+def _seam_roots(contacts: DataFrame, key: str) -> DataFrame | None:
     """Roots of the labels that touch across blocks; None when no component crosses a border.
 
-    Rasters with a bounded number of contacts are solved one raster per task, larger ones by rounds over the
-    whole table.
+    Squares of blocks are merged level by level, each twice as wide as those before. A task joins the labels that meet
+    on the seams inside one square, with the roots that its quarters gave them. It holds at most the contacts along
+    two lines across the square, so its size follows the side of a raster and not its area, and the number
+    of levels follows the logarithm of the side. There is one way for rasters of all sizes.
     """
-    contacts = cut(contacts.select(key, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    sizes = contacts.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    largest = sizes.agg(F.max("_n")).first()[0]
-    if largest is None:
+    contacts = cut(contacts.distinct())
+    levels = contacts.agg(F.max("_level")).first()[0]
+    if levels is None:
         return None
-    if largest <= group_limit:
-        return _group_roots(contacts, key)
-    sized = contacts.join(sizes, key)
-    small = _group_roots(sized.where(F.col("_n") <= group_limit), key)
-    return small.unionByName(connected(sized.where(F.col("_n") > group_limit).drop("_n"), [key]))
+    roots = None
+    for level in range(1, levels + 1):
+        seam = contacts.where(F.col("_level") == level)
+        if roots is not None:
+            for end in ("a", "b"):
+                known = roots.select(key, F.col("node").alias(end), F.col("root").alias("_root"))
+                seam = seam.join(known, [key, end], "left").withColumn(end, F.coalesce("_root", end)).drop("_root")
+        packed = seam.where("a <> b").groupBy(key, "_tr", "_tc").agg(F.collect_set(F.struct("a", "b")).alias("_e"))
+        solved = packed.select(key, F.explode(_edge_roots()(F.col("_e.a"), F.col("_e.b"))).alias("_r"))
+        merged = cut(solved.select(key, "_r.node", "_r.root").where("node <> root"))
+        if roots is not None:
+            # A label merged now was a root until now, so it isn't among the nodes yet.
+            last = merged.select(key, F.col("node").alias("root"), F.col("root").alias("_next"))
+            older = roots.join(last, [key, "root"], "left").select(key, "node", F.coalesce("_next", "root").alias("root"))
+            merged = cut(older.unionByName(merged))
+        roots = merged
+    return roots

@@ -77,15 +77,13 @@ def test_connected_rounds(spark):
     assert all(got.get(n, n) == want[n] for n in nodes)
 
 
-@pytest.mark.parametrize("connectivity,limit", [(8, 500_000), (4, 500_000), (8, 3)])
-def test_labels_across_blocks(spark, monkeypatch, connectivity, limit):
+@pytest.mark.parametrize("connectivity,block", [(8, 5), (4, 5), (8, 2), (4, 64)])
+def test_labels_across_blocks(spark, connectivity, block):
     rng = np.random.default_rng(7)
     grid = rng.random((24, 31)) < 0.45
     cells = [(int(r), int(c)) for r, c in zip(*np.nonzero(grid))]
-    original = components._seam_roots
-    monkeypatch.setattr(components, "_seam_roots", lambda contacts, key: original(contacts, key, limit))
     df = spark.createDataFrame([(1, r, c) for r, c in cells], "pair_id int, row int, col int")
-    got = {(r["row"], r["col"]): r["label"] for r in components.label_pixels(df, "pair_id", connectivity, block=5).collect()}
+    got = {(r["row"], r["col"]): r["label"] for r in components.label_pixels(df, "pair_id", connectivity, block).collect()}
     reach = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if connectivity == 8 else [])
     code = {rc: (rc[0] << 32) | rc[1] for rc in cells}
     edges = [(code[r, c], code[r + dr, c + dc]) for r, c in cells for dr, dc in reach if (r + dr, c + dc) in code]
@@ -93,6 +91,15 @@ def test_labels_across_blocks(spark, monkeypatch, connectivity, limit):
     assert all(got[rc] == want[code[rc]] for rc in cells)
 
 
+def test_one_component_winds_through_all_blocks(spark):
+    """A snake of one pixel's width, every bend in another block, beside a raster of a single pixel."""
+    snake = [(r, c) for r in range(33) for c in range(33) if r % 2 == 0 or c == (32 if r % 4 == 1 else 0)]
+    rows = [(1, r, c) for r, c in snake] + [(2, 40, 7)]
+    labels = components.label_pixels(spark.createDataFrame(rows, "pair_id int, row int, col int"), "pair_id", 4, block=4)
+    assert {(r["pair_id"], r["label"]) for r in labels.select("pair_id", "label").distinct().collect()} == {(1, 0), (2, (40 << 32) | 7)}
+    assert labels.count() == len(rows)
+
+
 @pytest.mark.parametrize("blocks_of", [(7, 11), (512, 20_000)])
 def test_topk_and_ranks_match_brute_force(spark, blocks_of):
     rng = np.random.default_rng(11)
