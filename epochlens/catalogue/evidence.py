@@ -18,7 +18,8 @@ def regions(t, members=None):
 
 
 def spectra(t, members=None):
-    return evidence.region_spectra(chain.members(t) if members is None else members, chain.aligned(t), 4, -99.0)
+    run = chain.detection(t)
+    return evidence.region_spectra(run.members if members is None else members, run.aligned, 4, -99.0)
 
 
 BOX = """fx_box AS (SELECT pair_id, region_id, count(*) AS area, min(r) AS r0, min(c) AS c0, max(r) AS r1, max(c) AS c1, avg(score) AS s, max(score) AS mx, stddev_pop(score) AS sd FROM fx_member GROUP BY pair_id, region_id)"""
@@ -94,7 +95,7 @@ def context(t):
     SELECT pair_id, region_id, band, round(mean, 4) AS background_mean FROM a WHERE n >= 4""")
 def background(t):
     run = chain.detection(t)
-    return evidence.background_means(run.scored, chain.aligned(t), run.members, regions(t, run.members), CONFIG, block=4)
+    return evidence.background_means(run.scored, run.aligned, run.members, regions(t, run.members), CONFIG, block=4)
 
 
 @query("j09_region_score_stats", f"""

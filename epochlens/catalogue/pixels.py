@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from epochlens.catalogue.registry import query
 from epochlens.config import DetectionConfig
 from epochlens.operators import pixels
+from epochlens.session import cut
 
 CONFIG = DetectionConfig(nodata=-99.0, std_multiplier=0.5, min_region_area=2)
 
@@ -16,7 +17,7 @@ def aligned(t):
 
 
 def masked(t):
-    return pixels.valid_mask(aligned(t), CONFIG)
+    return cut(pixels.valid_mask(aligned(t), CONFIG))
 
 
 def scored(t):
@@ -103,8 +104,10 @@ def tile_hash_bytes(t):
 @query("i04_rescale_8bit", """
     SELECT vec_id, r AS row, c AS col, CAST(floor((value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) * 255e0) AS INT) AS byte FROM fx_grid8 WINDOW w AS (PARTITION BY vec_id)""")
 def rescale(t):
-    px = t.fx_grid8.select("vec_id", F.col("r").alias("row"), F.col("c").alias("col"), "value")
-    return pixels.rescale_8bit(px, "vec_id").select("vec_id", "row", "col", "byte")
+    bands = F.array(F.col("embedding").cast("array<double>"))
+    whole = t.table("embeddings").select("vec_id", F.lit(0).alias("row0"), F.lit(0).alias("col0"), F.lit(8).alias("height"), F.lit(8).alias("width"), bands.alias("bands"))
+    bytes_ = pixels.explode_raster(pixels.rescale_blocks(whole, "vec_id"), "vec_id")
+    return bytes_.select("vec_id", "row", "col", F.col("value").alias("byte"))
 
 
 @query("e13_tile_nodata", """
@@ -112,8 +115,7 @@ def rescale(t):
       round(1e0 - count(*) FILTER (abs(value + 99) <= 1e-8 + 1e-5 * 99) / count(*), 4) AS valid_pixel_ratio
     FROM (SELECT pair_num * 2 + epoch AS vec_id, * FROM fx_pixels) WHERE band = 0 GROUP BY ALL""")
 def nodata(t):
-    px = pixels.explode_raster(t.fx_rasters, "obs_id").withColumnRenamed("obs_id", "vec_id")
-    return pixels.tile_nodata(pixels.tile_grid(px, 2), "vec_id", -99.0)
+    return pixels.nodata_of_blocks(t.fx_rasters.withColumnRenamed("obs_id", "vec_id"), "vec_id", 2, -99.0)
 
 
 @query("i05_select_bands", "SELECT pair_id, r AS row, c AS col, CASE band WHEN 3 THEN 0 ELSE 1 END AS band, e AS value FROM fx_px WHERE band IN (1, 3)")

@@ -252,7 +252,7 @@ def with_region_ids(labelled: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Detection:
-    """The stage tables of one detection run over all pairs."""
+    """The stage tables of one detection run over all pairs; `aligned` holds the blocks that can be compared, with their masks."""
 
     aligned: DataFrame
     scored: DataFrame
@@ -263,10 +263,11 @@ class Detection:
 def detect(pairs: DataFrame, rasters: DataFrame, config: DetectionConfig = DetectionConfig(), block: int = 512) -> Detection:
     """Pixel differences to numbered regions, for every pair at once.
 
-    Scores are written once, because thresholds, changed pixels, metrics and context all read them.
+    Aligned blocks are written once with their masks, so that the bands of both dates are shuffled in one place, whatever
+    reads them; so are scores, because thresholds, changed pixels, metrics and context all read them.
     """
-    aligned = select_bands(align(pairs, rasters), config.bands)
-    scored = cut(score_map(valid_mask(aligned, config), config))
+    aligned = cut(valid_mask(select_bands(align(pairs, rasters), config.bands), config))
+    scored = cut(score_map(aligned, config))
     thresholds = threshold(scored, config)
     members = with_region_ids(label_regions(change_pixels(scored, thresholds), config, block))
     return Detection(aligned, scored, thresholds, members)
@@ -389,6 +390,41 @@ def tile_nodata(pixels: DataFrame, key: str, nodata: float | None) -> DataFrame:
     )
 
 
+def nodata_of_blocks(blocks: DataFrame, key: str, size: int, nodata: float | None) -> DataFrame:
+    """`tile_nodata` of raster blocks: every block is counted tile by tile in place, and only those counts are shuffled."""
+
+    @F.pandas_udf("array<struct<tile_row: bigint, tile_col: bigint, nodata: bigint, n: bigint>>")
+    def counted(first: pd.Series, row0: pd.Series, col0: pd.Series, width: pd.Series) -> pd.Series:
+        out = []
+        for values, r, c, w in zip(first, row0, col0, width):
+            values = np.asarray([] if values is None else values, np.float64)
+            at = np.arange(len(values))
+            tiles = np.stack([(r + at // max(w, 1)) // size, (c + at % max(w, 1)) // size])
+            which, place = np.unique(tiles, axis=1, return_inverse=True)
+            close = np.zeros(len(values), bool) if nodata is None else np.abs(values - nodata) <= 1e-8 + 1e-5 * abs(nodata)
+            blank, n = np.bincount(place.ravel()[close], minlength=which.shape[1]), np.bincount(place.ravel(), minlength=which.shape[1])
+            out.append([{"tile_row": int(i), "tile_col": int(j), "nodata": int(b), "n": int(m)} for i, j, b, m in zip(*which, blank, n)])
+        return pd.Series(out)
+
+    tiles = blocks.select(key, F.explode(counted(F.get("bands", F.lit(0)), "row0", "col0", "width")).alias("_t")).select(key, "_t.*")
+    return tiles.groupBy(key, "tile_row", "tile_col").agg(F.sum("nodata").alias("nodata_pixels"), F.sum("n").alias("_n")).select(
+        key, "tile_row", "tile_col", "nodata_pixels", F.round(1.0 - F.col("nodata_pixels") / F.col("_n"), 4).alias("valid_pixel_ratio")
+    )
+
+
+def rescale_blocks(blocks: DataFrame, *keys: str) -> DataFrame:
+    """`rescale_8bit` of raster blocks, all bands of a group between its extremes; only one pair of extremes for each block is shuffled."""
+    flat = F.flatten("bands")
+    limits = blocks.groupBy(*keys).agg(F.min(F.array_min(flat)).alias("_lo"), F.max(F.array_max(flat)).alias("_hi"))
+
+    def stretch(v):
+        byte = F.floor((v - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * 255.0).cast("int")
+        return F.when(F.col("_hi") > F.col("_lo"), byte).otherwise(0)
+
+    scaled = F.transform("bands", lambda band: F.transform(band, stretch))
+    return blocks.join(limits, list(keys)).withColumn("bands", scaled).drop("_lo", "_hi")
+
+
 def rescale_8bit(pixels: DataFrame, *keys: str) -> DataFrame:
     """Values stretched to 0..255 between the extremes of their group; a constant group becomes 0."""
     limits = pixels.groupBy(*keys).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))

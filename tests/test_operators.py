@@ -390,6 +390,35 @@ def test_a_pair_scores_the_same_beside_a_larger_one(spark):
     assert scores(pairs) == scores(pairs.where("pair_id = 'small'"))
 
 
+def test_blocks_give_what_their_pixels_give(spark):
+    rng = np.random.default_rng(17)
+    rows = []
+    for obs in range(3):
+        for row0, col0, h, w in ((0, 0, 4, 6), (0, 6, 4, 3), (4, 0, 2, 6)):
+            bands = [[float(v) for v in rng.choice([-99.0, 1.0, 2.5, 7.0], h * w)] for _ in range(2)]
+            rows.append((obs, row0, col0, h, w, [[3.0] * (h * w)] * 2 if obs == 2 else bands))
+    blocks = spark.createDataFrame(rows, "obs_id int, row0 int, col0 int, height int, width int, bands array<array<double>>")
+    px = pixels.explode_raster(blocks, "obs_id")
+    for nodata in (-99.0, None):
+        want = pixels.tile_nodata(pixels.tile_grid(px, 3), "obs_id", nodata).collect()
+        assert sorted(map(tuple, pixels.nodata_of_blocks(blocks, "obs_id", 3, nodata).collect())) == sorted(map(tuple, want))
+    got = pixels.explode_raster(pixels.rescale_blocks(blocks, "obs_id"), "obs_id").collect()
+    want = pixels.rescale_8bit(px, "obs_id").select("obs_id", "band", "row", "col", "byte").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    assert pixels.nodata_of_blocks(blocks.limit(0), "obs_id", 3, -99.0).count() == 0
+
+
+def test_scores_read_blocks_that_are_aligned_once(spark):
+    pair = spark.createDataFrame([(1, "a", "b")], "pair_id int, earlier_id string, later_id string")
+    grid = [[float(i) for i in range(16)]]
+    rasters = spark.createDataFrame([("a", 0, 0, 4, 4, grid), ("b", 0, 0, 4, 4, [grid[0][::-1]])], "obs_id string, row0 int, col0 int, height int, width int, bands array<array<double>>")
+    run = pixels.detect(pair, rasters, block=4)
+    for table in (run.aligned, run.scored):
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("FileScan") == 1
+    assert run.aligned.count() == 1
+
+
 def test_large_tiles_are_padded(spark):
     px = spark.range(256 * 256).selectExpr("'k' AS key", "0 AS band", "CAST(id DIV 256 AS INT) AS row", "CAST(id % 256 AS INT) AS col", "CAST(id AS DOUBLE) AS value")
     tile = pixels.pad_tiles(pixels.tile_grid(px.where("id % 7 > 0"), 256), "key", 256, -1.0).first()
