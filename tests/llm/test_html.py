@@ -64,3 +64,18 @@ def test_words_and_links_decide_on_long_blocks():
     assert html.main_text(f"<article><p>A short teaser stands in here today.</p></article><div><p>{long}</p></div>", TREE).endswith(long)
     linked = "".join(f"<a href=x>word{i}</a> " for i in range(160))
     assert html.main_text(f"<div class=sidebar><p>{linked}</p></div>", TREE) == ""
+
+
+def test_quotation_marks_in_tags():
+    text = "The main text of this page stands here and is long enough."
+    for tag in ("<p title=it's>", '<p title=5">', "<p it's>", '<p title="a > b">', "<p title = 'a > b'>", "<p a=b c='>' d>", '<p data-x="it\'s">'):
+        assert html.main_text(f"{tag}{text}</p><p>And it's \"more\" text that follows it.</p>", TREE).split("\n")[0] == text, tag
+    assert html.main_text("<p " + "a='b' " * 5000, TREE).startswith("<p a='b'")
+
+
+def test_heads_and_links_of_an_article_stay():
+    prose = "A paragraph of the article with a good number of words that stands around the others in it."
+    page = f"""<div class="site-header">The site</div><article><div class="entry-header"><h1>Its own head line</h1></div><p>{prose}</p>
+    <p><a href=x>The whole report on this matter</a></p><p>{prose}</p><ul><li>{prose}<li><a href=y>A point that is a link</a><li>{prose}</ul>
+    <ul class=related><li><a href=z>Another story</a><li><a href=w>One more story</a></ul></article>"""
+    assert html.main_text(page, TREE).split("\n") == ["Its own head line", prose, "The whole report on this matter", prose, prose, "A point that is a link", prose]
