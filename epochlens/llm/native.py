@@ -21,18 +21,20 @@ class Pattern:
     needs: str | None = None
 
 
-def locate(df: DataFrame, text: str, patterns: list[Pattern], context: int = 0) -> DataFrame:
+def locate(df: DataFrame, text: str, patterns: list[Pattern], context: int = 0, asked: dict[str, Column] | None = None) -> DataFrame:
     """Add a column for each pattern, named by its kind: array of (start, end, value) of its valid matches.
 
     Places count code points, the end is exclusive; matches are the leftmost ones that don't overlap. A string is
     split at its matches, so the lengths of the pieces give the places, without a second search. With `context`,
     the array also holds up to so many code points before and after each match, not beyond a neighbouring match.
+    `asked` may give a condition for a kind; rows that don't meet it aren't searched for that kind and have no spans of it.
     """
     source = F.col(text)
     found = {}
     for p in patterns:
         matches = F.regexp_extract_all(source, F.lit(f"({p.regex})"), F.lit(1))
-        found[f"_{p.kind}_matches"] = F.when(F.contains(source, F.lit(p.needs)), matches) if p.needs else matches
+        matches = F.when(F.contains(source, F.lit(p.needs)), matches) if p.needs else matches
+        found[f"_{p.kind}_matches"] = F.when(asked[p.kind], matches) if asked and p.kind in asked else matches
     df = df.withColumns(found)
     # Only texts with a match are searched a second time.
     df = df.withColumns({f"_{p.kind}_pieces": F.when(F.size(f"_{p.kind}_matches") > 0, F.split(source, p.regex, -1)) for p in patterns})

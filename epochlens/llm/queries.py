@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from epochlens.llm import centroids, conversations, decontaminate, disclosure, embeddings, html, licenses, lm, mixing, native, secrets, simhash, tokens, toxicity
 from epochlens.llm.common import WORD
-from epochlens.session import tune
+from epochlens.session import scratch, tune
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +31,9 @@ def op1_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.document_secrets(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
+    # The ledger is a table in the shared folder: written by the scan, then read back for the findings.
+    found = secrets.document_secrets(docs, scratch(spark))
     return found.select(
         "doc_id", *[secrets.counted(F.col("spans"), k).alias(f"n_{k}") for k in secrets.BASE],
         secrets.digest(F.col("spans")).alias("base_sha256"), native.joined(F.col("spans")).alias("spans"),

@@ -45,9 +45,11 @@ def read_ledger(spark: SparkSession, path: str | None) -> DataFrame:
 def scan_unseen(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """New rows of the ledger for the blobs of `versions` (blob, text): each blob once, by the rule versions it lacks.
 
-    A blob is chosen by its hash alone; only texts of blobs that lack some rule version are scanned.
+    A blob is chosen by its hash alone; only texts of blobs that lack some rule version are scanned, and only by the
+    rules that they lack. Very long texts are scanned whole.
     """
-    wanted = F.array_sort(F.array(*[F.concat_ws("@", F.lit(r.pattern.kind), F.lit(str(r.version))) for r in rules]))
+    marks = {r.pattern.kind: f"{r.pattern.kind}@{r.version}" for r in rules}
+    wanted = F.array_sort(F.array(*[F.lit(m) for m in marks.values()]))
     done = (
         ledger.withColumn("mark", F.concat_ws("@", "rule", F.col("version").cast("string")))
         .groupBy("blob").agg(F.collect_set("mark").alias("marks"))
@@ -55,7 +57,8 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...]
     once = versions.groupBy("blob").agg(F.first("text").alias("text"))
     lacking = once.join(done, "blob", "left").withColumn("lacks", F.array_except(wanted, F.coalesce("marks", F.array().cast("array<string>"))))
     todo = lacking.where(F.size("lacks") > 0)
-    located = locate(todo, "text", [r.pattern for r in rules])
+    asked = {kind: F.array_contains("lacks", m) for kind, m in marks.items()}
+    located = locate(todo, "text", [r.pattern for r in rules], asked=asked)
     rows = F.array(*[
         F.struct(
             F.lit(r.pattern.kind).alias("rule"), F.lit(r.version).alias("version"),
@@ -77,9 +80,12 @@ def scan(versions: DataFrame, ledger_path: str | None = None, rules: tuple[Rule,
     spark = versions.sparkSession
     blobs = versions.select("key", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
     known = read_ledger(spark, ledger_path)
-    fresh = cut(scan_unseen(blobs.select("blob", "text"), known, rules))
+    fresh = scan_unseen(blobs.select("blob", "text"), known, rules)
     if ledger_path:
+        # The ledger is appended to in one job and read back; what it held before was listed when `known` was made.
         fresh.write.mode("append").parquet(ledger_path)
+    else:
+        fresh = cut(fresh)
     current = F.create_map(*[x for r in rules for x in (F.lit(r.pattern.kind), F.lit(r.version))])
     place = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.pattern.kind), F.lit(i))])
     # Written first, so that the join below is between plain shuffles and the planner can split a blob of many paths.

@@ -104,6 +104,23 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
     newer = (*secrets.RULES[:1], secrets.Rule(secrets.RULES[1].pattern, 2))
     again = secrets.scan_unseen(more.selectExpr("sha2(text, 256) AS blob", "text"), secrets.read_ledger(spark, path), newer)
     assert {(r.rule, r.version) for r in again.collect()} == {("access", 2)} and again.count() == 3
+    # A ledger that lacks one rule of one blob gets that row alone, with what a whole scan finds.
+    whole = {(r.blob, r.rule): r.spans for r in secrets.read_ledger(spark, path).collect()}
+    holed = secrets.read_ledger(spark, path).where("NOT (rule = 'hex' AND size(spans) > 0)")
+    patched = secrets.scan_unseen(more.selectExpr("sha2(text, 256) AS blob", "text"), holed).collect()
+    assert [(r.rule, r.spans) for r in patched] == [("hex", whole[patched[0].blob, "hex"])]
+    before = secrets.read_ledger(spark, path).count()
+    assert {r.key: len(r.spans) for r in secrets.scan(more, path).collect()} == {"a@1": 2, "b@1": 0, "c@1": 2, "a@2": 0, "d@1": 1}
+    assert secrets.read_ledger(spark, path).count() == before
+
+
+def test_secrets_are_the_same_through_a_ledger(spark, docs_of, tmp_path):
+    rows = [(i, t) for i, t in enumerate([None, "", *noise(8, SECRET_PARTS, 120)])]
+    path = str(tmp_path / "ledger")
+    plain = {r.doc_id: r.spans for r in secrets.document_secrets(docs_of(rows)).collect()}
+    for part in (rows[:60], rows):
+        got = {r.doc_id: r.spans for r in secrets.document_secrets(docs_of(part), path).collect()}
+        assert got == {i: plain[i] for i, _ in part}
 
 
 LICENCE_PARTS = ["MIT", "mit", "license", "License", "apache", "general", "public", "the", " ", " ", "-", "\n", "é", "licensé", "xmit", "GPL", "K"]
