@@ -2,38 +2,28 @@
 
 from __future__ import annotations
 
-import math
+import hashlib
 from collections import Counter
-from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from epochlens.llm.common import WORD, by_row_key, lists, map_batches, texts, utf8, where_key, word_list
+from epochlens.llm.common import by_row_key, lists, map_batches, ragged, texts, utf8, where_key, word_list
 from epochlens.session import cut
 
-#: Bounds of the model, whatever the size of the corpus: labelled rows learnt from, terms of the index.
+#: Bound of the model, whatever the size of the corpus: labelled rows learnt from. All their words are terms.
 MAX_EXAMPLES = 20_000
-MAX_TERMS = 4_096
 #: Examples whose leave-one-out votes calibrate the scores.
 MAX_CALIBRATION = 4_000
-#: Lengths of the word beginnings that are terms besides whole words.
-STEMS = (4, 5, 6)
+#: What a word weighs, as a log-likelihood ratio, that stands in toxic and other examples alike.
+NEUTRAL = 0.01
 
 
-def term_list(word: bytes) -> list[bytes]:
-    """Terms of a word: itself and, marked with a star, its beginnings; lengths count code points."""
-    text = word.decode("utf8", "replace")
-    return [word, *(text[:n].encode() + b"*" for n in STEMS if len(text) >= n)]
-
-
-def _terms(text: Column) -> Column:
-    """Distinct terms of a text, as `term_list` has them."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), F.lit(1)))
-    stems = [F.transform(F.filter(words, lambda w: F.length(w) >= n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in STEMS]
-    return F.array_distinct(F.concat(words, *stems))
+def words_of(text: bytes) -> Counter:
+    """Words of a text in lower case, and how often each stands there."""
+    return Counter(word_list(text.decode().lower().encode()))
 
 
 def unit_weights(idf: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -44,10 +34,13 @@ def unit_weights(idf: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> np.n
 
 @dataclass
 class Index:
-    """Labelled examples as unit vectors: postings by term, largest weight of each term in each block of examples."""
+    """Labelled examples as unit vectors: their rows, postings by term, largest weight of a term in each block of examples.
+
+    `weight` is a term's factor: its inverse document frequency times how strongly it goes with one label.
+    """
 
     terms: dict[bytes, int]
-    idf: np.ndarray
+    weight: np.ndarray
     indptr: np.ndarray  # rows of the examples
     columns: np.ndarray
     weights: np.ndarray
@@ -60,50 +53,78 @@ class Index:
     steps: tuple[np.ndarray, np.ndarray] | None = None  # calibration: score up to here, calibrated value
 
     def __post_init__(self):
-        n_terms, rows = len(self.idf), np.repeat(np.arange(len(self.indptr) - 1), np.diff(self.indptr))
-        key = self.columns.astype(np.int64) * (rows.max(initial=0) // self.block + 1) + rows // self.block
-        order = np.argsort(key, kind="stable")
-        distinct, first = np.unique(key[order], return_index=True)
-        self.n_blocks = int(rows.max(initial=-1)) // self.block + 1
-        self.block_max = np.maximum.reduceat(self.weights[order], first) if len(first) else np.empty(0)
-        self.block_of = distinct % max(1, self.n_blocks)
-        self.block_ptr = np.searchsorted(distinct // max(1, self.n_blocks), np.arange(n_terms + 1))
+        n_terms, n_rows = len(self.weight), len(self.indptr) - 1
+        rows = np.repeat(np.arange(n_rows, dtype=np.int32), np.diff(self.indptr))
+        by_term = np.argsort(self.columns, kind="stable")  # postings of a term are in the order of rows
+        self.posting_rows, self.posting_weights = rows[by_term], self.weights[by_term]
+        self.posting_ptr = np.searchsorted(self.columns[by_term], np.arange(n_terms + 1)).astype(np.int64)
+        self.n_blocks = -(-n_rows // self.block)
+        starts = np.ones(len(rows), bool)
+        blocks, of = self.posting_rows // self.block, self.columns[by_term]
+        starts[1:] = (blocks[1:] != blocks[:-1]) | (of[1:] != of[:-1])
+        first = np.flatnonzero(starts)
+        self.block_max = np.maximum.reduceat(self.posting_weights, first) if len(first) else np.empty(0)
+        self.block_of = blocks[first]
+        self.block_ptr = np.searchsorted(of[first], np.arange(n_terms + 1)).astype(np.int64)
+        self.term_max = np.zeros(n_terms)
+        held = np.flatnonzero(np.diff(self.block_ptr))
+        if len(held):
+            self.term_max[held] = np.maximum.reduceat(self.block_max, self.block_ptr[held])
+        self._dense = np.zeros(n_terms)
+
+    def __getstate__(self) -> dict:
+        """Tasks work with places of terms, so the words themselves don't travel."""
+        return self.__dict__ | {"terms": {}}
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return unit_weights(self.idf, terms, counts)
+        return unit_weights(self.weight, terms, counts)
+
+    @staticmethod
+    def _entries(ptr: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the entries of the `wanted` groups one after another, and how many each has."""
+        sizes = ptr[wanted + 1] - ptr[wanted]
+        return np.arange(sizes.sum()) + np.repeat(ptr[wanted] - ragged(sizes)[:-1], sizes), sizes
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the largest cosine, ties by place, and their cosines; exact.
 
-        Blocks are opened by falling upper bound, until no bound reaches the k-th best cosine.
+        Postings are added up by falling share that a term can have in a cosine. What the terms still open can add to
+        an example is bounded by their largest weights in its block; examples that this can't lift to the k-th best
+        are left out, and as soon as reading the others' rows is cheaper than reading on, their cosines are computed.
         """
-        bound = np.zeros(self.n_blocks)
-        for t, w in zip(terms.tolist(), weights.tolist()):
-            s = slice(self.block_ptr[t], self.block_ptr[t + 1])
-            bound[self.block_of[s]] += w * self.block_max[s]
-        dense = np.zeros(len(self.idf))
-        dense[terms] = weights
-        order = np.argsort(-bound, kind="stable")
-        order = order[: np.count_nonzero(bound > 0)]
-        best, found, at, step = np.empty(0), np.empty(0, np.int64), 0, 4
-        while at < len(order):
-            # A little slack, as the bound and the cosine round differently.
-            blocks = order[at : at + step]
-            if len(best) == k:
-                blocks = blocks[bound[blocks] >= best[-1] - 1e-9]
-            if not len(blocks):
-                break
-            rows = (blocks[:, None] * self.block + np.arange(self.block)).ravel()
-            rows = rows[rows < len(self.indptr) - 1]
-            sizes = self.indptr[rows + 1] - self.indptr[rows]
-            ends = np.cumsum(sizes)
-            entries = np.arange(ends[-1]) + np.repeat(self.indptr[rows] - (ends - sizes), sizes)
-            cosine = np.add.reduceat(dense[self.columns[entries]] * self.weights[entries], ends - sizes)
-            hit = cosine > 0
-            best, found = np.concatenate([best, cosine[hit]]), np.concatenate([found, rows[hit]])
-            top = np.lexsort((found, -np.round(best, 12)))[:k]
-            best, found, at, step = best[top], found[top], at + step, step * 4
-        return found, best
+        n_rows = len(self.indptr) - 1
+        share = weights * self.term_max[terms]
+        order = np.argsort(-share, kind="stable")
+        terms, weights, share = terms[order], weights[order], share[order]
+        open_share = np.concatenate([np.cumsum(share[::-1])[::-1], [0.0]])
+        open_size = np.concatenate([np.cumsum(np.diff(self.posting_ptr)[terms][::-1])[::-1], [0]])
+        partial, at, step = np.zeros(n_rows), 0, 4
+        # Slack, as sums and bounds are rounded differently.
+        slack = 1e-6
+        while at < len(terms):
+            upto = slice(at, at + step)
+            entries, sizes = self._entries(self.posting_ptr, terms[upto])
+            partial += np.bincount(self.posting_rows[entries], np.repeat(weights[upto], sizes) * self.posting_weights[entries], n_rows)
+            at, step = min(at + step, len(terms)), step * 4
+            least = np.partition(partial, -k)[-k] if n_rows > k and (at == len(terms) or partial.max() > open_share[at]) else 0.0
+            if at < len(terms) and least > open_share[at]:
+                entries, sizes = self._entries(self.block_ptr, terms[at:])
+                rest = np.bincount(self.block_of[entries], np.repeat(weights[at:], sizes) * self.block_max[entries], self.n_blocks)
+                rows = np.flatnonzero(partial >= least - slack - open_share[at])
+                rows = rows[partial[rows] + rest[rows // self.block] >= least - slack]
+                if (self.indptr[rows + 1] - self.indptr[rows]).sum() <= open_size[at]:
+                    break
+        else:
+            rows = np.flatnonzero(partial >= max(least - slack, 1e-300)) if n_rows and len(terms) else np.empty(0, np.int64)
+        if not len(rows):
+            return np.empty(0, np.int64), np.empty(0)
+        self._dense[terms] = weights
+        entries, sizes = self._entries(self.indptr, rows)
+        cosine = np.add.reduceat(self._dense[self.columns[entries]] * self.weights[entries], ragged(sizes)[:-1])
+        self._dense[terms] = 0
+        rows, cosine = rows[cosine > 0], cosine[cosine > 0]
+        top = np.lexsort((rows, -np.round(cosine, 12)))[:k]
+        return rows[top], cosine[top]
 
     def vote(self, found: np.ndarray, cosine: np.ndarray, without: tuple[int, int, int] | None = None) -> float:
         """Share of toxic rows among the neighbours, each weighted by 1 / (distance + 0.1), and the prior as one vote.
@@ -134,35 +155,22 @@ def _monotone(scores: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tu
     return np.array([p[0] / p[2] for p in pools]), np.array([p[1] / p[2] for p in pools])
 
 
-def term_counts(docs: DataFrame, terms: Iterable[bytes]) -> DataFrame:
-    """(doc_id, terms, counts): places in `terms` of the terms that a whole text holds, ascending, and how often."""
-    place = {t: i for i, t in enumerate(terms)}
+def term_counts(docs: DataFrame, terms: list[bytes]) -> DataFrame:
+    """(doc_id, terms, counts): places in `terms` of the words that a whole text holds, ascending, and how often."""
 
     def make():
-        memory: dict[bytes, tuple[int, ...]] = {}
-
-        def of(word: bytes) -> tuple[int, ...]:
-            if word not in memory:
-                if len(memory) > 300_000:
-                    memory.clear()
-                memory[word] = tuple(place[t] for t in term_list(word) if t in place)
-            return memory[word]
+        place = {t: i for i, t in enumerate(terms)}
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sizes, found, counts = [], [], []
+            sizes, found = [], []
             for text in utf8(batch.column("text")):
-                here: Counter = Counter()
-                for word in word_list(text.decode().lower().encode()):
-                    for t in memory.get(word) or of(word):
-                        here[t] += 1
+                here = sorted((place[w], n) for w, n in words_of(text).items() if w in place)
                 sizes.append(len(here))
-                for t in sorted(here):
-                    found.append(t)
-                    counts.append(here[t])
+                found.extend(here)
+            flat = np.array(found, np.int32).reshape(-1, 2)
             sizes = np.array(sizes, np.int64)
             return pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), lists(pa.array(found, pa.int32()), sizes), lists(pa.array(counts, pa.int32()), sizes)],
-                ["doc_id", "terms", "counts"],
+                [batch.column("doc_id"), lists(pa.array(flat[:, 0]), sizes), lists(pa.array(flat[:, 1]), sizes)], ["doc_id", "terms", "counts"],
             )
 
         return each
@@ -171,6 +179,17 @@ def term_counts(docs: DataFrame, terms: Iterable[bytes]) -> DataFrame:
     return map_batches(source, make, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, terms array<int>, counts array<int>")
 
 
+def _vectors(batch) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Terms and counts of each row of a batch or table of `term_counts`."""
+    columns = []
+    for name in ("terms", "counts"):
+        column = batch.column(name)
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        flat, sizes = column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().to_numpy(zero_copy_only=False)
+        columns.append(np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else [])
+    return list(zip(*columns))
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
@@ -196,60 +215,72 @@ def _examples(docs: DataFrame, labels: DataFrame, max_examples: int) -> DataFram
     return rows.groupBy("_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).withColumnRenamed("_id", "doc_id")
 
 
-def _telling_terms(examples: DataFrame, max_terms: int, least: float) -> list[bytes]:
-    """Terms over-represented in toxic examples by a log-likelihood ratio of `least`, the strongest first.
+def _weighed_terms(examples: DataFrame) -> tuple[list[bytes], np.ndarray]:
+    """All words of the examples, and the log-likelihood ratio of each with the label, largest first.
 
     Copies of a text count once, else the rare words of a copied text would look like telling ones.
     """
-    distinct = examples.groupBy("text").agg(F.max("toxic").alias("toxic"))
+    distinct = cut(examples.groupBy("text").agg(F.max("toxic").alias("toxic")))
     totals = distinct.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("p")).first()
     n, p = totals["n"], totals["p"] or 0
     if not p or p == n:
-        return []
-    counts = distinct.select("toxic", F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(
-        F.count(F.lit(1)).alias("df"), F.sum("toxic").alias("pos")
-    )
+        return [], np.empty(0)
+
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            words = [list(words_of(text)) for text in utf8(batch.column("text"))]
+            return pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(words, pa.list_(pa.binary()))], ["toxic", "terms"])
+
+        return each
+
+    words = map_batches(distinct, make, "toxic int, terms array<binary>")
+    counts = words.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("toxic").alias("pos"))
     part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
     df, pos = F.col("df").cast("double"), F.col("pos").cast("double")
     ratio = 2 * (
         part(pos, df * (p / n)) + part(df - pos, df * (1 - p / n))
         + part(p - pos, (n - df) * (p / n)) + part((n - p) - (df - pos), (n - df) * (1 - p / n))
     )
-    top = counts.where(pos * n > df * p).withColumn("ratio", ratio).where(F.col("ratio") >= least)
-    return [r["term"].encode() for r in top.orderBy(F.desc("ratio"), "term").limit(max_terms).select("term").collect()]
+    # Words of at most `max_examples` texts.
+    found = counts.select("term", F.round(F.greatest(ratio, F.lit(0.0)), 9).alias("ratio")).orderBy(F.desc("ratio"), "term").toArrow()
+    return found.column("term").to_pylist(), found.column("ratio").to_numpy()
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, keyed: DataFrame | None = None, *, max_examples: int = MAX_EXAMPLES,
-    max_terms: int = MAX_TERMS, least: float = 25.0, neighbours: int = 10,
+    docs: DataFrame, labels: DataFrame, keyed: DataFrame | None = None, *, max_examples: int = MAX_EXAMPLES, neighbours: int = 10,
 ) -> tuple[Index, DataFrame]:
     """The index of labelled examples, and the term counts of all documents that it was weighted with.
 
-    The counts carry the ids of `keyed`, the same documents under other ids, where that is given. What reaches the driver is bounded by `max_examples` rows and `max_terms` terms; inverse document frequencies
-    count all documents. Scores are calibrated by isotonic regression on leave-one-out votes of the examples.
+    The counts carry the ids of `keyed`, the same documents under other ids, where that is given. What reaches the driver
+    is bounded by `max_examples` rows and their words; inverse document frequencies count all documents, and a word weighs
+    them times its log-likelihood ratio with the label in the examples (`NEUTRAL` at least, so that every word counts).
+    Scores are calibrated by isotonic regression on leave-one-out votes of the examples.
     """
     examples = cut(_examples(docs, labels, max_examples))
-    terms = _telling_terms(examples, max_terms, least)
-    counted = cut(term_counts(docs if keyed is None else keyed, terms))
-    n_docs = counted.count()
-    idf = np.full(len(terms), math.log(n_docs + 1) + 1)
-    for r in counted.select(F.explode("terms").alias("term")).groupBy("term").count().collect():
-        idf[r["term"]] = math.log((n_docs + 1) / (r["count"] + 1)) + 1
-    rows = term_counts(examples, terms).join(examples.select("doc_id", "toxic"), "doc_id").orderBy("doc_id").collect()
+    terms, ratio = _weighed_terms(examples)
+    counted = term_counts(docs if keyed is None else keyed, terms)
+    n_docs = docs.count()
+    df = np.zeros(len(terms))
+    if terms:
+        held = counted.select(F.explode("terms").alias("term")).groupBy("term").count().toArrow()
+        df[held.column("term").to_numpy()] = held.column("count").to_numpy()
+    weight = (np.log((n_docs + 1) / (df + 1)) + 1) * (ratio + NEUTRAL)
+    rows = term_counts(examples, terms).join(examples.select("doc_id", "toxic"), "doc_id").orderBy("doc_id").toArrow()
     groups: dict[tuple, list] = {}
-    for r in rows:
-        g = groups.setdefault((tuple(r["terms"]), tuple(r["counts"])), [0, 0, r["doc_id"]])
-        g[0 if r["toxic"] == 1 else 1] += 1
-    empty = groups.pop(((), ()), [0, 0, None])
+    for (t, n), doc_id, toxic in zip(_vectors(rows), rows.column("doc_id").to_pylist(), rows.column("toxic").to_pylist()):
+        # Big-endian bytes are ordered as the terms are, so examples with the same strongest words stand together.
+        g = groups.setdefault((t.astype(">i4").tobytes(), n.astype(">i4").tobytes()), [0, 0, doc_id])
+        g[0 if toxic == 1 else 1] += 1
+    empty = groups.pop((b"", b""), [0, 0, None])
     total = [sum(g[i] for g in groups.values()) + empty[i] for i in (0, 1)]
     prior = (total[0] + 0.5) / (sum(total) + 1)
     order = sorted(groups)
-    flat = [t for k in order for t in k[0]]
-    sizes = [len(k[0]) for k in order]
-    indptr = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    weights = [unit_weights(idf, np.array(t), np.array(n, float)) for t, n in order]
+    of = [tuple(np.frombuffer(x, ">i4").astype(np.int32) for x in k) for k in order]
+    indptr = ragged(np.array([len(t) for t, _ in of], np.int64))
+    flat = np.concatenate([*(t for t, _ in of), np.empty(0, np.int32)])
+    weights = np.concatenate([*(unit_weights(weight, t, n).astype(np.float32) for t, n in of), np.empty(0, np.float32)])
     index = Index(
-        terms={t: i for i, t in enumerate(terms)}, idf=idf, indptr=indptr, columns=np.array(flat, np.int64), weights=np.concatenate([*weights, np.empty(0)]),
+        terms={t: i for i, t in enumerate(terms)}, weight=weight, indptr=indptr, columns=flat, weights=weights,
         positives=np.array([groups[k][0] for k in order], np.int64), negatives=np.array([groups[k][1] for k in order], np.int64),
         example_ids=np.array([groups[k][2] for k in order], object), prior=prior,
         empty_score=(empty[0] + prior) / (sum(empty[:2]) + 1),
@@ -273,25 +304,24 @@ def score(counted: DataFrame, index: Index, neighbours: int = 10) -> DataFrame:
     """(doc_id, score, predicted, evidence): `evidence` holds the doc_id and cosine of the nearest examples."""
 
     def make():
-        memory: dict[tuple, tuple] = {}
+        memory: dict[bytes, tuple] = {}
 
-        def of(terms: tuple, counts: tuple) -> tuple:
-            t = np.array(terms, np.int64)
-            near, cosine = index.nearest(t, index.vector(t, np.array(counts, float)), neighbours)
+        def of(terms: np.ndarray, counts: np.ndarray) -> tuple:
+            near, cosine = index.nearest(terms, index.vector(terms, counts), neighbours)
             value = index.calibrated(index.vote(near, cosine)) if len(near) else index.empty_score
             return value, [{"doc_id": index.example_ids[i], "cosine": float(c)} for i, c in zip(near.tolist(), cosine.tolist())]
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = []
-            for terms, counts in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist()):
-                if not terms:
+            for terms, counts in _vectors(batch):
+                if not len(terms):
                     found.append((index.empty_score, []))
                     continue
-                key = tuple(terms), tuple(counts)
+                key = hashlib.blake2b(terms.tobytes() + counts.tobytes(), digest_size=16).digest()
                 if key not in memory:
                     if len(memory) > 20_000:
                         memory.clear()
-                    memory[key] = of(*key)
+                    memory[key] = of(terms, counts)
                 found.append(memory[key])
             scores = np.clip(np.array([f[0] for f in found], float), 0, 1)
             kind = pa.list_(pa.struct([("doc_id", pa.string()), ("cosine", pa.float64())]))
@@ -310,7 +340,7 @@ def score(counted: DataFrame, index: Index, neighbours: int = 10) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame, *, neighbours: int = 10, **options) -> DataFrame:
     """One row per document: doc_id, score, predicted, evidence.
 
-    Null and empty texts get the share of toxic rows among examples without any telling term; so do all rows when
+    Null and empty texts get the share of toxic rows among examples without any word of their own; so do all rows when
     nothing can be learnt (no labels, or labels of one kind). Repeated rows get equal scores. Only doc_id and text
     of the documents and doc_id and toxic of the labels are read; the id is used to find labels, never to score.
     """

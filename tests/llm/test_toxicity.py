@@ -79,3 +79,72 @@ def test_stage_drops_toxic_documents(tables):
     assert kept.columns == docs.columns
     gone = {r.doc_id for r in toxicity.toxicity(docs, labels).where("predicted = 1").collect()}
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((r.doc_id for r in docs.collect() if r.doc_id not in gone), key=str)
+
+
+def test_evidence_equals_brute_force_over_all_words(tables):
+    docs, labels = tables
+    kind = {}
+    for r in labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").collect():
+        if zlib.crc32(str(r.doc_id).encode()) % 5:
+            kind[r.doc_id] = max(kind.get(r.doc_id, 0), r.toxic)
+    every = [(r.doc_id, toxicity.words_of((r.text or "").encode())) for r in docs.collect()]
+    examples = {}
+    for i, words in every:
+        if i in kind and words:
+            key = frozenset(words.items())
+            examples[key] = max(examples.get(key, 0), kind[i])
+    n, p = len(examples), sum(examples.values())
+    terms = sorted({w for key in examples for w, _ in key})
+    df = {t: sum(t in dict(key) for key in examples) for t in terms}
+    pos = {t: sum(y for key, y in examples.items() if t in dict(key)) for t in terms}
+    part = lambda o, e: o * math.log(o / e) if o > 0 else 0.0
+    weight = {}
+    for t in terms:
+        a, b = pos[t], df[t]
+        ratio = 2 * (part(a, b * p / n) + part(b - a, b * (1 - p / n)) + part(p - a, (n - b) * p / n) + part(n - p - b + a, (n - b) * (1 - p / n)))
+        idf = math.log((len(every) + 1) / (sum(t in w for _, w in every) + 1)) + 1
+        weight[t] = idf * (max(ratio, 0) + toxicity.NEUTRAL)
+
+    def unit(words):
+        w = {t: (1 + math.log(c)) * weight[t] for t, c in words if t in weight}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        return {t: x / norm for t, x in w.items()}
+
+    vectors = [unit(key) for key in examples]
+    want = []
+    for i, words in every:
+        v = unit(words.items())
+        cosines = sorted((sum(x * e.get(t, 0.0) for t, x in v.items()) for e in vectors), reverse=True)[:10]
+        want.append((str(i), [round(c, 4) for c in cosines if c > 0]))
+    got = [(str(r.doc_id), [e.cosine for e in r.evidence]) for r in toxicity.toxicity(docs, labels).collect()]
+    assert len(got) == len(want)
+    for (i, found), (j, cosines) in zip(sorted(got), sorted(want)):
+        assert i == j and len(found) == len(cosines) and np.allclose(found, cosines, atol=2e-4)
+
+
+def test_words_of_a_single_example_count(docs_of, spark, prose):
+    rows = [(i, prose(i, 30)) for i in range(400)]
+    rare = "qwzfoul qwzvile qwznasty qwzrude"
+    rows += [(5000, f"{prose(1, 5)} {rare}"), (6000, f"{prose(2, 5)} {rare}")]
+    assert zlib.crc32(b"5000") % 5
+    labels = spark.createDataFrame([(i, 0) for i in range(400)] + [(5000, 1)], "doc_id bigint, toxic int")
+    found = {r.doc_id: r for r in toxicity.toxicity(docs_of(rows), labels).collect()}
+    assert found[6000].evidence[0].doc_id == "5000" and found[6000].evidence[0].cosine > 0.7
+    assert all(found[i].evidence for i in range(400))
+
+
+def test_large_index_is_searched_exactly():
+    r = np.random.default_rng(3)
+    shares = 1 / np.arange(1, 2001) ** 0.9
+    rows = [np.unique(r.choice(2000, 60, p=shares / shares.sum())) for _ in range(3000)]
+    at = np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+    weight = r.random(2000) ** 6 * 50 + 0.01
+    weights = np.concatenate([toxicity.unit_weights(weight, x, np.ones(len(x))) for x in rows])
+    ones = np.ones(3000, int)
+    index = toxicity.Index({}, weight, at, np.concatenate(rows), weights, ones, ones, np.arange(3000), 0.1, 0.1)
+    dense = np.zeros((3000, 2000))
+    for i, x in enumerate(rows):
+        dense[i, x] = weights[at[i] : at[i + 1]]
+    for q in range(0, 3000, 50):
+        _, best = index.nearest(rows[q], weights[at[q] : at[q + 1]], 10)
+        assert np.allclose(best, np.sort(dense @ dense[q])[::-1][:10])
