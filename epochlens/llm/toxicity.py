@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import dataclasses
 import hashlib
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -19,6 +21,8 @@ MAX_EXAMPLES = 20_000
 MAX_CALIBRATION = 4_000
 #: What a word weighs, as a log-likelihood ratio, that stands in toxic and other examples alike.
 NEUTRAL = 0.01
+#: Reading an entry of an example's row costs so many times an entry of a posting list; changes speed only.
+ROW_COST = 4
 
 
 def words_of(text: bytes) -> Counter:
@@ -49,14 +53,14 @@ class Index:
     example_ids: np.ndarray
     prior: float
     empty_score: float
-    block: int = 32
+    block: int = 64
     steps: tuple[np.ndarray, np.ndarray] | None = None  # calibration: score up to here, calibrated value
 
     def __post_init__(self):
         n_terms, n_rows = len(self.weight), len(self.indptr) - 1
         rows = np.repeat(np.arange(n_rows, dtype=np.int32), np.diff(self.indptr))
         by_term = np.argsort(self.columns, kind="stable")  # postings of a term are in the order of rows
-        self.posting_rows, self.posting_weights = rows[by_term], self.weights[by_term]
+        self.posting_rows, self.posting_weights = rows[by_term].astype(np.int64), self.weights[by_term]
         self.posting_ptr = np.searchsorted(self.columns[by_term], np.arange(n_terms + 1)).astype(np.int64)
         self.n_blocks = -(-n_rows // self.block)
         starts = np.ones(len(rows), bool)
@@ -73,12 +77,26 @@ class Index:
         self._dense = np.zeros(n_terms)
 
     def __getstate__(self) -> dict:
-        """Tasks work with places of terms, so the words themselves don't travel."""
-        return self.__dict__ | {"terms": {}}
+        """What travels to tasks: the examples' rows in a compact form, without words; postings are built again there."""
+        steps = np.diff(self.columns.astype(np.int32), prepend=np.int32(0))
+        fields = {f.name: getattr(self, f.name) for f in dataclasses.fields(self)}
+        return fields | {"terms": {}, "columns": zlib.compress(steps.tobytes(), 1)}
+
+    def __setstate__(self, state: dict):
+        steps = np.frombuffer(zlib.decompress(state["columns"]), np.int32)
+        self.__dict__ = state | {"columns": np.cumsum(steps, dtype=np.int32)}
+        self.__post_init__()
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return unit_weights(self.weight, terms, counts)
 
+    @staticmethod
+    def _runs(ptr: np.ndarray, wanted: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+        """How many entries each `wanted` group has, and the entries of all of them from each of `values`."""
+        begins, ends = ptr[wanted], ptr[wanted + 1]
+        slices = [slice(a, b) for a, b in zip(begins.tolist(), ends.tolist())]
+        return [ends - begins, *(np.concatenate([v[x] for x in slices]) for v in values)]
+
     @staticmethod
     def _entries(ptr: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the entries of the `wanted` groups one after another, and how many each has."""
@@ -103,16 +121,16 @@ class Index:
         slack = 1e-6
         while at < len(terms):
             upto = slice(at, at + step)
-            entries, sizes = self._entries(self.posting_ptr, terms[upto])
-            partial += np.bincount(self.posting_rows[entries], np.repeat(weights[upto], sizes) * self.posting_weights[entries], n_rows)
+            sizes, rows, held = self._runs(self.posting_ptr, terms[upto], self.posting_rows, self.posting_weights)
+            partial += np.bincount(rows, np.repeat(weights[upto], sizes) * held, n_rows)
             at, step = min(at + step, len(terms)), step * 4
             least = np.partition(partial, -k)[-k] if n_rows > k and (at == len(terms) or partial.max() > open_share[at]) else 0.0
             if at < len(terms) and least > open_share[at]:
-                entries, sizes = self._entries(self.block_ptr, terms[at:])
-                rest = np.bincount(self.block_of[entries], np.repeat(weights[at:], sizes) * self.block_max[entries], self.n_blocks)
+                sizes, blocks, most = self._runs(self.block_ptr, terms[at:], self.block_of, self.block_max)
+                rest = np.bincount(blocks, np.repeat(weights[at:], sizes) * most, self.n_blocks)
                 rows = np.flatnonzero(partial >= least - slack - open_share[at])
                 rows = rows[partial[rows] + rest[rows // self.block] >= least - slack]
-                if (self.indptr[rows + 1] - self.indptr[rows]).sum() <= open_size[at]:
+                if ROW_COST * (self.indptr[rows + 1] - self.indptr[rows]).sum() <= open_size[at]:
                     break
         else:
             rows = np.flatnonzero(partial >= max(least - slack, 1e-300)) if n_rows and len(terms) else np.empty(0, np.int64)
@@ -158,8 +176,11 @@ def _monotone(scores: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tu
 def term_counts(docs: DataFrame, terms: list[bytes]) -> DataFrame:
     """(doc_id, terms, counts): places in `terms` of the words that a whole text holds, ascending, and how often."""
 
+    terms_given = bool(terms)
+    packed = zlib.compress(b"\n".join(terms), 1)  # words hold no line ends
+
     def make():
-        place = {t: i for i, t in enumerate(terms)}
+        place = {t: i for i, t in enumerate(zlib.decompress(packed).split(b"\n"))} if terms_given else {}
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             sizes, found = [], []
@@ -220,8 +241,9 @@ def _weighed_terms(examples: DataFrame) -> tuple[list[bytes], np.ndarray]:
 
     Copies of a text count once, else the rare words of a copied text would look like telling ones.
     """
-    distinct = cut(examples.groupBy("text").agg(F.max("toxic").alias("toxic")))
-    totals = distinct.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("p")).first()
+    # One row for each text, known by its digest: at most `max_examples`.
+    first = cut(examples.groupBy(F.sha2("text", 256).alias("digest")).agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id")).drop("digest"))
+    totals = first.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("p")).first()
     n, p = totals["n"], totals["p"] or 0
     if not p or p == n:
         return [], np.empty(0)
@@ -233,6 +255,7 @@ def _weighed_terms(examples: DataFrame) -> tuple[list[bytes], np.ndarray]:
 
         return each
 
+    distinct = examples.select("doc_id", "text").join(F.broadcast(first), "doc_id").select("toxic", "text")
     words = map_batches(distinct, make, "toxic int, terms array<binary>")
     counts = words.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("toxic").alias("pos"))
     part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
@@ -242,7 +265,7 @@ def _weighed_terms(examples: DataFrame) -> tuple[list[bytes], np.ndarray]:
         + part(p - pos, (n - df) * (p / n)) + part((n - p) - (df - pos), (n - df) * (1 - p / n))
     )
     # Words of at most `max_examples` texts.
-    found = counts.select("term", F.round(F.greatest(ratio, F.lit(0.0)), 9).alias("ratio")).orderBy(F.desc("ratio"), "term").toArrow()
+    found = counts.select("term", F.round(F.greatest(ratio, F.lit(0.0)), 9).alias("ratio")).toArrow().sort_by([("ratio", "descending"), ("term", "ascending")])
     return found.column("term").to_pylist(), found.column("ratio").to_numpy()
 
 
@@ -258,19 +281,21 @@ def fit(
     """
     examples = cut(_examples(docs, labels, max_examples))
     terms, ratio = _weighed_terms(examples)
-    counted = term_counts(docs if keyed is None else keyed, terms)
-    n_docs = docs.count()
+    counted = cut(term_counts(docs if keyed is None else keyed, terms))
+    n_docs = counted.count()
     df = np.zeros(len(terms))
     if terms:
         held = counted.select(F.explode("terms").alias("term")).groupBy("term").count().toArrow()
         df[held.column("term").to_numpy()] = held.column("count").to_numpy()
     weight = (np.log((n_docs + 1) / (df + 1)) + 1) * (ratio + NEUTRAL)
-    rows = term_counts(examples, terms).join(examples.select("doc_id", "toxic"), "doc_id").orderBy("doc_id").toArrow()
+    rows = term_counts(examples.select(F.struct("doc_id", "toxic").alias("doc_id"), "text"), terms).toArrow()
     groups: dict[tuple, list] = {}
-    for (t, n), doc_id, toxic in zip(_vectors(rows), rows.column("doc_id").to_pylist(), rows.column("toxic").to_pylist()):
+    for (t, n), key in zip(_vectors(rows), rows.column("doc_id").to_pylist()):
         # Big-endian bytes are ordered as the terms are, so examples with the same strongest words stand together.
-        g = groups.setdefault((t.astype(">i4").tobytes(), n.astype(">i4").tobytes()), [0, 0, doc_id])
-        g[0 if toxic == 1 else 1] += 1
+        g = groups.setdefault((t.astype(">i4").tobytes(), n.astype(">i4").tobytes()), [0, 0, key["doc_id"]])
+        g[0 if key["toxic"] == 1 else 1] += 1
+        g[2] = min(g[2], key["doc_id"])
+    del rows
     empty = groups.pop((b"", b""), [0, 0, None])
     total = [sum(g[i] for g in groups.values()) + empty[i] for i in (0, 1)]
     prior = (total[0] + 0.5) / (sum(total) + 1)
